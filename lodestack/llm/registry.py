@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lodestack.llm import decontaminate
+from lodestack.llm import decontaminate, packing, simhash
 
 
 def queries() -> dict:
     return {
+        "op8_simhash_covering_lsh": simhash.op8_simhash_covering_lsh,
         "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
+        "op10_nnls_packing": packing.op10_nnls_packing,
     }
 
 
