@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from lodestack.llm import decontaminate, packing, simhash
+from lodestack.llm import decontaminate, packing, rans, simhash, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_rans_token_ids": rans.op1_rans_token_ids,
+        "op4_suffix_array_dedup": suffix_dedup.op4_suffix_array_dedup,
+        "op6_countmin_substring_dedup": substring_dedup.op6_countmin_substring_dedup,
         "op8_simhash_covering_lsh": simhash.op8_simhash_covering_lsh,
         "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
         "op10_nnls_packing": packing.op10_nnls_packing,
@@ -15,5 +18,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_countmin_substring_dedup": substring_dedup.ORACLE_SQL,
         "op9_benchmark_decontamination": decontaminate.ORACLE_SQL,
     }
