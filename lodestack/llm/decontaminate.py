@@ -7,7 +7,8 @@ backwards at once, and their occurrences are merged to removal spans.
 
 Defined results: null or wordless texts have no words and no hits; a null or
 wordless item matches nothing; items that repeat an id count once, a null id
-counts as the empty string; other columns of either table are ignored.
+counts as the empty string; other columns pass through, but those named like
+the results are replaced.
 """
 
 from __future__ import annotations
@@ -132,10 +133,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, w
             blocks.append(spark.sparkContext.broadcast(phrases(current, window)))
             current, size = [], 0
     blocks.append(spark.sparkContext.broadcast(phrases(current, window)))
+    docs = docs.drop("n_words", "n_hit", "spans", "items", "clean")
     schema = docs.schema
-    for f in ("n_words", "n_hit", "spans", "items", "clean"):
-        if f in schema.names:
-            raise ValueError(f"column {f} exists already")
     text_at = schema.names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,12 +3,13 @@
 Per-word scores are sums of character n-gram log-probabilities, learned for each
 language from text alone. The script of a word narrows the languages that it can
 be of, and Viterbi with a switching penalty over the words labels spans. Most
-texts need no path search: if no language gains more than the penalty over the
-best one on any stretch, the constant path is optimal, which running sums show.
+texts need no path search: if no language gains more than half the penalty over
+the best one on any stretch, the constant path is optimal, as running sums show.
 
 Defined results: a text that is null or has no letter is `und` with score 0 and
 no spans, and so are all texts where nothing could be learned; ties between
-languages go to the first in alphabetical order; other columns are ignored.
+languages go to the first in alphabetical order; other columns pass through, but
+those named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -150,7 +151,8 @@ def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     best = int(totals.argmax())
     gain = np.cumsum(scores - scores[:, best : best + 1], axis=0)
     low = np.minimum.accumulate(np.concatenate([np.zeros((1, k)), gain[:-1]]), axis=0)
-    if (gain - low).max() <= penalty:
+    # m stretches in other languages cost m - 1 changes at least; each gains at most what is tested here
+    if (gain - low).max() <= penalty / 2:
         return np.full(n, best)
     ahead = [0.0] * k
     switched, tops = [], []
@@ -214,6 +216,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
 def identify(docs: DataFrame, model: Model | None, penalty: float = PENALTY, with_spans: bool = True) -> DataFrame:
     """docs plus lang_pred, score (share of letters in spans of that language) and lang_spans (in words; null unless with_spans)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("lang_pred", "score", "lang_spans")
     text_at = docs.columns.index("text")
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 

@@ -4,7 +4,8 @@ Words are runs of non-white-space bytes, unchanged; windows are judged on the
 input. The count-min prefilter (sketch.py) counts, for each window, the anchor
 shingle that stands for it: a count no smaller than the window's own, so no
 repeated window is lost. The second pass groups the windows estimated repeated
-exactly, by 128 bits of their words. Null texts have no words.
+exactly, by 128 bits of their words. Null texts have no words; other
+columns pass through, but those named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -58,6 +59,7 @@ def word_level(length: int = LENGTH, shingle: int = SHINGLE) -> Level:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True) -> DataFrame:
     """docs plus n_words, n_removed, kept_sha256, and kept (the remaining words joined by blanks; null unless with_text)."""
+    docs = docs.drop("n_words", "n_removed", "kept_sha256", "kept")
     joined = with_spans(docs, spans_to_remove(docs, word_level(length)))
     text_at, spans_at = joined.columns.index("text"), len(joined.columns) - 1
 

@@ -3,7 +3,8 @@
 Texts are UTF-8 bytes; matches never cross documents and are judged on the
 input. Suffixes that can take part (see repeats.py) are sorted bucket by bucket
 with a difference cover (see difference_cover.py); neighbours in suffix order
-that share `length` bytes are the repeats. Null texts are empty.
+that share `length` bytes are the repeats. Null texts are empty;
+other columns pass through, but those named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -69,6 +70,7 @@ def byte_level(length: int = LENGTH) -> Level:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True) -> DataFrame:
     """docs plus n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes as text, broken characters left out; null unless with_text)."""
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
     joined = with_spans(docs, spans_to_remove(docs, byte_level(length)))
     text_at, spans_at = joined.columns.index("text"), len(joined.columns) - 1
 

@@ -9,7 +9,7 @@ Labels of 0 are used for the class prior alone. The fit uses bounded samples
 (POSITIVES and UNLABELLED documents on average, picked by a hash of the id);
 every text is scored whole. Defined results: a null or wordless text gets the
 score of no words; without any toxic example all scores are 0; a null label or
-id teaches nothing; other columns are ignored.
+id teaches nothing; other columns pass through, but one named score is replaced.
 """
 
 from __future__ import annotations
@@ -120,6 +120,7 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame:
     """docs plus score (0 to 1: how likely the label is 1)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("score")
     text_at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
