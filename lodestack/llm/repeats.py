@@ -194,11 +194,11 @@ def merged(spans: np.ndarray) -> np.ndarray:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs plus `spans`, an array of the document's (start, end); null where nothing repeats."""
-    by_doc = spans.groupBy("doc", "hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    """docs plus `__spans`, an array of the document's (start, end); null where nothing repeats."""
+    by_doc = spans.groupBy("doc", "hash").agg(F.collect_list(F.struct("start", "end")).alias("__spans")).select(F.col("doc").alias("__doc2"), F.col("hash").alias("__hash2"), "__spans")
     keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__hash": F.xxhash64("text")})
-    joined = keyed.join(by_doc, (keyed["__doc"] == by_doc["doc"]) & (keyed["__hash"] == by_doc["hash"]), "left")
-    return joined.select(*[docs[c] for c in docs.columns], by_doc["spans"])
+    joined = keyed.join(by_doc, (F.col("__doc") == F.col("__doc2")) & (F.col("__hash") == F.col("__hash2")), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "__spans")
 
 
 def spans_of(column: pa.Array, i: int) -> np.ndarray:
