@@ -18,7 +18,7 @@ def read_tree(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
     plain = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^[a-z][a-z0-9+.-]*:/*", "/")
     prefix = "/" + base.split(":", 1)[-1].lstrip("/") + "/"
     relative = F.substring(plain, len(prefix) + 1, 1 << 20)
-    files = raw.select(F.lit(repo_id).alias("repo_id"), relative.alias("path"), F.decode("content", "UTF-8").alias("content"))
+    files = raw.select(F.lit(repo_id).alias("repo_id"), relative.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
     return files.where(~is_pruned(F.col("path")))
 
 
@@ -31,4 +31,4 @@ def read_listed(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
     prefix = os.path.abspath(root)
     raw = spark.read.format("binaryFile").load([os.path.join(prefix, f) for f in found]) if found else spark.createDataFrame([], "path string, content binary")
     plain = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^[a-z]+:/*", "/")
-    return raw.select(F.lit(repo_id).alias("repo_id"), F.substring(plain, len(prefix) + 2, 1 << 20).alias("path"), F.decode("content", "UTF-8").alias("content"))
+    return raw.select(F.lit(repo_id).alias("repo_id"), F.substring(plain, len(prefix) + 2, 1 << 20).alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
