@@ -27,7 +27,7 @@ from lodestack.llm.sketch import maybe_repeated, repeated_cells
 from lodestack.llm.textblock import as_bytes, binary_array, blocks
 
 #: Payload bytes that are compared at once, unless one anchor has more.
-REDUCE_BYTES = 2 << 20
+REDUCE_BYTES = 1 << 19
 _POSITION_BITS = np.uint64(27)
 _POSITIONS = 1 << 26
 NULL_ID = -(1 << 63)
