@@ -33,8 +33,8 @@ WINDOW = 2048
 END_ID = 1
 #: Lengths that combinations of three and of four are made of: the most frequent ones.
 TOP_THREE, TOP_FOUR = 64, 16
-#: Entries of (partition, length) up to which the shifts are broadcast (12 bytes each); beyond, they are joined by partition.
-BROADCAST_ENTRIES = 4_000_000
+#: Entries of (partition, length) up to which the shifts are broadcast (28 bytes each); beyond, they are joined by both.
+BROADCAST_ENTRIES = 500_000
 
 
 def combinations(histogram: np.ndarray, window: int = WINDOW) -> list[tuple[int, ...]]:
@@ -182,18 +182,19 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = WI
     layout = spark.sparkContext.broadcast(plan(histogram, window))
     n_packed = layout.value["sequences"]
     before = Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.withColumn("shift", F.coalesce(F.sum("n").over(before), F.lit(0))).groupBy("part").agg(F.collect_list(F.struct("rest", "shift")).alias("shifts"), F.sum("full").cast("long").alias("full"))
+    fulls = counts.groupBy("part").agg(F.sum("full").cast("long").alias("full"))
     # full windows before each partition: one number for each, summed in blocks of 1,024 partitions
     block = F.floor(F.col("part") / 1024)
     in_block = F.sum("full").over(Window.partitionBy(block).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     blocks_before, total = {}, 0
-    for r in sorted(shifts.groupBy(block.alias("b")).agg(F.sum("full").alias("f")).collect(), key=lambda r: r["b"]):
+    for r in sorted(fulls.groupBy(block.alias("b")).agg(F.sum("full").alias("f")).collect(), key=lambda r: r["b"]):
         blocks_before[r["b"]], total = total, total + r["f"]
     base = F.create_map(*[F.lit(int(x)) for kv in blocks_before.items() for x in kv]) if blocks_before else F.create_map(F.lit(0), F.lit(0))
-    shifts = shifts.withColumn("full_shift", F.coalesce(in_block, F.lit(0)) + F.coalesce(F.element_at(base, block.cast("int")), F.lit(0))).select("part", "shifts", "full_shift")
-    if counts.count() <= BROADCAST_ENTRIES:
+    fulls = fulls.select("part", (F.coalesce(in_block, F.lit(0)) + F.coalesce(F.element_at(base, block.cast("int")), F.lit(0))).cast("long").alias("full_shift"))
+    shifts, _ = written(counts.select("part", "rest", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("shift")).join(fulls, "part"), "shifts")
+    if shifts.count() <= BROADCAST_ENTRIES:
         shifts = F.broadcast(shifts)
-    joined = tokens.join(shifts, "part").select("doc_id", "ids", "n", "full_before", "rest", "rank", "full_shift", F.col("shifts.rest").alias("lengths"), F.col("shifts.shift").alias("shift"))
+    joined = tokens.join(shifts, ["part", "rest"]).select("doc_id", "ids", "n", "full_before", "rest", "rank", "full_shift", "shift")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = layout.value
@@ -206,20 +207,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = WI
         doc, ids = batch.column(0), batch.column(1)
         n, full_before, rest, rank, full_shift = (batch.column(k).to_numpy() for k in range(2, 7))
         rest = rest.astype(np.int64)
-        lengths, shift = batch.column(7), batch.column(8)
-        # the lists are the same for all rows of a partition, which mostly are all rows here
-        offsets = lengths.offsets.to_numpy()
-        flat_l, flat_s = lengths.values.to_numpy(), shift.values.to_numpy()
-        s_offsets = shift.offsets.to_numpy()
-        rank = rank.copy()
-        last, table = None, np.zeros(window, np.int64)
-        for i in range(len(n)):
-            key = (int(full_shift[i]), flat_l[offsets[i] : offsets[i + 1]].tobytes(), flat_s[s_offsets[i] : s_offsets[i + 1]].tobytes())
-            if key != last:
-                table = np.zeros(window, np.int64)
-                table[flat_l[offsets[i] : offsets[i + 1]]] = flat_s[s_offsets[i] : s_offsets[i + 1]]
-                last = key
-            rank[i] += table[rest[i]]
+        rank = rank + batch.column(7).to_numpy()
         n_full = n // window
         i1 = np.repeat(np.arange(len(n)), n_full)
         k1 = np.arange(len(i1)) - np.repeat(np.cumsum(n_full) - n_full, n_full)
