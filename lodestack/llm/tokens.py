@@ -9,6 +9,7 @@ other text is encoded by the library whole.
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -17,8 +18,8 @@ from tokenizers import Tokenizer
 
 from lodestack.llm.textblock import as_bytes, blocks
 
-#: Words kept by a worker; the memo starts anew beyond that.
-MEMO_WORDS = 400_000
+#: Words kept by a worker. Beyond that the half that came last goes: frequent words come early.
+MEMO_WORDS = 600_000
 
 # bytes that can belong to white space other than blank and line feed, or to marks that some engines count so
 _SUSPECT = np.zeros(256, bool)
@@ -48,6 +49,7 @@ class WordMemo:
             self.mark = self._ids(_SNOWMAN)
             self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
             self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.ends = {c: self._ids(c).tobytes() for c in ",."}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
@@ -59,6 +61,15 @@ class WordMemo:
         raw, size = ids.tobytes(), self.dtype.itemsize
         self.memo.update(zip(words, (raw[a:b] for a, b in zip((starts * size).tolist(), (ends * size).tolist(), strict=True)), strict=True))
 
+    def _learn_stems(self, words: list[str]) -> None:
+        """A comma or stop after a letter, at the end of a word, is a token of its own: only what is before it is new."""
+        ended = [w for w in words if w[-1] in ",." and w[-2:-1].isalpha()]
+        stems = {w[:-1] for w in ended}.difference(self.memo)
+        if fresh := list(stems.union(words).difference(ended)):
+            self._learn(fresh)
+        memo, ends = self.memo, self.ends
+        memo.update([(w, memo[w[:-1]] + ends[w[-1]]) for w in ended])
+
     def _learn(self, words: list[str]) -> None:
         """Encode new words together where their ends can be told from the ids, else one by one."""
         if self.byte_level:
@@ -124,10 +135,13 @@ class WordMemo:
             else:
                 split.append(t.split())
         new = set().union(*split)
+        new = [w for w in new if w not in self.memo]
         if len(self.memo) + len(new) > self.memo_words:
-            self.memo.clear()
-        if new := [w for w in new if w not in self.memo]:
-            self._learn(new)
+            gone = dict(islice(self.memo.items(), self.memo_words // 2, None))
+            self.memo = dict(islice(self.memo.items(), self.memo_words // 2))
+            new += [w for w in set().union(*split).intersection(gone) if w not in self.memo]
+        if new:
+            self._learn_stems(new)
         get = self.memo.__getitem__
         out = [b"".join(map(get, words)) for words in split]
         if odd.any():
