@@ -158,7 +158,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, query_block: int =
     block: list = []
 
     def part(rows: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64).reshape(len(rows), -1)))
+        shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)))
 
         def answers(x: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
             tree = MTree(np.concatenate(x), np.concatenate(ids))

@@ -124,6 +124,37 @@ def test_null_roles_and_texts(spark):
     assert r["prompt"] == "<|im_start|>unknown\n<|im_end|>\n" and r["chosen"] == "" and r["chosen_mask"] == []
 
 
+def test_near_texts(spark):
+    from lodestack.llm import near_text
+
+    random.seed(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [[random.choice(vocabulary) for _ in range(300)] for _ in range(12)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    for i, w in enumerate(base[:6]):  # two words of 300 changed: similarity 0.93; a half replaced: far below
+        near = list(w)
+        near[50], near[200] = "Xx", "yy"
+        rows += [(100 + i, " ".join(near)), (200 + i, " ".join(w[:150] + [random.choice(vocabulary) for _ in range(150)])), (300 + i, " ".join(w))]
+    rows += [(400, None), (401, ""), (402, "a b"), (403, "a b c"), (404, "A b"), (None, " ".join(base[0])), (405, "a b"), (405, "a b")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, group_id int").repartition(5)
+    got = {r["doc_id"]: r["group_id"] for r in near_text.groups(docs).collect()}
+    want = {d: d for d, _ in rows} | {100 + i: i for i in range(6)} | {300 + i: i for i in range(6)} | {401: 400, 405: 402, 404: 402, None: 0}
+    assert got == want
+    assert near_text.groups(docs.limit(0)).count() == 0
+
+
+def test_bucket_links_reach_all_that_pairs_reach():
+    from lodestack.llm import near_text
+
+    rng = np.random.default_rng(10)
+    fps = np.uint64(12345) ^ (np.uint64(1) << rng.integers(0, 64, 700).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 700).astype(np.uint64))
+    later, earlier = near_text.bucket_links(fps, 4)
+    assert (np.bitwise_count(fps[later] ^ fps[earlier]) <= 4).all() and (earlier < later).all() and len(later) <= 2 * len(fps)
+    linked = set(later.tolist())
+    for i in range(1, len(fps)):
+        assert (i in linked) == bool((np.bitwise_count(fps[:i] ^ fps[i]) <= 4).any())
+
+
 def test_registered_sql_gives_the_same_rows(spark):
     import duckdb
 
