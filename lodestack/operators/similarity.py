@@ -141,6 +141,24 @@ def find_duplicates(index: DataFrame, vector: Column, exclude_id, threshold: flo
     return scored.where((F.col("similarity") >= F.lit(threshold or DUPLICATE_THRESHOLD).cast("float")) & (F.col("id") != exclude_id)).orderBy(F.desc("similarity"), "id")
 
 
+def literal(vector: list[float]) -> Column:
+    return F.array(*[F.lit(float(x)).cast("float") for x in vector])
+
+
+def search_text(index: DataFrame, provider, text: str, k: int) -> DataFrame:
+    """The k nearest of the index to a text, among vectors of the same provider and length."""
+    vector = provider.embed(text)
+    same = index.where((F.col("provider") == provider.name) & (F.col("dim") == len(vector)))
+    return search_one(same, literal(vector), k)
+
+
+def detect_duplicates(index: DataFrame, provider, text: str, file_path: str, func_name: str, threshold: float = DUPLICATE_THRESHOLD) -> DataFrame:
+    """Rows of the index that a function's text duplicates, without the function itself; best first."""
+    vector = provider.embed(text)
+    same = index.where((F.col("provider") == provider.name) & (F.col("dim") == len(vector)))
+    return without_self(find_duplicates(same, literal(vector), "", threshold), file_path, func_name)
+
+
 def without_self(matches: DataFrame, file_path: str, func_name: str) -> DataFrame:
     """Drop the function itself: the rows with both its file and its name."""
     return matches.where(~((F.col("file_path") == file_path) & (F.col("func_name") == func_name)))

@@ -20,9 +20,8 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_topk(spark, sf_dir):
     """Ten nearest of all vectors to vector 0, itself included."""
     index = _index(spark, sf_dir)
-    query = index.where("id = 0").select(F.col("embedding").alias("q"))
-    scored = index.join(F.broadcast(query)).withColumn("similarity", similarity.cosine(F.col("embedding"), F.col("q")))  # one row
-    top = scored.orderBy(F.desc("similarity"), "id").limit(10)
+    vector = index.where("id = 0").first()["embedding"]
+    top = similarity.search_one(index, similarity.literal(vector), 10)
     return top.select(F.col("id").alias("vec_id"), F.round(F.col("similarity").cast("double"), 6).alias("similarity"))
 
 

@@ -14,6 +14,7 @@ parent and root commits with nothing.
 from __future__ import annotations
 
 import datetime
+import os
 import subprocess
 from collections.abc import Iterator
 
@@ -60,6 +61,19 @@ def has_uncommitted_changes(root: str) -> bool:
     return bool(git(root, "status", "--porcelain").strip())
 
 
+def relative_path(root: str, path: str) -> str:
+    return os.path.relpath(os.path.abspath(path), root)
+
+
+def file_at(root: str, commit: str, path: str) -> str:
+    return git(root, "show", f"{commit}:{path}")
+
+
+def changed_paths(root: str, commit: str) -> list[str]:
+    out = git(root, "diff-tree", "-r", "--root", "-m", "--first-parent", "--no-commit-id", "--name-only", "-z", commit)
+    return [p for p in out.split("\0") if p.strip()]
+
+
 def _commits(root: str, *selection: str) -> list[tuple]:
     out = []
     for record in git(root, "log", f"--format={_FORMAT}", *selection).split("\x01"):
@@ -118,7 +132,7 @@ def commit_content(root: str, commit: str) -> Iterator[tuple]:
     """Changed files as they are in the commit; deleted ones are absent."""
     for _, path, _, status, _, _, _ in commit_diff(root, commit):
         if status != "D":
-            yield commit, path, git(root, "show", f"{commit}:{path}")
+            yield commit, path, file_at(root, commit, path)
 
 
 class _Run(InputPartition):

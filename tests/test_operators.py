@@ -108,6 +108,17 @@ def test_duplicate_blocks(spark):
     assert len(r) == 1 and (r[0]["n_places"], r[0]["first_path"], r[0]["first_line"]) == (2, "a", 1)
 
 
+def test_search_by_text_and_duplicates_of_a_function(spark):
+    f = functions(spark, [("loadRow", 5, 1, 0), ("loadRow", 5, 1, 0), ("other", 90, 7, 3)])
+    provider = embed.HashingProvider(64)
+    index = embed.embed(embed.describe(f), provider)
+    text = index.where("func_name = 'other'").first()["code"]
+    assert [r["func_name"] for r in similarity.search_text(index, provider, text, 1).collect()] == ["other"]
+    text = index.where("file_path = 'f1.go'").first()["code"]
+    assert [r["file_path"] for r in similarity.detect_duplicates(index, provider, text, "f1.go", "loadRow", 0.99).collect()] == ["f2.go"]
+    assert similarity.search_text(index, embed.HashingProvider(32), text, 5).count() == 0
+
+
 class Flaky:
     name = "flaky"
 

@@ -63,6 +63,8 @@ def test_diff_files(source, repo):
 
 def test_facts(repo, tmp_path):
     assert git.is_git_installed() and git.git_version().startswith("git version") and git.current_branch(repo) == "main"
+    assert git.changed_paths(repo, "HEAD~1") == ["go.mod", "node_modules/x.js", "src dir/old.go"] and git.file_at(repo, "HEAD", "big.go") == LONG
+    assert git.relative_path(repo, f"{repo}/a/b.go") == "a/b.go"
     assert git.find_root(f"{repo}/src dir") == repo and git.remote_url(repo) == "" and not git.has_uncommitted_changes(repo)
 
 
