@@ -18,8 +18,7 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """`spark.checkpoint.dir` of the session; a private folder only where it is unset (tests)."""
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
+    if configured := spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir():
         return configured.rstrip("/")
     app = sc.applicationId
     if app not in _OWN:
