@@ -6,7 +6,12 @@ are mostly RADIUS bits apart or less; all such pairs meet in a table of the cove
 In a bucket each text is linked with the least and with the closest of those before
 it that are within the radius, so links grow with the texts. They are confirmed by
 a bottom-k sample of the shingles' hashes, which for texts of up to SAMPLE distinct
-shingles holds all of them. Copies collapse to one text before anything else.
+shingles holds all of them. Texts with more partners within the radius than that are
+crowded: those meet again by the shingles of their prefixes, of which any two of
+similarity THRESHOLD share one, and all pairs of them that are within the radius and
+not in one component yet are confirmed by all their shingles. So the groups are the
+components of all similar pairs within the radius. Copies collapse to one text before
+anything else.
 
 Defined results: null texts are empty, and empty texts are copies of each other;
 fewer words than a shingle make one shingle; a null doc_id is never the one that
@@ -20,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.components import connected_components
@@ -34,6 +39,10 @@ THRESHOLD = 0.8
 SAMPLE = 256
 #: Texts that are compared at once in a bucket.
 COMPARE = 256
+#: Pairs that leave a task at once.
+_PAIRS = 1 << 16
+#: Products of the threshold and a whole number are not exact.
+_SLACK = 1e-9
 
 
 def word_set_fingerprint(hashes: np.ndarray) -> int:
@@ -60,19 +69,29 @@ def similarity(a: np.ndarray, b: np.ndarray, size: int = SAMPLE) -> float:
     return float((np.isin(union, a) & np.isin(union, b)).sum() / len(union))
 
 
+def text_key() -> Column:
+    """Hash of a row's text that needs no Python; null is empty."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]]:
+    """Blocks of texts: bytes, offsets, number of the first text, hashes of the folded words, and for each text the index of its first word."""
+    data, offsets = as_bytes(column)
+    for i, j in blocks(offsets):
+        raw, cuts = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        folded = raw + ((raw >= 65) & (raw <= 90)).astype(np.uint8) * np.uint8(32)
+        starts, ends, first = words(folded, cuts)
+        yield raw, cuts, i, span_hashes(folded, starts, ends), first
+
+
 def _profiles(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, text_hash2, fp, sample)"""
+    """(doc_id, text_key, text_hash, text_hash2, fp, sample)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = as_bytes(batch.column(1))
             low, high, fps, samples = [], [], [], []
-            for i, j in blocks(offsets):
-                raw, cuts = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                folded = raw + ((raw >= 65) & (raw <= 90)).astype(np.uint8) * np.uint8(32)
-                starts, ends, first = words(folded, cuts)
-                hashes = span_hashes(folded, starts, ends)
-                for k in range(j - i):
+            for raw, cuts, _, hashes, first in _words(batch.column(1)):
+                for k in range(len(cuts) - 1):
                     h = hashes[first[k] : first[k + 1]]
                     whole = xxhash.xxh128_intdigest(raw[cuts[k] : cuts[k + 1]].tobytes())
                     low.append(whole & (2**64 - 1))
@@ -80,24 +99,56 @@ def _profiles(docs: DataFrame) -> DataFrame:
                     fps.append(word_set_fingerprint(h))
                     samples.append(shingle_sample(h).astype("<u4").tobytes() if len(h) else b"")
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (low, high, fps)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array(samples, pa.binary())], names=["doc_id", "text_hash", "text_hash2", "fp", "sample"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *longs, pa.array(samples, pa.binary())], names=["doc_id", "text_key", "text_hash", "text_hash2", "fp", "sample"])
 
-    docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, text_hash2 long, fp long, sample binary")
+    docs = docs.select("doc_id", "text", text_key().alias("text_key"))
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, text_hash long, text_hash2 long, fp long, sample binary")
+
+
+def _shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted(node, least, text_key) -> (node, shingles): the distinct hashes of all shingles, ascending, by the text of document `least`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, cuts, i, hashes, first in _words(batch.column(1)):
+                each = [hashes[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+                sets = [np.unique(run_hashes(h, min(SHINGLE, max(len(h), 1)), 2).view(np.int64)) for h in each]
+                at = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(cuts) - 1), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets)))], names=["node", "shingles"])
+
+    texts = docs.select("doc_id", "text", text_key().alias("key"))
+    # by id and text, so copies of a text don't meet in a task
+    found = texts.join(wanted.hint("shuffle_merge"), (F.col("key") == F.col("text_key")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "text")
+    return found.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Those of pairs(u, v) whose shingles have at least this Jaccard similarity."""
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    shared = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("n"), (F.size("a") + F.size("b")).alias("m"))
+    return shared.where((F.col("m") == 0) | (F.col("n") >= threshold * (F.col("m") - F.col("n")) - _SLACK)).select("u", "v")
 
 
 def bucket_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """For members of a bucket in order: pairs (later, earlier) with the first and the closest earlier member within the radius."""
+    return _bucket(fps, radius)[:2]
+
+
+def _bucket(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """bucket_links(), and the members of pairs within the radius that it leaves out, with some others of such a bucket."""
     later, earlier = [], []
+    crowded = np.zeros(len(fps), bool)
     for i in range(0, len(fps), COMPARE):
         mine = fps[i : i + COMPARE]
         first = np.full(len(mine), -1)
         best = np.full(len(mine), radius + 1)
         where = np.full(len(mine), -1)
+        partners = np.zeros(len(mine), np.int64)
         for j in range(0, i + len(mine), COMPARE):
             distance = np.bitwise_count(mine[:, None] ^ fps[None, j : j + COMPARE]).astype(np.int64)
             before = (j + np.arange(distance.shape[1]))[None, :] < (i + np.arange(len(mine)))[:, None]
             distance = np.where(before, distance, radius + 1)
+            partners += (distance <= radius).sum(axis=1)
             near = distance.min(axis=1)
             at = distance.argmin(axis=1)
             hit = near <= radius
@@ -107,7 +158,32 @@ def bucket_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
             found = np.flatnonzero(x >= 0)
             later.append(i + found)
             earlier.append(x[found])
-    return np.concatenate(later), np.concatenate(earlier)
+        more = np.flatnonzero(partners > (first >= 0).astype(np.int64) + (where != first))
+        crowded[i + more] = True
+        for j in range(0, i + len(mine) if len(more) else 0, COMPARE):
+            crowded[j : j + COMPARE] |= (np.bitwise_count(mine[more, None] ^ fps[None, j : j + COMPARE]) <= radius).any(axis=0)
+    return np.concatenate(later), np.concatenate(earlier), np.flatnonzero(crowded)
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of rows sorted by the first one, cut between its values."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        held.append(tuple(c.to_numpy() for c in batch.columns))
+        columns = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        if not len(columns[0]):
+            continue
+        # the last bucket may go on in the next batch
+        end = int(np.searchsorted(columns[0], columns[0][-1]))
+        if end:
+            yield tuple(x[:end] for x in columns)
+        held = [tuple(x[end:] for x in columns)]
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _cuts(bucket: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
 
 
 def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
@@ -116,46 +192,76 @@ def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
     tables = F.posexplode(F.array(*[F.lit(int(m)) for m in signed]))
     rows = nodes.select("node", "fp", tables.alias("t", "mask")).select(F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"), "node", "fp")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def links(bucket: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-            size = np.diff(cut)
-            # most shared buckets hold two
-            a = cut[:-1][size == 2]
-            a = a[np.bitwise_count(fp[a].view(np.uint64) ^ fp[a + 1].view(np.uint64)) <= radius]
-            u, v = [node[a + 1]], [node[a]]
-            for a, n in zip(cut[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                x, y = bucket_links(fp[a : a + n].view(np.uint64), radius)
-                u.append(node[a : a + n][x])
-                v.append(node[a : a + n][y])
-            both = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, c])) for c in (0, 1)], names=["u", "v"])
+    def links(bucket: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        cut = _cuts(bucket)
+        size = np.diff(cut)
+        # most shared buckets hold two
+        a = cut[:-1][size == 2]
+        a = a[np.bitwise_count(fp[a].view(np.uint64) ^ fp[a + 1].view(np.uint64)) <= radius]
+        u, v = [node[a + 1]], [node[a]]
+        for a, n in zip(cut[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            x, y, crowded = _bucket(fp[a : a + n].view(np.uint64), radius)
+            u += [node[a : a + n][x], node[a : a + n][crowded]]
+            v += [node[a : a + n][y], node[a : a + n][crowded]]
+        both = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, c])) for c in (0, 1)], names=["u", "v"])
 
-        for batch in batches:
-            held.append(tuple(batch.column(k).to_numpy() for k in range(3)))
-            bucket, node, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-            if not len(bucket):
-                continue
-            # the last bucket may go on in the next batch
-            end = int(np.searchsorted(bucket, bucket[-1]))
-            if end:
-                yield links(bucket[:end], node[:end], fp[:end])
-            held = [(bucket[end:], node[end:], fp[end:])]
-        if held:
-            yield links(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _whole_buckets(batches):
+            yield links(*columns)
 
     return rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, "u long, v long").distinct()
 
 
+def apart_within(component: np.ndarray, fps: np.ndarray, sizes: np.ndarray, radius: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For members in order of component: all pairs of different components within the radius whose sizes allow the similarity."""
+    for i in range(0, len(fps), COMPARE):
+        mine = slice(i, i + COMPARE)
+        for j in range(int(np.searchsorted(component, component[i], side="right")), len(fps), COMPARE):
+            other = slice(j, j + COMPARE)
+            good = (np.bitwise_count(fps[mine, None] ^ fps[None, other]) <= radius) & (component[mine, None] < component[None, other])
+            a, b = sizes[mine, None], sizes[None, other]
+            good &= np.minimum(a, b) >= threshold * np.maximum(a, b) - _SLACK
+            x, y = np.nonzero(good)
+            if len(x):
+                yield i + x, j + y
+
+
+def _crowded_pairs(texts: DataFrame, radius: int, threshold: float) -> DataFrame:
+    """texts(node, shingles, fp, component) -> distinct (u, v): all that can be similar, are within the radius and of different components."""
+    size = F.size("shingles")
+    # similar sets share one of so many least shingles; those without any share their lack
+    prefix = F.when(size == 0, F.array(F.lit(0).cast("long"))).otherwise(F.slice("shingles", F.lit(1), (size - F.ceil(size * threshold - _SLACK) + 1).cast("int")))
+    rows = texts.select(F.explode(prefix).alias("bucket"), "node", "fp", size.cast("long").alias("n"), "component")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, node, fp, n, component in _whole_buckets(batches):
+            cut = _cuts(bucket)
+            u, v, total = [], [], 0
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if component[a] == component[b - 1]:
+                    continue
+                for x, y in apart_within(component[a:b], fp[a:b].view(np.uint64), n[a:b], radius, threshold):
+                    u.append(node[a:b][x])
+                    v.append(node[a:b][y])
+                    total += len(x)
+                    if total > _PAIRS:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (u, v)], names=["u", "v"])
+                        u, v, total = [], [], 0
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (u, v)], names=["u", "v"])
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "component").mapInArrow(run, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
 def groups(docs: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id and group_id, the least doc_id among the near duplicates that it is linked with."""
     profiles, _ = written(_profiles(docs), "profiles")
-    copies = profiles.groupBy("text_hash", "text_hash2").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"))
+    copies = profiles.groupBy("text_hash", "text_hash2").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("text_key").alias("text_key"))
     # a text's node number is its first hash: ids can be null or repeat
-    nodes, _ = written(copies.groupBy(F.col("text_hash").alias("node")).agg(F.min("least").alias("least"), F.min("fp").alias("fp")), "nodes")
-    links, _ = written(_candidates(nodes.select("node", "fp"), radius), "candidates")
+    nodes, _ = written(copies.groupBy(F.col("text_hash").alias("node")).agg(F.min("least").alias("least"), F.min("fp").alias("fp"), F.min("text_key").alias("text_key")), "nodes")
+    found, _ = written(_candidates(nodes.select("node", "fp"), radius), "candidates")
+    links, crowded = found.where("u <> v"), found.where("u = v").select(F.col("u").alias("node"))
     samples = profiles.groupBy(F.col("text_hash").alias("node")).agg(F.min("sample").alias("sample"))
     named = links.select("u").union(links.select("v")).distinct().withColumnRenamed("u", "node").join(samples, "node")
     pairs = links.join(named.select(F.col("node").alias("u"), F.col("sample").alias("a")), "u").join(named.select(F.col("node").alias("v"), F.col("sample").alias("b")), "v")
@@ -168,6 +274,12 @@ def groups(docs: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD)
 
     near = pairs.select("u", "v", "a", "b").mapInArrow(confirm, "u long, v long")
     comps, _ = written(connected_components(near), "components")
+    if crowded.limit(1).count():
+        sets, _ = written(_shingles(docs, nodes.join(crowded, "node", "left_semi").select("node", "least", "text_key")), "shingles")
+        texts = sets.join(nodes.select("node", "fp"), "node").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        pairs, _ = written(_crowded_pairs(texts, radius, threshold), "crowded")
+        more = _similar(pairs, sets, threshold)
+        comps, _ = written(connected_components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more)), "components")
     labelled = nodes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("least").alias("group_id"))
     by_node, _ = written(labelled.join(least, "component").select("node", "group_id"), "groups")

@@ -155,6 +155,46 @@ def test_bucket_links_reach_all_that_pairs_reach():
         assert (i in linked) == bool((np.bitwise_count(fps[:i] ^ fps[i]) <= 4).any())
 
 
+def _near_text_brute_force(texts, radius=6, threshold=0.8):
+    """Least index of each text's component, from all pairs within the radius by all five-word shingles."""
+    from lodestack.llm import near_text
+    from lodestack.llm.textblock import span_hashes, words
+
+    prints, sets = [], []
+    for t in texts:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        starts, ends, _ = words(raw, np.array([0, len(raw)]))
+        prints.append(near_text.word_set_fingerprint(span_hashes(raw, starts, ends)))
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and (prints[i] ^ prints[j]).bit_count() <= radius and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return label
+
+
+def test_near_texts_in_crowded_buckets_equal_brute_force(spark):
+    from lodestack.llm import near_text
+
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(100):  # nearly all have the same words, so their fingerprints are within a few bits of each other
+        w = [rng.choice(vocabulary) for _ in range(400)]
+        near = list(w)
+        for k in rng.sample(range(400), 6):
+            near[k] = rng.choice(vocabulary)
+        texts += [" ".join(w), " ".join(near)]
+    want = _near_text_brute_force(texts)
+    assert sum(want[i] != i for i in range(len(texts))) > 80
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["group_id"] for r in near_text.groups(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_registered_sql_gives_the_same_rows(spark):
     import duckdb
 
