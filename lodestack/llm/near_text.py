@@ -4,12 +4,13 @@ Fingerprints are of the set of single words, of which a changed word takes one a
 not five, so that texts whose five-word shingles have similarity THRESHOLD or more
 are mostly RADIUS bits apart or less; all such pairs meet in a table of the cover.
 In a bucket each text is linked with the least and with the closest of those before
-it that are within the radius, so links grow with the texts. They are confirmed by
-a bottom-k sample of the shingles' hashes, which for texts of up to SAMPLE distinct
-shingles holds all of them. Texts with more partners within the radius than that are
-crowded: those meet again by the shingles of their prefixes, of which any two of
-similarity THRESHOLD share one, and all pairs of them that are within the radius and
-not in one component yet are confirmed by all their shingles. So the groups are the
+it that are within the radius, so links grow with the texts. Those that a bottom-k sample
+of the shingles' hashes puts under the threshold by more than MARGIN are dropped (for
+a similar pair that has a chance of under 1e-17); the others are decided by all their
+shingles' hashes, whatever the length. Texts with more partners within the radius than
+that are crowded: those meet again by the shingles of their prefixes, of which any two
+of similarity THRESHOLD share one, and all pairs of them that are within the radius
+and not in one component yet are decided in the same way. So the groups are the
 components of all similar pairs within the radius. Copies collapse to one text before
 anything else.
 
@@ -37,6 +38,8 @@ RADIUS = 6
 SHINGLE = 5
 THRESHOLD = 0.8
 SAMPLE = 256
+#: Ten standard errors of the sample's estimate.
+MARGIN = 0.25
 #: Texts that are compared at once in a bucket.
 COMPARE = 256
 #: Pairs that leave a task at once.
@@ -266,17 +269,18 @@ def groups(docs: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD)
     named = links.select("u").union(links.select("v")).distinct().withColumnRenamed("u", "node").join(samples, "node")
     pairs = links.join(named.select(F.col("node").alias("u"), F.col("sample").alias("a")), "u").join(named.select(F.col("node").alias("v"), F.col("sample").alias("b")), "v")
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(k).to_pylist() for k in (2, 3))
-            good = np.array([similarity(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) >= threshold for x, y in zip(a, b, strict=True)], bool)
+            good = np.array([similarity(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) >= threshold - MARGIN for x, y in zip(a, b, strict=True)], bool)
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good)) for k in (0, 1)], names=["u", "v"])
 
-    near = pairs.select("u", "v", "a", "b").mapInArrow(confirm, "u long, v long")
-    comps, _ = written(connected_components(near), "components")
+    near, _ = written(pairs.select("u", "v", "a", "b").mapInArrow(likely, "u long, v long"), "likely")
+    wanted = near.select(F.col("u").alias("node")).union(near.select("v")).union(crowded).distinct()
+    sets, _ = written(_shingles(docs, nodes.join(wanted, "node").select("node", "least", "text_key")), "shingles")
+    comps, _ = written(connected_components(_similar(near, sets, threshold)), "components")
     if crowded.limit(1).count():
-        sets, _ = written(_shingles(docs, nodes.join(crowded, "node", "left_semi").select("node", "least", "text_key")), "shingles")
-        texts = sets.join(nodes.select("node", "fp"), "node").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        texts = sets.join(crowded, "node", "left_semi").join(nodes.select("node", "fp"), "node").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
         pairs, _ = written(_crowded_pairs(texts, radius, threshold), "crowded")
         more = _similar(pairs, sets, threshold)
         comps, _ = written(connected_components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more)), "components")

@@ -195,6 +195,27 @@ def test_near_texts_in_crowded_buckets_equal_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_near_texts_longer_than_the_sample_are_decided_exactly(spark):
+    from lodestack.llm import near_text
+
+    rng = random.Random(12)
+    texts = []
+    for k in range(40):  # a changed tail of d words makes the similarity (1196 - d) / (1196 + d): 0.8 is at 132.9
+        w = [f"t{k}w{rng.randrange(10**6)}" for _ in range(1200)]
+        d = 131 if k % 2 else 135
+        texts += [" ".join(w), " ".join(w[: 1200 - d] + [f"x{k}y{rng.randrange(10**6)}" for _ in range(d)])]
+    want = _near_text_brute_force(texts, radius=64)
+    assert sum(want[i] != i for i in range(len(texts))) == 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    wanted = docs.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("least"), near_text.text_key().alias("text_key"))
+    pairs = spark.createDataFrame([(i + 1, i) for i in range(0, len(texts), 2)], "u long, v long")
+    decided = {r["u"] for r in near_text._similar(pairs, near_text._shingles(docs, wanted), 0.8).collect()}
+    assert decided == {i for i in range(len(texts)) if want[i] != i}
+    # a pair beyond six bits need not be found, but none is taken that isn't similar, and nothing within them is lost
+    got = {r["doc_id"]: r["group_id"] for r in near_text.groups(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == _near_text_brute_force(texts)
+
+
 def test_registered_sql_gives_the_same_rows(spark):
     import duckdb
 
