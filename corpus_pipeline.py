@@ -33,14 +33,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the least id stays; rows without an id stay."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the least id stays; rows without an id stay.
+
+    Rows that share an id but not the text are different documents, of which the one with the least hash of its text
+    counts as the least; of rows that repeat both one stays."""
     docs = docs.select(*COLUMNS)
     found, _ = written(near_text.groups(docs), "near")
-    gone = found.where("doc_id <> group_id").select("doc_id").distinct()
-    out = docs.join(gone.hint("shuffle_merge"), "doc_id", "left_anti")  # the same plan at every size
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        by_id = out.where("doc_id is not null").groupBy("doc_id").agg(*[F.min_by(c, F.xxhash64("text")).alias(c) for c in COLUMNS[1:]])
-        out = by_id.select(*COLUMNS).unionByName(out.where("doc_id is null").select(*COLUMNS))
+    gone = found.where("doc_id <> group_id or (doc_id = group_id and text_key <> group_key)").select("doc_id", "text_key").distinct()
+    out = docs.withColumn("text_key", near_text.text_key()).join(gone.hint("shuffle_merge"), ["doc_id", "text_key"], "left_anti")  # the same plan at every size
+    if found.where("doc_id is not null").groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count():
+        once = out.where("doc_id is not null").groupBy("doc_id", "text_key").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
+        out = once.select("doc_id", "row.*").select(*COLUMNS).unionByName(out.where("doc_id is null").select(*COLUMNS))
     return out.select(*COLUMNS)
 
 

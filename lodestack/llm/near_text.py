@@ -258,11 +258,15 @@ def _crowded_pairs(texts: DataFrame, radius: int, threshold: float) -> DataFrame
 
 
 def groups(docs: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id and group_id, the least doc_id among the near duplicates that it is linked with."""
+    """One row per document: doc_id, text_key, group_id and group_key.
+
+    group_id is the least doc_id among the near duplicates that it is linked with, group_key the least text_key() of that id there."""
     profiles, _ = written(_profiles(docs), "profiles")
-    copies = profiles.groupBy("text_hash", "text_hash2").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("text_key").alias("text_key"))
+    # the least document: an id goes before none, and of an id's texts the one of the least key
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
+    copies = profiles.groupBy("text_hash", "text_hash2").agg(first, F.min("fp").alias("fp"))
     # a text's node number is its first hash: ids can be null or repeat
-    nodes, _ = written(copies.groupBy(F.col("text_hash").alias("node")).agg(F.min("least").alias("least"), F.min("fp").alias("fp"), F.min("text_key").alias("text_key")), "nodes")
+    nodes, _ = written(copies.groupBy(F.col("text_hash").alias("node")).agg(F.min("first").alias("first"), F.min("fp").alias("fp")), "nodes")
     found, _ = written(_candidates(nodes.select("node", "fp"), radius), "candidates")
     links, crowded = found.where("u <> v"), found.where("u = v").select(F.col("u").alias("node"))
     samples = profiles.groupBy(F.col("text_hash").alias("node")).agg(F.min("sample").alias("sample"))
@@ -277,7 +281,7 @@ def groups(docs: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD)
 
     near, _ = written(pairs.select("u", "v", "a", "b").mapInArrow(likely, "u long, v long"), "likely")
     wanted = near.select(F.col("u").alias("node")).union(near.select("v")).union(crowded).distinct()
-    sets, _ = written(_shingles(docs, nodes.join(wanted, "node").select("node", "least", "text_key")), "shingles")
+    sets, _ = written(_shingles(docs, nodes.join(wanted, "node").select("node", F.col("first.doc_id").alias("least"), "first.text_key")), "shingles")
     comps, _ = written(connected_components(_similar(near, sets, threshold)), "components")
     if crowded.limit(1).count():
         texts = sets.join(crowded, "node", "left_semi").join(nodes.select("node", "fp"), "node").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -285,6 +289,6 @@ def groups(docs: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD)
         more = _similar(pairs, sets, threshold)
         comps, _ = written(connected_components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more)), "components")
     labelled = nodes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = labelled.groupBy("component").agg(F.min("least").alias("group_id"))
-    by_node, _ = written(labelled.join(least, "component").select("node", "group_id"), "groups")
-    return profiles.select("doc_id", F.col("text_hash").alias("node")).join(by_node, "node").select("doc_id", "group_id")
+    least = labelled.groupBy("component").agg(F.min("first").alias("least"))
+    by_node, _ = written(labelled.join(least, "component").select("node", F.col("least.doc_id").alias("group_id"), F.col("least.text_key").alias("group_key")), "groups")
+    return profiles.select("doc_id", "text_key", F.col("text_hash").alias("node")).join(by_node, "node").select("doc_id", "text_key", "group_id", "group_key")

@@ -252,6 +252,20 @@ def test_pipeline_stages_on_planted_cases(spark):
     assert p.pack_sequences(spark, docs.limit(0), SF).count() == 0
 
 
+def test_near_dedup_keeps_different_texts_of_one_id(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(13)
+    a, b, c, d = (" ".join(f"{x}{rng.randrange(5000)}" for _ in range(200)) for x in "abcd")
+    near = a + " end"
+    rows = [(1, a), (2, b), (2, near), (3, c), (3, d), (3, d), (4, b), (5, c), (6, d), (6, d + " end"), (7, "x y z"), (7, None), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", str(k), 1) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in p.simhash_near_dedup(spark, docs, SF).collect()]
+    assert sorted(got, key=repr) == sorted([(1, a), (2, b), (3, c), (3, d), (7, "x y z"), (7, None), (None, a), (None, a)], key=repr)
+    both = spark.createDataFrame([(8, a, "en", "s", 1), (8, near, "en", "s", 1)], docs.schema)
+    assert p.simhash_near_dedup(spark, both, SF).count() == 1
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline as p
 
