@@ -23,4 +23,5 @@ def duplicate_blocks(files: DataFrame, n_lines: int = LEAST_LINES) -> DataFrame:
     starts = F.sequence(F.lit(1), F.size("l") - n_lines + 1)
     block = lambda k: F.struct(F.sha2(F.array_join(F.transform(F.slice("l", k, n_lines), lambda x: x["t"]), "\n"), 256).alias("hash"), F.element_at("l", k)["i"].alias("line"))
     each = files.select("path", numbered.alias("l")).where(F.size("l") >= n_lines).select("path", F.explode(F.transform(starts, block)).alias("b"))
-    return each.groupBy("b.hash").agg(F.count("*").alias("n_places"), F.approx_count_distinct("path").alias("n_files"), F.min(F.struct("path", "b.line")).alias("first")).where("n_places > 1").select("hash", "n_places", "n_files", F.col("first.path").alias("first_path"), F.col("first.line").alias("first_line"))
+    by_file = each.groupBy("b.hash", "path").agg(F.count("*").alias("n"), F.min("b.line").alias("line"))
+    return by_file.groupBy("hash").agg(F.sum("n").alias("n_places"), F.count("path").alias("n_files"), F.min(F.struct("path", "line")).alias("first")).where("n_places > 1").select("hash", "n_places", "n_files", F.col("first.path").alias("first_path"), F.col("first.line").alias("first_line"))

@@ -108,6 +108,12 @@ def test_duplicate_blocks(spark):
     assert len(r) == 1 and (r[0]["n_places"], r[0]["first_path"], r[0]["first_line"]) == (2, "a", 1)
 
 
+def test_duplicate_blocks_count_files_exactly(spark):
+    files = spark.range(3000).selectExpr("concat('f', id % 1500) as path", "'x\\ny\\nz\\nx\\ny\\nz' as content")
+    r = {x["n_places"]: x["n_files"] for x in duplication.duplicate_blocks(files, 3).collect()}
+    assert r == {6000: 1500, 3000: 1500}
+
+
 def test_search_by_text_and_duplicates_of_a_function(spark):
     f = functions(spark, [("loadRow", 5, 1, 0), ("loadRow", 5, 1, 0), ("other", 90, 7, 3)])
     provider = embed.HashingProvider(64)
