@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm.storage import written
+from lodestack.llm.textblock import binary_array
 from lodestack.llm.tokens import memo_for, tokenizer_file
 
 WINDOW = 2048
@@ -141,12 +142,11 @@ def place(length: np.ndarray, rank: np.ndarray, p: dict, window: int = WINDOW) -
 def _tokenised(docs: DataFrame, tokenizer: str, window: int, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = memo_for(tokenizer_file(tokenizer))
-        end = np.array([end_id], memo.dtype).tobytes()
-        size, part = memo.dtype.itemsize, TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         seen, full = np.zeros(window, np.int64), 0
         for batch in batches:
-            ids = [x + end for x in memo.encode(batch.column(1))]
-            n = np.fromiter(map(len, ids), np.int64, len(ids)) // size
+            ids, at = memo.encode(batch.column(1), end_id)
+            n = np.diff(at)
             rest = n % window
             # rank among equal remainders of this partition, in row order
             order = np.argsort(rest, kind="stable")
@@ -159,7 +159,7 @@ def _tokenised(docs: DataFrame, tokenizer: str, window: int, end_id: int) -> Dat
             seen += np.bincount(rest, minlength=window)
             before = full + np.cumsum(n // window) - n // window
             full += int((n // window).sum())
-            cols = [batch.column(0), pa.array(ids, pa.binary()), pa.array(n), pa.array(np.full(len(n), part, np.int64)), pa.array(before), pa.array(rest.astype(np.int32)), pa.array(rank)]
+            cols = [batch.column(0), binary_array(ids.view(np.uint8), at * memo.dtype.itemsize), pa.array(n), pa.array(np.full(len(n), part, np.int64)), pa.array(before), pa.array(rest.astype(np.int32)), pa.array(rank)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "n", "part", "full_before", "rest", "rank"])
 
     docs = docs.select("doc_id", "text")

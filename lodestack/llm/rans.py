@@ -148,36 +148,37 @@ def _tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = memo_for(tokenizer_file(tokenizer))
-        end, size = np.array([end_id], memo.dtype).tobytes(), memo.dtype.itemsize
         pack = zstandard.ZstdCompressor(level=3)
         part = TaskContext.get().partitionId()
         first = 0
-        held: list[tuple] = []
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []  # ids of documents, their sizes, token ids
         amount = 0
 
         def row() -> pa.RecordBatch:
             nonlocal first
-            n = [len(x) // size for _, x in held]
-            ids = b"".join(x for _, x in held)
-            ids = np.frombuffer(ids, memo.dtype).astype("<u2" if size == 2 else "<u4")
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([part]), pa.array([first]), pa.array([[d for d, _ in held]], pa.list_(id_arrow)), pa.array([n], pa.list_(pa.int64())), pa.array([pack.compress(ids.tobytes())], pa.binary())],
-                names=["part", "first", "doc_id", "n", "ids"],
-            )
-            first += len(held)
+            names, sizes = pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            ids = pack.compress(np.concatenate([h[2] for h in held]).tobytes())
+            whole = pa.array([0, len(sizes)], pa.int32())
+            lists = [pa.ListArray.from_arrays(whole, x) for x in (names, pa.array(sizes))]
+            out = pa.RecordBatch.from_arrays([pa.array([part]), pa.array([first]), *lists, pa.array([ids], pa.binary())], names=["part", "first", "doc_id", "n", "ids"])
+            first += len(sizes)
             return out
 
         for batch in batches:
-            id_arrow = batch.schema.field(0).type
-            names = batch.column(0).to_pylist()
-            for s in range(0, batch.num_rows, 500):
-                for d, x in zip(names[s : s + 500], memo.encode(batch.column(1).slice(s, 500)), strict=True):
-                    held.append((d, x + end))
-                    amount += len(x) // size + 1
+            for s in range(0, batch.num_rows, 1000):
+                names = batch.column(0).slice(s, 1000)
+                ids, at = memo.encode(batch.column(1).slice(s, 1000), end_id)
+                i = 0
+                while i < len(names):
+                    # up to the document that fills the block
+                    j = min(int(np.searchsorted(at, at[i] + BLOCK_TOKENS - amount)), len(names))
+                    held.append((names.slice(i, j - i), np.diff(at[i : j + 1]), ids[at[i] : at[j]]))
+                    amount += int(at[j] - at[i])
                     if amount >= BLOCK_TOKENS:
                         yield row()
                         held.clear()
                         amount = 0
+                    i = j
         if held:
             yield row()
 

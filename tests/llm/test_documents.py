@@ -134,21 +134,62 @@ def test_fm_index_finds_every_occurrence():
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
 
 
+_ALPHABET = [
+    " ", " ", " ", "\n", "\n\n", "  ", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u200b", "a", "B", "word", "Hello", "nation",
+    "é", "É", "ñ", "Ñ", "ß", "ÿ", "Ÿ", "Þ", "þ", "×", "İ", "İ.", "İ,", "Σ", "ΑΣ", "ﬁ", "e\u0301", "A\u030a", "\u0301", "ª", "µ", "ĳ", "ǅ", "東京", "☃", "😀",
+    "0", "1", "23", "９", "Ⅷ", "'", "'s", "'LL", ".", ",", "!", "_", "-", "—", "\x00", "<|", "|>", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "x" * 23, "y" * 40, "?" * 30,
+]
+
+
+@pytest.mark.parametrize("memo", [2_000_000, 600, 40])
 @pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_memo_gives_the_tokenizers_ids(file):
+def test_memo_gives_the_librarys_ids(file, memo):
+    """Against a tokenizer as the file describes it, no setting changed; small memos lose pieces on the way."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng = random.Random(memo)
+    m = tokens.PieceMemo(tokens.tokenizer_file(file), memo_pieces=memo)
+    assert m.cuts
+    texts = [t for _, t in BASE] + [None, "", "hello <|endoftext|> world", "ok İstanbulİ. end", "aİ.", "☃ snow☃", "a\n\nb", "x\ny", " ", "\n", "don't DON'T 's"]
+    texts += ["".join(rng.choice(_ALPHABET) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    texts += ["".join(rng.choice(" aéÉB.'1\n") for _ in range(rng.randint(0, 60))) for _ in range(1000)]
+    plain = Tokenizer.from_file(tokens.tokenizer_file(file))
+    want = [e.ids for e in plain.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for _ in range(2):
+        for k in range(0, len(texts), 500):
+            ids, at = m.encode(pa.array(texts[k : k + 500], pa.string()))
+            got = [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+            assert got == want[k : k + 500]
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+
     import pyarrow as pa
+    from tokenizers import Tokenizer
 
-    memo = tokens.WordMemo(tokens.tokenizer_file(file), memo_words=50)
-    texts = [t for _, t in BASE] + [None, "İstanbul ΑΣ", "☃ snow☃", "é x", "a\n\nb", "x\ny"] + ["".join(random.choice(" \nab1'é.,!☃sÍ　\t") for _ in range(random.randint(1, 40))) for _ in range(300)]
-    want = [np.array(memo.tokenizer.encode(t or "", add_special_tokens=False).ids, memo.dtype).tobytes() for t in texts]
-    assert memo.encode(pa.array(texts, pa.string())) == want
+    rules = json.load(open(tokens.tokenizer_file("byte_bpe_50k.json")))
+    rules["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(rules))
+    m = tokens.PieceMemo(str(tmp_path / "t.json"))
+    assert not m.cuts
+    texts = ["one two", None, "x <|endoftext|> y"]
+    plain = Tokenizer.from_file(str(tmp_path / "t.json"))
+    ids, at = m.encode(pa.array(texts, pa.string()), 3)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [plain.encode(t or "", add_special_tokens=False).ids + [3] for t in texts]
 
 
 def _ids(text, file, end):
-    t = tokens.memo_for(tokens.tokenizer_file(file)).tokenizer
+    from tokenizers import Tokenizer
+
+    t = _PLAIN.setdefault(file, Tokenizer.from_file(tokens.tokenizer_file(file)))
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4").tobytes()
 
 
+_PLAIN = {}
+
+
 def test_rans_files_round_trip(spark):
     rows = [r for r in BASE if r[0] != 5] + [(5, "x"), (5, "x"), (5, "y")]
     path = new_path(spark, "test")
