@@ -6,13 +6,15 @@ shallow combinations of lengths that fill a window exactly are enumerated,
 their repeat counts solved by non-negative least squares, rounded down to what
 the histogram holds, and what is left is packed greedily: laid end to end,
 longest first, and cut at the windows' ends. A remainder's place then follows
-from its length and its rank among the remainders of that length, so no row
-moves: ranks are counted where documents lie and shifted by counts of the
-partitions before.
-
-Defined results: null texts are empty and hold the end id alone; repeated rows
-are packed once each; only the last sequence can be short; other columns are
-ignored.
+from its length and its rank among the remainders of that length: ranks are counted
+where documents lie and shifted by counts of the partitions before, which meet the
+ids in one sort-merge join by partition and length.
+
+Defined results: null texts are empty and hold the end id alone, and so are empty
+ones; very long texts fill whole windows, each a piece of its own; repeated rows and
+rows of a repeated or null doc_id are packed once each; ties (remainders of equal
+length) go in the order of partitions and rows; an empty table gives no rows; only
+the last sequence can be short; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +36,6 @@ WINDOW = 2048
 END_ID = 1
 #: Lengths that combinations of three and of four are made of: the most frequent ones.
 TOP_THREE, TOP_FOUR = 64, 16
-#: Entries of (partition, length) up to which the shifts are broadcast (28 bytes each); beyond, they are joined by both.
-BROADCAST_ENTRIES = 500_000
 
 
 def combinations(histogram: np.ndarray, window: int = WINDOW) -> list[tuple[int, ...]]:
@@ -191,10 +191,9 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = WI
         blocks_before[r["b"]], total = total, total + r["f"]
     base = F.create_map(*[F.lit(int(x)) for kv in blocks_before.items() for x in kv]) if blocks_before else F.create_map(F.lit(0), F.lit(0))
     fulls = fulls.select("part", (F.coalesce(in_block, F.lit(0)) + F.coalesce(F.element_at(base, block.cast("int")), F.lit(0))).cast("long").alias("full_shift"))
-    shifts, _ = written(counts.select("part", "rest", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("shift")).join(fulls, "part"), "shifts")
-    if shifts.count() <= BROADCAST_ENTRIES:
-        shifts = F.broadcast(shifts)
-    joined = tokens.join(shifts, ["part", "rest"]).select("doc_id", "ids", "n", "full_before", "rest", "rank", "full_shift", "shift")
+    shifts = counts.select("part", "rest", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("shift")).join(fulls, "part")
+    # a sort-merge join at every size: the shifts grow with the partitions, so they are never broadcast
+    joined = tokens.join(shifts.hint("shuffle_merge"), ["part", "rest"]).select("doc_id", "ids", "n", "full_before", "rest", "rank", "full_shift", "shift")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = layout.value

@@ -1,9 +1,9 @@
 """Count-min sketch of a distributed set of keys, of fixed size.
 
 Each partition counts its keys into a sparse sketch (cells that are not zero,
-saturating at two), the partitions' sketches are merged slice by slice, and what
-comes back is a bit a cell: reached twice or more. Counts are never under-
-estimated, so a key that occurs twice is always reported; others rarely.
+saturating), the partitions' sketches are merged slice by slice, and what comes
+back is two bits a cell: reached twice or more, and `heavy` times or more. Counts are
+never underestimated, so a key that occurs so often is always reported; others rarely.
 """
 
 from __future__ import annotations
@@ -14,14 +14,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Cells of a row of the sketch. The merged bits take DEPTH * 2^WIDTH_BITS / 8 bytes (32 MB), whatever the input.
+#: Cells of a row of the sketch. The merged bits take 2 * DEPTH * 2^WIDTH_BITS / 8 bytes (64 MB), whatever the input.
 WIDTH_BITS = 27
 DEPTH = 2
 SLICE_BITS = 21
+#: Occurrences from which a key counts as heavy.
+HEAVY = 1000
+_MOST = (1 << 32 - SLICE_BITS) - 1
 #: Keys that a partition counts at once.
 FLUSH_KEYS = 1 << 21
 _ROWS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
-_TWICE = np.uint32(1 << 31)
 
 
 def cells(keys: np.ndarray, row: int) -> np.ndarray:
@@ -29,33 +31,21 @@ def cells(keys: np.ndarray, row: int) -> np.ndarray:
 
 
 def partition_sketch(keys: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(slice, cells) of one batch of keys; the top bit of a cell says that it was reached twice."""
+    """(slice, cells) of one batch of keys; a cell's upper bits say how often it was reached."""
     for row in range(DEPTH):
         at = np.sort(cells(keys, row))
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         count = np.diff(np.append(first, len(at)))
         at = at[first]
         part = at >> np.uint32(SLICE_BITS)
-        low = (at & np.uint32((1 << SLICE_BITS) - 1)) | np.where(count > 1, _TWICE, np.uint32(0))
+        low = (at & np.uint32((1 << SLICE_BITS) - 1)) | (np.minimum(count, _MOST).astype(np.uint32) << np.uint32(SLICE_BITS))
         edges = np.searchsorted(part, np.arange((1 << (WIDTH_BITS - SLICE_BITS)) + 1))
         for s in np.flatnonzero(np.diff(edges)):
             yield (row << (WIDTH_BITS - SLICE_BITS)) + int(s), low[edges[s] : edges[s + 1]].astype("<u4").tobytes()
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    slices: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for s, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            low = np.frombuffer(blob.as_buffer(), "<u4")
-            counts = slices.setdefault(s, np.zeros(1 << SLICE_BITS, np.uint8))
-            at = low & ~_TWICE
-            counts[at] = np.minimum(counts[at] + 1 + (low >= _TWICE), 2)
-    for s, counts in slices.items():
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(counts >= 2, bitorder="little").tobytes()], pa.binary())], names=["slice", "bits"])
-
-
-def repeated_cells(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> np.ndarray:
-    """Bits (DEPTH rows of 2^WIDTH_BITS / 8 bytes) of the cells that all keys of df reach at least twice."""
+def repeated_cells(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], heavy: int = HEAVY) -> np.ndarray:
+    """Bits of the cells that all keys of df reach at least twice, and at least `heavy` times (at most HEAVY): [2, DEPTH, 2^WIDTH_BITS / 8]."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, amount = [], 0
@@ -74,15 +64,29 @@ def repeated_cells(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[n
         if amount:
             yield flush()
 
-    merged = df.mapInArrow(count, "slice int, cells binary").repartition("slice").mapInArrow(_merge, "slice int, bits binary")
-    out = np.zeros((DEPTH << (WIDTH_BITS - SLICE_BITS), 1 << (SLICE_BITS - 3)), np.uint8)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for s, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                low = np.frombuffer(blob.as_buffer(), "<u4")
+                if s not in slices:
+                    slices[s] = np.zeros(1 << SLICE_BITS, np.uint16)
+                counts, at = slices[s], low & np.uint32((1 << SLICE_BITS) - 1)
+                counts[at] = np.minimum(counts[at] + (low >> np.uint32(SLICE_BITS)).astype(np.uint16), heavy)
+        for s, counts in slices.items():
+            bits = [pa.array([np.packbits(counts >= n, bitorder="little").tobytes()], pa.binary()) for n in (2, heavy)]
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *bits], names=["slice", "bits", "heavy"])
+
+    merged = df.mapInArrow(count, "slice int, cells binary").repartition("slice").mapInArrow(merge, "slice int, bits binary, heavy binary")
+    out = np.zeros((2, DEPTH << (WIDTH_BITS - SLICE_BITS), 1 << (SLICE_BITS - 3)), np.uint8)
     for r in merged.toLocalIterator():  # DEPTH * 64 rows at most
-        out[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.reshape(DEPTH, -1)
+        out[0, r["slice"]] = np.frombuffer(r["bits"], np.uint8)
+        out[1, r["slice"]] = np.frombuffer(r["heavy"], np.uint8)
+    return out.reshape(2, DEPTH, -1)
 
 
-def maybe_repeated(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """True where the sketch's estimate is two or more."""
+def reached(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """True where all the key's cells have their bit: its estimate is as high as bits (one half of repeated_cells()) ask for."""
     out = np.ones(len(keys), bool)
     for row in range(DEPTH):
         at = cells(keys, row)

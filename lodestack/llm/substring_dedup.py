@@ -4,8 +4,14 @@ Words are runs of non-white-space bytes, unchanged; windows are judged on the
 input. The count-min prefilter (sketch.py) counts, for each window, the anchor
 shingle that stands for it: a count no smaller than the window's own, so no
 repeated window is lost. The second pass groups the windows estimated repeated
-exactly, by 128 bits of their words. Null texts have no words; other
-columns pass through, but those named like the results are replaced.
+exactly, by 128 bits of their words.
+
+Defined results: null, empty and wordless texts have no words and keep nothing;
+texts of fewer words than a window lose nothing; very long texts are treated like
+any others; of rows that repeat id and text each gets the same result, and of rows
+that share an id alone none removes from the other; a null doc_id counts as smaller
+than all others; an empty table gives no rows; other columns pass through, whatever
+their names, but those named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestack.llm.repeats import Level, segments, spans_of, spans_to_remove, with_spans
+from lodestack.llm.sketch import HEAVY
 from lodestack.llm.textblock import as_bytes, gather, run_hashes, span_hashes, words
 
 LENGTH = 13
@@ -35,7 +42,8 @@ def _cut(length: int, shingle: int):
             picked, cuts = gather(both, a, b - a + 1)
             return picked.ravel(), cuts * 16
 
-        return segments(run_hashes(low, shingle, 2), length, shingle, firsts), firsts, digests
+        # a portion is one window
+        return segments(run_hashes(low, shingle, 2), length, shingle, firsts), firsts, digests, lambda a, _: run_hashes(low, length, 0)[a]
 
     return cut
 
@@ -53,14 +61,14 @@ def _judge(payloads: list[bytes], docs: np.ndarray, starts: np.ndarray) -> tuple
     return earlier, windows
 
 
-def word_level(length: int = LENGTH, shingle: int = SHINGLE) -> Level:
-    return Level(length, _cut(length, shingle), _judge, same_document=False)
+def word_level(length: int = LENGTH, shingle: int = SHINGLE, heavy: int = HEAVY) -> Level:
+    return Level(length, 1, _cut(length, shingle), _judge, lambda sizes: sizes // 16, same_document=False, heavy=heavy)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True, heavy: int = HEAVY) -> DataFrame:
     """docs plus n_words, n_removed, kept_sha256, and kept (the remaining words joined by blanks; null unless with_text)."""
     docs = docs.drop("n_words", "n_removed", "kept_sha256", "kept")
-    joined = with_spans(docs, spans_to_remove(docs, word_level(length)))
+    joined = with_spans(docs, spans_to_remove(docs, word_level(length, heavy=heavy)))
     text_at, spans_at = joined.columns.index("text"), len(joined.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,8 +3,13 @@
 Texts are UTF-8 bytes; matches never cross documents and are judged on the
 input. Suffixes that can take part (see repeats.py) are sorted bucket by bucket
 with a difference cover (see difference_cover.py); neighbours in suffix order
-that share `length` bytes are the repeats. Null texts are empty;
-other columns pass through, but those named like the results are replaced.
+that share `length` bytes are the repeats.
+
+Defined results: null texts are empty; texts shorter than `length` bytes lose
+nothing; very long texts are treated like any others (a block of their own); of rows
+that repeat id and text each gets the same result; a null doc_id counts as smaller
+than all others; an empty table gives no rows; other columns pass through, whatever
+their names, but those named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -19,10 +24,13 @@ from pyspark.sql import functions as F
 
 from lodestack.llm.difference_cover import equal_prefix_classes
 from lodestack.llm.repeats import Level, segments, spans_of, spans_to_remove, with_spans
-from lodestack.llm.textblock import as_bytes, gather, mix, random_words
+from lodestack.llm.sketch import HEAVY
+from lodestack.llm.textblock import as_bytes, gather, mix, random_words, span_hashes
 
 LENGTH = 100
 PIECE = 32
+#: Windows of a heavy anchor that travel together: what they do not share is so short that it takes few values.
+PORTION = 3
 _BYTES = random_words(256, 31)
 _FACTORS = random_words(5, 32) | np.uint64(1)
 
@@ -38,7 +46,7 @@ def _piece_hashes(data: np.ndarray) -> np.ndarray:
 def _cut(length: int):
     def cut(data: np.ndarray, offsets: np.ndarray):
         hashes = _piece_hashes(data) if len(data) >= length else np.zeros(0, np.uint64)
-        return segments(hashes, length, PIECE, offsets), offsets, lambda a, b: gather(data, a, b - a + length)
+        return segments(hashes, length, PIECE, offsets), offsets, lambda a, b: gather(data, a, b - a + length), lambda a, b: span_hashes(data, a, b)
 
     return cut
 
@@ -62,16 +70,16 @@ def _judge(length: int):
     return judge
 
 
-def byte_level(length: int = LENGTH) -> Level:
+def byte_level(length: int = LENGTH, heavy: int = HEAVY) -> Level:
     if length < 40:
         raise ValueError("length must be 40 or more")
-    return Level(length, _cut(length), _judge(length))
+    return Level(length, PORTION, _cut(length), _judge(length), lambda sizes: sizes - length + 1, heavy=heavy)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True, heavy: int = HEAVY) -> DataFrame:
     """docs plus n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes as text, broken characters left out; null unless with_text)."""
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
-    joined = with_spans(docs, spans_to_remove(docs, byte_level(length)))
+    joined = with_spans(docs, spans_to_remove(docs, byte_level(length, heavy)))
     text_at, spans_at = joined.columns.index("text"), len(joined.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

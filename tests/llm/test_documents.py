@@ -43,24 +43,50 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert {"score", "fp"} <= set(out.columns)
 
 
-def test_substring_dedup_equals_brute_force(spark):
-    def brute(docs):
-        import hashlib
-
-        split = [(d, (t or "").encode().split()) for d, t in docs]
-        least = {}
-        for d, w in split:
-            for i in range(len(w) - 12):
-                least[tuple(w[i : i + 13])] = min(least.get(tuple(w[i : i + 13]), d), d)
-        out = []
-        for d, w in split:
-            gone = {k for i in range(len(w) - 12) if least[tuple(w[i : i + 13])] < d for k in range(i, i + 13)}
-            kept = [x for k, x in enumerate(w) if k not in gone]
-            out.append((d, len(w), len(gone), hashlib.sha256(b" ".join(kept)).hexdigest()))
-        return sorted(out, key=repr)
+def _brute_substring(docs):
+    import hashlib
+
+    split = [(d, (t or "").encode().split()) for d, t in docs]
+    least = {}
+    for d, w in split:
+        for i in range(len(w) - 12):
+            least[tuple(w[i : i + 13])] = min(least.get(tuple(w[i : i + 13]), d), d)
+    out = []
+    for d, w in split:
+        gone = {k for i in range(len(w) - 12) if least[tuple(w[i : i + 13])] < d for k in range(i, i + 13)}
+        kept = [x for k, x in enumerate(w) if k not in gone]
+        out.append((d, len(w), len(gone), hashlib.sha256(b" ".join(kept)).hexdigest()))
+    return sorted(out, key=repr)
+
 
+def test_substring_dedup_equals_brute_force(spark):
     got = rows_of(substring_dedup.remove_repeats(frame(spark, BASE).repartition(5)).select("doc_id", "n_words", "n_removed", "kept_sha256"))
-    assert got == brute(BASE)
+    assert got == _brute_substring(BASE)
+
+
+@pytest.mark.parametrize("heavy", [2, 5])
+def test_heavy_anchors_give_the_same_result(spark, heavy):
+    """All anchors or the frequent ones go by portions: a passage within many surroundings, runs of one letter, copies."""
+    rng = random.Random(heavy)
+    words = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 7))) for _ in range(40)]
+    rows = [(i, f"{' '.join(rng.choice(words) for _ in range(rng.randint(0, 30)))} {PASSAGE[: rng.randint(0, 300)]} {' '.join(rng.choice(words) for _ in range(20))}") for i in range(60)]
+    rows += [(100 + i, t) for i, (_, t) in enumerate(rows[:10])] + [(200, "a" * 500), (201, "b" + "a" * 300 + "b" + "a" * 90), (202, "ab" * 150), (203, f"{PASSAGE} {PASSAGE}"), (204, " ".join(words) * 3)]
+    docs = frame(spark, rows).repartition(6)
+    got = rows_of(suffix_dedup.remove_repeats(docs, heavy=heavy).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
+    assert got == sorted(suffix_dedup.brute_force(rows), key=repr)
+    got = rows_of(substring_dedup.remove_repeats(docs, heavy=heavy).select("doc_id", "n_words", "n_removed", "kept_sha256"))
+    assert got == _brute_substring(rows)
+
+
+def test_dedup_keeps_clashing_columns(spark):
+    names = ["doc", "hash", "spans", "doc2", "hash2", "key", "payload", "__doc", "__spans", "kept"]
+    docs = frame(spark, [(1, PASSAGE), (2, PASSAGE)]).select("doc_id", "text", *[F.lit(f"mine {n}").alias(n) for n in names])
+    for out in (suffix_dedup.remove_repeats(docs), substring_dedup.remove_repeats(docs)):
+        rows = out.collect()
+        assert all(r[n] == f"mine {n}" for r in rows for n in names[:-1])
+        assert {r["doc_id"]: r["kept"] for r in rows} == {1: PASSAGE, 2: ""}
+    with pytest.raises(TypeError):
+        suffix_dedup.remove_repeats(docs.withColumn("doc_id", F.lit("x")))
 
 
 def test_repeated_rows_and_null_ids_have_a_defined_result(spark):
