@@ -5,10 +5,16 @@ no shuffle: words outside the benchmark's vocabulary cannot be part of a match
 and become separators, what is left is indexed, all test phrases are searched
 backwards at once, and their occurrences are merged to removal spans.
 
-Defined results: null or wordless texts have no words and no hits; a null or
-wordless item matches nothing; items that repeat an id count once, a null id
-counts as the empty string; other columns pass through, but those named like
-the results are replaced.
+A benchmark goes in blocks of BLOCK_BYTES, so neither driver nor workers hold more
+than one: each block is one pass over the documents, which carries what was found
+before it, and with more than one block a pass is written to the shared folder.
+
+Defined results: null, empty or wordless texts have no words and no hits; very long
+texts are treated like any others; a null or wordless item matches nothing, and an
+empty benchmark leaves all as it is; items that repeat an id count once, a null id
+counts as the empty string; repeated documents and null ids get results like any
+others, an empty table none; other columns pass through, whatever their names, but
+those named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -19,15 +25,17 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.fm_index import FMIndex
+from lodestack.llm.storage import written
 from lodestack.llm.textblock import as_bytes, words
 
 WINDOW = 10
-#: Bytes of benchmark text in one broadcast; a larger benchmark goes in several, searched in turn.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text in one broadcast, whose windows take about ten times as much; a larger benchmark goes in several, one after the other.
+BLOCK_BYTES = 4 << 20
 #: Symbols in one index.
 SHARD_SYMBOLS = 1 << 20
 
@@ -56,7 +64,7 @@ def phrases(items: list[tuple[str | None, str | None]], window: int = WINDOW) ->
             rows += cut
             owners += [len(names) - 1] * len(cut)
     lengths = np.array([len(r) for r in rows], np.int64)
-    table = np.zeros((len(rows), window), np.int64)
+    table = np.zeros((len(rows), window), np.int32)
     for i, r in enumerate(rows):
         table[i, : len(r)] = r
     return {"vocabulary": vocabulary, "patterns": table, "lengths": lengths, "owners": np.array(owners, np.int64), "names": names}
@@ -122,54 +130,79 @@ def _cut(text: bytes, spans: np.ndarray) -> str:
     return b"".join([*kept, text[at:]]).decode("utf-8", "replace")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, with_text: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs plus n_words, n_hit, spans (in words), items (sorted ids) and clean (the text without the spans; null unless with_text)."""
-    spark = docs.sparkSession
-    blocks, current, size = [], [], 0
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
+    """Items in blocks, one after the other; at least one block."""
+    current, size, some = [], 0, False
     for row in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
         current.append((row[0], row[1]))
-        size += len(row[1] or "")
+        size += len((row[1] or "").encode())
         if size >= block_bytes:
-            blocks.append(spark.sparkContext.broadcast(phrases(current, window)))
-            current, size = [], 0
-    blocks.append(spark.sparkContext.broadcast(phrases(current, window)))
+            yield current
+            current, size, some = [], 0, True
+    if current or not some:
+        yield current
+
+
+_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, with_text: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs plus n_words, n_hit, spans (in words), items (sorted ids) and clean (the text without the spans; null unless with_text)."""
+    spark = docs.sparkSession
     docs = docs.drop("n_words", "n_hit", "spans", "items", "clean")
-    schema = docs.schema
-    text_at = schema.names.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = as_bytes(batch.column(text_at))
-            texts = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(batch.num_rows)]
-            split = [fold_words(t) for t in texts]
-            bounds = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)
-            cover = np.zeros(bounds[-1] + 1, np.int64)
-            items: list[set[str]] = [set() for _ in texts]
-            for b in blocks:
-                at, length, owner = occurrences(split, b.value)
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + length, -1)
-                row = np.searchsorted(bounds, at, side="right") - 1
-                for r, o in np.unique(np.stack([row, owner], axis=1), axis=0).tolist():
-                    items[r].add(b.value["names"][o])
-            hit = np.cumsum(cover)[:-1] > 0
-            spans, clean, n_hit = [], [], []
-            for i, t in enumerate(texts):
-                marks = hit[bounds[i] : bounds[i + 1]]
-                n = int(marks.sum())
-                n_hit.append(n)
-                runs = _merged(marks) if n else ()
-                spans.append([{"start": int(a), "end": int(b)} for a, b in runs])
-                clean.append((_cut(t, runs) if n else t.decode("utf-8", "replace")) if with_text else None)
-            new = [
-                pa.array(np.diff(bounds)), pa.array(n_hit, pa.int64()),
-                pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(clean, pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "n_words", "n_hit", "spans", "items", "clean"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return docs.mapInArrow(run, f"{fields}, {SCHEMA}")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    text_at, width = docs.columns.index("text"), len(docs.columns)
+
+    def one_pass(found: DataFrame, items: list) -> tuple[DataFrame, Broadcast]:
+        """found: docs, with the results of the blocks before if there were any."""
+        shared, again = spark.sparkContext.broadcast(phrases(items, window)), len(found.columns) > width
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield _searched(batch, text_at, width, again, shared.value, with_text)
+
+        return found.mapInArrow(run, f"{fields}, {SCHEMA}"), shared
+
+    blocks = _blocks(benchmark, block_bytes)
+    found, shared = one_pass(docs, next(blocks))
+    for items in blocks:
+        done, _ = written(found, "decontaminated")
+        shared.destroy()
+        found, shared = one_pass(done, items)
+    return found
+
+
+def _searched(batch: pa.RecordBatch, text_at: int, width: int, again: bool, block: dict, with_text: bool) -> pa.RecordBatch:
+    data, offsets = as_bytes(batch.column(text_at))
+    texts = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(batch.num_rows)]
+    split = [fold_words(t) for t in texts]
+    bounds = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)
+    cover = np.zeros(bounds[-1] + 1, np.int64)
+    items: list[set[str]] = [set() for _ in texts]
+    if again:
+        before, names = (batch.column(width + k).to_pylist() for k in (2, 3))
+        for i, spans in enumerate(before):
+            items[i].update(names[i])
+            for s in spans:
+                cover[bounds[i] + s["start"]] += 1
+                cover[bounds[i] + s["end"]] -= 1
+    at, length, owner = occurrences(split, block)
+    np.add.at(cover, at, 1)
+    np.add.at(cover, at + length, -1)
+    row = np.searchsorted(bounds, at, side="right") - 1
+    for r, o in np.unique(np.stack([row, owner], axis=1), axis=0).tolist():
+        items[r].add(block["names"][o])
+    hit = np.cumsum(cover)[:-1] > 0
+    spans, clean, n_hit = [], [], []
+    for i, t in enumerate(texts):
+        marks = hit[bounds[i] : bounds[i + 1]]
+        n = int(marks.sum())
+        n_hit.append(n)
+        runs = _merged(marks) if n else ()
+        spans.append([{"start": int(a), "end": int(b)} for a, b in runs])
+        clean.append((_cut(t, runs) if n else t.decode("utf-8", "replace")) if with_text else None)
+    new = [pa.array(np.diff(bounds)), pa.array(n_hit, pa.int64()), pa.array(spans, pa.list_(_SPAN)), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(clean, pa.string())]
+    return pa.RecordBatch.from_arrays([*batch.columns[:width], *new], names=[*batch.schema.names[:width], "n_words", "n_hit", "spans", "items", "clean"])
 
 
 def op9_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -2,25 +2,29 @@
 
 Vectors x become integers floor(1024 x). One more coordinate makes all squared
 norms equal, so that a larger inner product is exactly a smaller distance, which
-is a metric, and the tree's triangle inequalities hold. Each partition builds
-its own tree of pages: a node keeps its centre, its covering radius and its
-distance to the parent's centre, an entry its distance to the page's centre.
-From the distance query - parent, a node or entry is bounded without computing
-its own distance, and the search takes the nearest bound first and stops when
-no bound can beat the k-th score. Scores are integers, so results are exact.
+is a metric, and the tree's triangle inequalities hold. Each partition builds its
+trees of pages once and writes them to the shared folder: a node keeps its centre,
+its covering radius and its distance to the parent's centre, an entry its distance
+to the page's centre. From the distance query - parent, a node or entry is bounded
+without computing its own distance, and the search takes the nearest bound first and
+stops when no bound can beat the k-th score. Scores are integers, so results are exact.
 
-Queries are a stated set and go to the partitions in blocks of QUERY_BLOCK;
-partitions return k candidates each, and ranks are made over those.
+Queries are a stated set and go to the trees in blocks of QUERY_BLOCK, one after the
+other; trees return k candidates each, and ranks are made over those.
 
 Defined results: vectors that are null or hold a null or non-finite component
-take no part; vectors of another length than most are an error; ties go to the
-smaller vec_id; rows that repeat a vec_id are candidates each, but never of a
-query with that id; a null vec_id takes no part; other columns are ignored.
+take no part, nor do those of another length than the most frequent one (of equally
+frequent ones the least) and those whose squared integer norm is 2^62 or more, as
+their scores can exceed 64 bits; empty vectors score 0; ties go to the smaller vec_id;
+rows that repeat a vec_id are candidates each, and as queries are ranked together, but
+a row is never a candidate of a query with its id; a null vec_id takes no part; an empty table gives
+no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack.llm.storage import new_path, written
+
 SCALE = 1024
 K = 10
 PAGE = 64
@@ -35,9 +41,9 @@ FANOUT = 16
 #: Query vectors in one broadcast.
 QUERY_BLOCK = 20_000
 #: Vectors of one tree; a larger partition gets several.
-TREE_VECTORS = 1 << 16
-#: Added to bounds, beyond the rounding of distances in double precision.
-SLACK = 1e-6
+TREE_VECTORS = 1 << 13
+#: Added to bounds, as a share of the greatest distance: beyond the rounding of distances in double precision.
+SLACK = 1e-7
 
 
 class MTree:
@@ -45,10 +51,7 @@ class MTree:
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray):
         self.x, self.ids = vectors, ids
-        squared = (vectors * vectors).sum(axis=1)
-        self.top = int(squared.max(initial=0))
-        self.lift = np.sqrt((self.top - squared).astype(float))
-        self.full = np.concatenate([vectors.astype(float), self.lift[:, None]], axis=1)
+        self._lift()
         self.centre: list[np.ndarray] = []
         self.radius: list[float] = []
         self.to_parent: list[float] = []
@@ -59,6 +62,24 @@ class MTree:
         if len(ids):
             self._build(np.arange(len(ids)), None)
         self.radius, self.to_parent = np.array(self.radius), np.array(self.to_parent)
+        #: inner products computed by searches
+        self.computed = 0
+
+    def _lift(self) -> None:
+        squared = (self.x * self.x).sum(axis=1)
+        self.top = int(squared.max(initial=0))
+        self.full = np.concatenate([self.x.astype(float), np.sqrt((self.top - squared).astype(float))[:, None]], axis=1)
+
+    def __getstate__(self) -> dict:
+        """What is written: without what follows from the vectors, and those as narrow as they are."""
+        most = int(np.abs(self.x).max(initial=0))
+        narrow = self.x.astype(np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.int64)
+        return {k: v for k, v in vars(self).items() if k not in ("full", "rng")} | {"x": narrow}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update(state)
+        self.x = self.x.astype(np.int64)
+        self._lift()
 
     def _build(self, members: np.ndarray, parent: np.ndarray | None) -> int:
         node = len(self.centre)
@@ -92,11 +113,12 @@ class MTree:
         # the query's own lift is free: zero keeps distances smallest and order the same
         q = np.append(query.astype(float), 0.0)
         constant = float((q * q).sum()) + self.top
+        slack = SLACK * np.sqrt(constant) + SLACK
         best: list[tuple[int, int]] = []  # heap of (score, -id), worst first
 
         def reach() -> float:
             """Distance beyond which nothing can enter; equal scores can, by a smaller id."""
-            return np.sqrt(max(0.0, constant - 2.0 * best[0][0])) + SLACK if len(best) == k else np.inf
+            return np.sqrt(max(0.0, constant - 2.0 * best[0][0])) + slack if len(best) == k else np.inf
 
         root = float(np.sqrt(((self.centre[0] - q) ** 2).sum()))
         queue = [(max(0.0, root - self.radius[0]), 0, root)]
@@ -122,6 +144,7 @@ class MTree:
             if not len(page):
                 continue
             scores = self.x[page] @ query
+            self.computed += len(page)
             if len(best) == k:
                 good = scores >= best[0][0]
                 page, scores = page[good], scores[good]
@@ -136,60 +159,76 @@ class MTree:
 
 
 def integer_vectors(vectors: DataFrame) -> DataFrame:
-    """(vec_id, x array<long>) of the vectors that take part."""
+    """(vec_id, x array<long>) of the vectors that take part, whatever their length."""
     x = F.col("embedding")
     good = F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return vectors.where(good).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(F.lit(float(SCALE)) * c.cast("double"))).alias("x"))
+    squared = F.aggregate(x, F.lit(0.0), lambda total, c: total + F.pow(F.abs(c.cast("double")) * SCALE + 1, 2.0))
+    return vectors.where(good).where(squared < 2.0**62).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(F.lit(float(SCALE)) * c.cast("double"))).alias("x"))
 
 
 def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     n = batch.num_rows
-    values = batch.column(1).flatten().to_numpy()
-    if n and len(values) % n:
-        raise ValueError("vectors of different lengths")
-    return batch.column(0).to_numpy(), values.reshape(n, -1)
+    return batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(n, -1)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """Both (vec_id, embedding) -> (query_id, rank, vec_id, score) with the k best of all vectors for each query."""
-    spark = vectors.sparkSession
-    candidates = integer_vectors(vectors)
-    found = None
-    block: list = []
+def write_trees(candidates: DataFrame) -> DataFrame:
+    """candidates(vec_id, x), all of one length -> the written table of trees, one a row."""
 
-    def part(rows: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, ids, size = [], [], 0
 
-        def answers(x: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
-            tree = MTree(np.concatenate(x), np.concatenate(ids))
-            names, asked = shared.value
-            out = [(q, v, s) for q, vector in zip(names.tolist(), asked, strict=True) for s, v in tree.search(vector, q, k)]
-            return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(MTree(np.concatenate(x), np.concatenate(ids)))], pa.binary())], names=["tree"])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            x, ids, size = [], [], 0
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                i, v = _arrays(batch)
+        for batch in batches:
+            for s in range(0, batch.num_rows, TREE_VECTORS):
+                i, v = _arrays(batch.slice(s, TREE_VECTORS))
                 ids.append(i)
                 x.append(v)
                 size += len(i)
                 if size >= TREE_VECTORS:
-                    yield answers(x, ids)
+                    yield row()
                     x, ids, size = [], [], 0
-            if size:
-                yield answers(x, ids)
+        if size:
+            yield row()
+
+    return written(candidates.mapInArrow(run, "tree binary"), "trees")[0]
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """Both (vec_id, embedding) -> (query_id, rank, vec_id, score) with the k best of all vectors for each query."""
+    spark = vectors.sparkSession
+    vectors, asked = integer_vectors(vectors), integer_vectors(queries)
+    usual = vectors.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    length = usual["n"] if usual else 0
+    trees = write_trees(vectors.where(F.size("x") == length))
+    path = new_path(spark, "answers")
+    schema = "query_id long, vec_id long, score long"
+    spark.createDataFrame([], schema).write.parquet(path)
+
+    def answer(rows: list) -> None:
+        shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for blob in batch.column(0):
+                    tree, out = pickle.loads(blob.as_buffer()), []
+                    for q, vector in zip(shared.value[0].tolist(), shared.value[1], strict=True):
+                        out += [(q, v, s) for s, v in tree.search(vector, q, k)]
+                    yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
 
-        return candidates.mapInArrow(run, "query_id long, vec_id long, score long")
+        trees.mapInArrow(run, schema).write.mode("append").parquet(path)
+        shared.destroy()
 
-    for r in integer_vectors(queries).toLocalIterator():
+    block: list = []
+    for r in asked.where(F.size("x") == length).toLocalIterator():  # one block at a time
         block.append((r[0], r[1]))
         if len(block) >= query_block:
-            found = part(block) if found is None else found.unionAll(part(block))
+            answer(block)
             block = []
-    if block or found is None:
-        found = part(block) if found is None else found.unionAll(part(block))
+    if block:
+        answer(block)
+    found = spark.read.schema(schema).parquet(path)
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

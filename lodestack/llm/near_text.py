@@ -2,21 +2,27 @@
 
 Fingerprints are of the set of single words, of which a changed word takes one and
 not five, so that texts whose five-word shingles have similarity THRESHOLD or more
-are mostly RADIUS bits apart or less; all such pairs meet in a table of the cover.
-In a bucket each text is linked with the least and with the closest of those before
-it that are within the radius, so links grow with the texts. Those that a bottom-k sample
+differ in few bits. A text has FINGERPRINTS independent ones of 64 bits; all pairs that
+are RADIUS bits apart or less in any of them meet in a table of that one's cover.
+
+In a bucket of up to COMPARE texts each is linked with the least and with the closest of
+those before it that are within the radius; in a larger one with its neighbours in order
+of fingerprint, so that links and work grow with the texts. Links that a bottom-k sample
 of the shingles' hashes puts under the threshold by more than MARGIN are dropped (for
 a similar pair that has a chance of under 1e-17); the others are decided by all their
-shingles' hashes, whatever the length. Texts with more partners within the radius than
-that are crowded: those meet again by the shingles of their prefixes, of which any two
-of similarity THRESHOLD share one, and all pairs of them that are within the radius
+shingles' hashes, whatever the length. Texts that can have more partners within the radius
+than that are crowded: those meet again by the shingles of their prefixes, of which any
+two of similarity THRESHOLD share one, and all pairs of them that are within the radius
 and not in one component yet are decided in the same way. So the groups are the
 components of all similar pairs within the radius. Copies collapse to one text before
-anything else.
-
-Defined results: null texts are empty, and empty texts are copies of each other;
-fewer words than a shingle make one shingle; a null doc_id is never the one that
-names a group while another id is there; other columns are ignored.
+anything else; texts are told apart by 128 bits.
+
+Defined results: null texts are empty, and empty or wordless texts without any other
+difference are copies of each other; fewer words than a shingle make one shingle; very
+long texts are treated like any others; repeated rows are copies; a null doc_id is never
+the one that names a group while another id is there; ties between documents of one id
+go to the least hash of the text; an empty table gives no rows; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,36 +38,63 @@ from pyspark.sql import functions as F
 from lodestack.llm.components import connected_components
 from lodestack.llm.simhash import _BYTE_BITS, _LANE, covering_masks
 from lodestack.llm.storage import written
-from lodestack.llm.textblock import as_bytes, blocks, run_hashes, span_hashes, words
+from lodestack.llm.textblock import as_bytes, blocks, mix, random_words, run_hashes, span_hashes, words
 
-RADIUS = 6
+RADIUS = 3
+FINGERPRINTS = 6
 SHINGLE = 5
 THRESHOLD = 0.8
 SAMPLE = 256
 #: Ten standard errors of the sample's estimate.
 MARGIN = 0.25
-#: Texts that are compared at once in a bucket.
+#: Texts that are compared at once, and the most of a bucket in which all are.
 COMPARE = 256
+#: Texts whose bits are counted at once.
+_TEXTS = 500
 #: Pairs that leave a task at once.
 _PAIRS = 1 << 16
 #: Products of the threshold and a whole number are not exact.
 _SLACK = 1e-9
 
 
-def word_set_fingerprint(hashes: np.ndarray) -> int:
-    """SimHash of distinct 64-bit hashes; zero for none."""
-    h = np.unique(hashes)
-    if not len(h):
-        return 0
-    lanes = h.view(np.uint8).reshape(-1, 8) + _LANE
-    ones = (np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS).ravel()
-    return int(np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+_SALTS = random_words(FINGERPRINTS, 77)
+
+
+def word_set_fingerprints(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """[text, fingerprint]: SimHashes of the distinct words' hashes of texts; zero for none. first: each text's first word, and the end."""
+    n = len(first) - 1
+    text = np.repeat(np.arange(n), np.diff(first))
+    order = np.lexsort((hashes, text))
+    h, text = hashes[order], text[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    h, text = h[new], text[new]
+    size = np.bincount(text, minlength=n)
+    out = np.zeros((n, FINGERPRINTS), np.uint64)
+    for a in range(0, n, _TEXTS):
+        m = min(_TEXTS, n - a)
+        i, j = np.searchsorted(text, (a, a + m))
+        place = _LANE + 2048 * (text[i:j, None] - a)
+        for k, salt in enumerate(_SALTS):
+            lanes = mix(h[i:j] ^ salt).view(np.uint8).reshape(-1, 8) + place
+            seen = np.bincount(lanes.ravel(), minlength=2048 * m).reshape(m, 8, 256)
+            ones = (seen.astype(np.float32) @ _BYTE_BITS.astype(np.float32)).reshape(m, 64)
+            out[a : a + m, k] = np.packbits(2 * ones > size[a : a + m, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
 
 
-def shingle_sample(hashes: np.ndarray, shingle: int = SHINGLE, size: int = SAMPLE) -> np.ndarray:
-    """The least `size` of the distinct hashes of a text's shingles, as 32 bits, ascending."""
-    h = run_hashes(hashes, min(shingle, max(len(hashes), 1)), 2)
-    return np.unique((h >> np.uint64(32)).astype(np.uint32))[:size]
+def shingle_hashes(hashes: np.ndarray, first: np.ndarray, shingle: int = SHINGLE) -> list[np.ndarray]:
+    """Hashes of each text's shingles, repeats included; fewer words than a shingle make one, none none."""
+    runs = run_hashes(hashes, shingle, 2)
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        out.append(runs[a : b - shingle + 1] if b - a >= shingle else run_hashes(hashes[a:b], max(b - a, 1), 2))
+    return out
+
+
+def shingle_sample(shingles: np.ndarray, size: int = SAMPLE) -> np.ndarray:
+    """The least `size` of the distinct hashes, as 32 bits, ascending."""
+    return np.unique((shingles >> np.uint64(32)).astype(np.uint32))[:size]
 
 
 def similarity(a: np.ndarray, b: np.ndarray, size: int = SAMPLE) -> float:
@@ -88,24 +121,21 @@ def _words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.n
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, text_hash, text_hash2, fp, sample)"""
+    """(doc_id, text_key, text_hash, text_hash2, fps, sample)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low, high, fps, samples = [], [], [], []
-            for raw, cuts, _, hashes, first in _words(batch.column(1)):
-                for k in range(len(cuts) - 1):
-                    h = hashes[first[k] : first[k + 1]]
-                    whole = xxhash.xxh128_intdigest(raw[cuts[k] : cuts[k + 1]].tobytes())
-                    low.append(whole & (2**64 - 1))
-                    high.append(whole >> 64)
-                    fps.append(word_set_fingerprint(h))
-                    samples.append(shingle_sample(h).astype("<u4").tobytes() if len(h) else b"")
-            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (low, high, fps)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *longs, pa.array(samples, pa.binary())], names=["doc_id", "text_key", "text_hash", "text_hash2", "fp", "sample"])
+            for raw, cuts, i, hashes, first in _words(batch.column(1)):
+                n = len(cuts) - 1
+                whole = [xxhash.xxh128_intdigest(raw[a:b].tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                halves = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in ([w & (2**64 - 1) for w in whole], [w >> 64 for w in whole])]
+                fps = word_set_fingerprints(hashes, first).view(np.int64).ravel()
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) + 1, FINGERPRINTS, dtype=np.int32)), pa.array(fps))
+                samples = pa.array([shingle_sample(h).astype("<u4").tobytes() for h in shingle_hashes(hashes, first)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), batch.column(2).slice(i, n), *halves, lists, samples], names=["doc_id", "text_key", "text_hash", "text_hash2", "fps", "sample"])
 
     docs = docs.select("doc_id", "text", text_key().alias("text_key"))
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, text_hash long, text_hash2 long, fp long, sample binary")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, text_hash long, text_hash2 long, fps array<long>, sample binary")
 
 
 def _shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -114,8 +144,7 @@ def _shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, cuts, i, hashes, first in _words(batch.column(1)):
-                each = [hashes[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-                sets = [np.unique(run_hashes(h, min(SHINGLE, max(len(h), 1)), 2).view(np.int64)) for h in each]
+                sets = [np.unique(h.view(np.int64)) for h in shingle_hashes(hashes, first)]
                 at = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(cuts) - 1), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets)))], names=["node", "shingles"])
 
@@ -168,6 +197,14 @@ def _bucket(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.concatenate(later), np.concatenate(earlier), np.flatnonzero(crowded)
 
 
+def ordered_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (later, earlier) of neighbours in order of fingerprint that are within the radius."""
+    order = np.argsort(fps, kind="stable")
+    near = np.bitwise_count(fps[order[1:]] ^ fps[order[:-1]]) <= radius
+    a, b = order[1:][near], order[:-1][near]
+    return np.maximum(a, b), np.minimum(a, b)
+
+
 def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
     """The columns of rows sorted by the first one, cut between its values."""
     held: list[tuple[np.ndarray, ...]] = []
@@ -190,10 +227,10 @@ def _cuts(bucket: np.ndarray) -> np.ndarray:
 
 
 def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
-    """nodes(node, fp) -> distinct links (u, v) of nodes within the radius."""
+    """nodes(node, fps) -> distinct links (u, v) of nodes within the radius, and (u, u) for crowded ones."""
     signed = np.array(covering_masks(radius), np.uint64).view(np.int64)
-    tables = F.posexplode(F.array(*[F.lit(int(m)) for m in signed]))
-    rows = nodes.select("node", "fp", tables.alias("t", "mask")).select(F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"), "node", "fp")
+    masks = F.posexplode(F.array(*[F.lit(int(m)) for m in signed])).alias("t", "mask")
+    rows = nodes.select("node", F.posexplode("fps").alias("k", "fp")).select("node", "k", "fp", masks).select(F.xxhash64("k", "t", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"), "node", "fp")
 
     def links(bucket: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         cut = _cuts(bucket)
@@ -203,9 +240,10 @@ def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
         a = a[np.bitwise_count(fp[a].view(np.uint64) ^ fp[a + 1].view(np.uint64)) <= radius]
         u, v = [node[a + 1]], [node[a]]
         for a, n in zip(cut[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            x, y, crowded = _bucket(fp[a : a + n].view(np.uint64), radius)
-            u += [node[a : a + n][x], node[a : a + n][crowded]]
-            v += [node[a : a + n][y], node[a : a + n][crowded]]
+            some, fps = node[a : a + n], fp[a : a + n].view(np.uint64)
+            x, y, crowded = _bucket(fps, radius) if n <= COMPARE else (*ordered_links(fps, radius), slice(None))
+            u += [some[x], some[crowded]]
+            v += [some[y], some[crowded]]
         both = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, c])) for c in (0, 1)], names=["u", "v"])
 
@@ -217,34 +255,36 @@ def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
 
 
 def apart_within(component: np.ndarray, fps: np.ndarray, sizes: np.ndarray, radius: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For members in order of component: all pairs of different components within the radius whose sizes allow the similarity."""
+    """For members in order of component: all pairs of different components that are within the radius in a fingerprint and whose sizes allow the similarity. fps: [member, fingerprint]."""
     for i in range(0, len(fps), COMPARE):
         mine = slice(i, i + COMPARE)
         for j in range(int(np.searchsorted(component, component[i], side="right")), len(fps), COMPARE):
             other = slice(j, j + COMPARE)
-            good = (np.bitwise_count(fps[mine, None] ^ fps[None, other]) <= radius) & (component[mine, None] < component[None, other])
             a, b = sizes[mine, None], sizes[None, other]
-            good &= np.minimum(a, b) >= threshold * np.maximum(a, b) - _SLACK
+            good = (np.minimum(a, b) >= threshold * np.maximum(a, b) - _SLACK) & (component[mine, None] < component[None, other])
             x, y = np.nonzero(good)
-            if len(x):
-                yield i + x, j + y
+            near = (np.bitwise_count(fps[i + x] ^ fps[j + y]) <= radius).any(axis=1)
+            if near.any():
+                yield i + x[near], j + y[near]
 
 
 def _crowded_pairs(texts: DataFrame, radius: int, threshold: float) -> DataFrame:
-    """texts(node, shingles, fp, component) -> distinct (u, v): all that can be similar, are within the radius and of different components."""
+    """texts(node, shingles, fps, component) -> distinct (u, v): all that can be similar, are within the radius and of different components."""
     size = F.size("shingles")
     # similar sets share one of so many least shingles; those without any share their lack
     prefix = F.when(size == 0, F.array(F.lit(0).cast("long"))).otherwise(F.slice("shingles", F.lit(1), (size - F.ceil(size * threshold - _SLACK) + 1).cast("int")))
-    rows = texts.select(F.explode(prefix).alias("bucket"), "node", "fp", size.cast("long").alias("n"), "component")
+    each = [F.col("fps")[k].alias(f"fp{k}") for k in range(FINGERPRINTS)]
+    rows = texts.select(F.explode(prefix).alias("bucket"), "node", size.cast("long").alias("n"), "component", *each)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, node, fp, n, component in _whole_buckets(batches):
+        for bucket, node, n, component, *columns in _whole_buckets(batches):
             cut = _cuts(bucket)
+            fps = np.stack(columns, axis=1).view(np.uint64)
             u, v, total = [], [], 0
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 if component[a] == component[b - 1]:
                     continue
-                for x, y in apart_within(component[a:b], fp[a:b].view(np.uint64), n[a:b], radius, threshold):
+                for x, y in apart_within(component[a:b], fps[a:b], n[a:b], radius, threshold):
                     u.append(node[a:b][x])
                     v.append(node[a:b][y])
                     total += len(x)
@@ -262,15 +302,15 @@ def groups(docs: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD)
 
     group_id is the least doc_id among the near duplicates that it is linked with, group_key the least text_key() of that id there."""
     profiles, _ = written(_profiles(docs), "profiles")
+    both = ["text_hash", "text_hash2"]
     # the least document: an id goes before none, and of an id's texts the one of the least key
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
-    copies = profiles.groupBy("text_hash", "text_hash2").agg(first, F.min("fp").alias("fp"))
-    # a text's node number is its first hash: ids can be null or repeat
-    nodes, _ = written(copies.groupBy(F.col("text_hash").alias("node")).agg(F.min("first").alias("first"), F.min("fp").alias("fp")), "nodes")
-    found, _ = written(_candidates(nodes.select("node", "fp"), radius), "candidates")
+    copies = profiles.groupBy(*both).agg(first, F.min(F.struct("fps", "sample")).alias("x"))
+    # one number for each distinct text, given as the table is written: ids can be null or repeat
+    nodes, _ = written(copies.select(F.monotonically_increasing_id().alias("node"), *both, "first", "x.fps", "x.sample"), "nodes")
+    found, _ = written(_candidates(nodes.select("node", "fps"), radius), "candidates")
     links, crowded = found.where("u <> v"), found.where("u = v").select(F.col("u").alias("node"))
-    samples = profiles.groupBy(F.col("text_hash").alias("node")).agg(F.min("sample").alias("sample"))
-    named = links.select("u").union(links.select("v")).distinct().withColumnRenamed("u", "node").join(samples, "node")
+    named = links.select("u").union(links.select("v")).distinct().withColumnRenamed("u", "node").join(nodes.select("node", "sample"), "node")
     pairs = links.join(named.select(F.col("node").alias("u"), F.col("sample").alias("a")), "u").join(named.select(F.col("node").alias("v"), F.col("sample").alias("b")), "v")
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,11 +324,11 @@ def groups(docs: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD)
     sets, _ = written(_shingles(docs, nodes.join(wanted, "node").select("node", F.col("first.doc_id").alias("least"), "first.text_key")), "shingles")
     comps, _ = written(connected_components(_similar(near, sets, threshold)), "components")
     if crowded.limit(1).count():
-        texts = sets.join(crowded, "node", "left_semi").join(nodes.select("node", "fp"), "node").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        texts = sets.join(crowded, "node", "left_semi").join(nodes.select("node", "fps"), "node").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
         pairs, _ = written(_crowded_pairs(texts, radius, threshold), "crowded")
         more = _similar(pairs, sets, threshold)
         comps, _ = written(connected_components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more)), "components")
     labelled = nodes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("first").alias("least"))
-    by_node, _ = written(labelled.join(least, "component").select("node", F.col("least.doc_id").alias("group_id"), F.col("least.text_key").alias("group_key")), "groups")
-    return profiles.select("doc_id", "text_key", F.col("text_hash").alias("node")).join(by_node, "node").select("doc_id", "text_key", "group_id", "group_key")
+    by_text, _ = written(labelled.join(least, "component").select(*both, F.col("least.doc_id").alias("group_id"), F.col("least.text_key").alias("group_key")), "groups")
+    return profiles.select("doc_id", "text_key", *both).join(by_text, both).select("doc_id", "text_key", "group_id", "group_key")

@@ -66,6 +66,33 @@ def test_tree_search_is_exact(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_lengths_and_sizes_of_vectors_have_a_defined_result(spark):
+    """Vectors of another length than most, and those too long for 64-bit scores, take no part."""
+    rows = [(0, [1.0, 2.0]), (100, [2.0, 1.0]), (3, [1.0]), (4, [1.0, 2.0, 1.0]), (200, [1.0, 2.0, 3.0]), (5, []), (6, [1e30, 2.0]), (300, [-3e38, 0.0]), (7, [1e4, -1e4]), (8, [3e5, 1e6])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2)
+    good = {i: [int(np.floor(1024 * float(np.float32(c)))) for c in v] for i, v in rows if i in (0, 100, 7, 8)}
+    want = []
+    for q in (0, 100):
+        best = sorted((-sum(x * y for x, y in zip(good[q], v, strict=True)), i) for i, v in good.items() if i != q)
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert sorted(map(tuple, mtree.top_k(df, df.where("vec_id % 100 = 0")).collect())) == want
+
+
+def test_bounds_avoid_computations_on_clustered_vectors():
+    """Written trees search like built ones; where vectors cluster, most inner products are never computed."""
+    import pickle
+
+    rng = np.random.default_rng(20)
+    centres = rng.normal(0, 300, (40, 16))
+    x = np.floor(np.repeat(centres, 100, axis=0) + rng.normal(0, 10, (4000, 16))).astype(np.int64)
+    tree = pickle.loads(pickle.dumps(mtree.MTree(x, np.arange(4000))))
+    for q in range(0, 4000, 97):
+        scores = x @ x[q]
+        want = sorted((-s, i) for i, s in enumerate(scores.tolist()) if i != q)[:10]
+        assert tree.search(x[q], q) == [(-s, i) for s, i in want]
+    assert tree.computed < 0.2 * 4000 * len(range(0, 4000, 97))
+
+
 def test_tree_bounds_hold():
     rng = np.random.default_rng(7)
     x = rng.integers(-400, 400, (900, 6))
@@ -155,7 +182,7 @@ def test_bucket_links_reach_all_that_pairs_reach():
         assert (i in linked) == bool((np.bitwise_count(fps[:i] ^ fps[i]) <= 4).any())
 
 
-def _near_text_brute_force(texts, radius=6, threshold=0.8):
+def _near_text_brute_force(texts, radius=3, threshold=0.8):
     """Least index of each text's component, from all pairs within the radius by all five-word shingles."""
     from lodestack.llm import near_text
     from lodestack.llm.textblock import span_hashes, words
@@ -164,18 +191,65 @@ def _near_text_brute_force(texts, radius=6, threshold=0.8):
     for t in texts:
         raw = np.frombuffer(t.encode(), np.uint8)
         starts, ends, _ = words(raw, np.array([0, len(raw)]))
-        prints.append(near_text.word_set_fingerprint(span_hashes(raw, starts, ends)))
+        prints.append(near_text.word_set_fingerprints(span_hashes(raw, starts, ends), np.array([0, len(starts)]))[0].tolist())
         w = t.split()
         sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
     label = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
-            if label[i] != label[j] and (prints[i] ^ prints[j]).bit_count() <= radius and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]):
+            if label[i] != label[j] and min((x ^ y).bit_count() for x, y in zip(prints[i], prints[j], strict=True)) <= radius and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]):
                 old, new = max(label[i], label[j]), min(label[i], label[j])
                 label = [new if x == old else x for x in label]
     return label
 
 
+def test_links_of_large_buckets_are_within_the_radius_and_few():
+    from lodestack.llm import near_text
+
+    rng = np.random.default_rng(14)
+    fps = np.uint64(999) ^ (np.uint64(1) << rng.integers(0, 64, 1000).astype(np.uint64))
+    later, earlier = near_text.ordered_links(fps, 2)
+    assert (np.bitwise_count(fps[later] ^ fps[earlier]) <= 2).all() and (earlier < later).all() and len(later) < len(fps)
+
+
+def test_a_large_group_of_near_copies(spark):
+    """More texts than are compared in a bucket: one group, and the others apart."""
+    from lodestack.llm import near_text
+
+    rng = random.Random(15)
+    w = [f"v{rng.randrange(10**6)}" for _ in range(200)]
+    texts = []
+    for i in range(700):
+        near = list(w)
+        near[rng.randrange(200)] = f"n{i}"
+        texts.append(" ".join(near))
+    texts += [" ".join(f"o{rng.randrange(300)}" for _ in range(120)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["group_id"] for r in near_text.groups(docs).collect()}
+    assert all(got[i] == 0 for i in range(700)) and all(got[i] == i for i in range(700, 720))
+
+
+def test_similar_texts_are_found():
+    """Of pairs that random changes leave with a similarity from 0.8 to 0.85, nine of ten or more are within the radius."""
+    from lodestack.llm import near_text
+
+    rng = random.Random(16)
+    near = total = 0
+    for k in range(400):
+        w = [f"{rng.randrange(10**9)}" for _ in range(rng.randint(60, 400))]
+        other = list(w)
+        for at in rng.sample(range(len(w)), max(1, len(w) // 52)):
+            other[at] = "changed"
+        a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (w, other))
+        if not 0.8 <= len(a & b) / len(a | b) < 0.85:
+            continue
+        hashes = np.array([hash(x) & (2**64 - 1) for x in w + other], np.uint64)
+        x, y = near_text.word_set_fingerprints(near_text.mix(hashes), np.array([0, len(w), 2 * len(w)]))
+        total += 1
+        near += bool((np.bitwise_count(x ^ y) <= near_text.RADIUS).any())
+    assert total > 100 and near >= 0.9 * total
+
+
 def test_near_texts_in_crowded_buckets_equal_brute_force(spark):
     from lodestack.llm import near_text
 
@@ -211,7 +285,7 @@ def test_near_texts_longer_than_the_sample_are_decided_exactly(spark):
     pairs = spark.createDataFrame([(i + 1, i) for i in range(0, len(texts), 2)], "u long, v long")
     decided = {r["u"] for r in near_text._similar(pairs, near_text._shingles(docs, wanted), 0.8).collect()}
     assert decided == {i for i in range(len(texts)) if want[i] != i}
-    # a pair beyond six bits need not be found, but none is taken that isn't similar, and nothing within them is lost
+    # a pair beyond the radius need not be found, but none is taken that isn't similar, and nothing within them is lost
     got = {r["doc_id"]: r["group_id"] for r in near_text.groups(docs).collect()}
     assert [got[i] for i in range(len(texts))] == _near_text_brute_force(texts)
 
