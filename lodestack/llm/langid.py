@@ -30,7 +30,7 @@ PENALTY = 15.0
 #: Least share of a language's letters that a script needs for its words to be of that language.
 SCRIPT_SHARE = 0.001
 #: Log-probabilities held at once: characters times languages.
-BLOCK_SCORES = 1 << 22
+BLOCK_SCORES = 1 << 20
 UNDETERMINED = "und"
 
 # First code points of blocks, by script (Unicode).

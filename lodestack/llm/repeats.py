@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.sketch import HEAVY, reached, repeated_cells
+from lodestack.llm.storage import written
 from lodestack.llm.textblock import as_bytes, binary_array, blocks, mix, sliding_min
 
 #: Payload bytes that are compared at once, unless one anchor has more.
@@ -224,7 +225,10 @@ def spans_to_remove(docs: DataFrame, level: Level) -> DataFrame:
             yield _compared(held, level)
 
     found = keyed.mapInArrow(suspects, _ROW)
-    return found.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "doc long, hash long, start long, end long")
+    # written, so that the sketch can go before the texts are joined
+    out, _ = written(found.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "doc long, hash long, start long, end long"), "spans")
+    sketch.destroy()
+    return out
 
 
 def _spans(who: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:

@@ -14,12 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Cells of a row of the sketch. The merged bits take 2 * DEPTH * 2^WIDTH_BITS / 8 bytes (64 MB), whatever the input.
+#: Cells of a row of the sketch. The merged bits take DEPTH * 2^WIDTH_BITS / 8 bytes (32 MB) and 1/32 of that, whatever the input.
 WIDTH_BITS = 27
 DEPTH = 2
 SLICE_BITS = 21
 #: Occurrences from which a key counts as heavy.
 HEAVY = 1000
+#: Neighbouring cells that share a bit for heavy ones (2^FOLD_BITS): those are few.
+FOLD_BITS = 5
 _MOST = (1 << 32 - SLICE_BITS) - 1
 #: Keys that a partition counts at once.
 FLUSH_KEYS = 1 << 21
@@ -44,8 +46,8 @@ def partition_sketch(keys: np.ndarray) -> Iterator[tuple[int, bytes]]:
             yield (row << (WIDTH_BITS - SLICE_BITS)) + int(s), low[edges[s] : edges[s + 1]].astype("<u4").tobytes()
 
 
-def repeated_cells(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], heavy: int = HEAVY) -> np.ndarray:
-    """Bits of the cells that all keys of df reach at least twice, and at least `heavy` times (at most HEAVY): [2, DEPTH, 2^WIDTH_BITS / 8]."""
+def repeated_cells(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], heavy: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the cells that all keys of df reach at least twice, and at least `heavy` times (at most HEAVY): a row for each hash."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, amount = [], 0
@@ -74,21 +76,23 @@ def repeated_cells(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[n
                 counts, at = slices[s], low & np.uint32((1 << SLICE_BITS) - 1)
                 counts[at] = np.minimum(counts[at] + (low >> np.uint32(SLICE_BITS)).astype(np.uint16), heavy)
         for s, counts in slices.items():
-            bits = [pa.array([np.packbits(counts >= n, bitorder="little").tobytes()], pa.binary()) for n in (2, heavy)]
+            many = (counts >= heavy).reshape(-1, 1 << FOLD_BITS).any(axis=1)
+            bits = [pa.array([np.packbits(x, bitorder="little").tobytes()], pa.binary()) for x in (counts >= 2, many)]
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *bits], names=["slice", "bits", "heavy"])
 
     merged = df.mapInArrow(count, "slice int, cells binary").repartition("slice").mapInArrow(merge, "slice int, bits binary, heavy binary")
-    out = np.zeros((2, DEPTH << (WIDTH_BITS - SLICE_BITS), 1 << (SLICE_BITS - 3)), np.uint8)
+    slices = DEPTH << (WIDTH_BITS - SLICE_BITS)
+    twice, many = (np.zeros((slices, 1 << (SLICE_BITS - 3 - fold)), np.uint8) for fold in (0, FOLD_BITS))
     for r in merged.toLocalIterator():  # DEPTH * 64 rows at most
-        out[0, r["slice"]] = np.frombuffer(r["bits"], np.uint8)
-        out[1, r["slice"]] = np.frombuffer(r["heavy"], np.uint8)
-    return out.reshape(2, DEPTH, -1)
+        twice[r["slice"]], many[r["slice"]] = np.frombuffer(r["bits"], np.uint8), np.frombuffer(r["heavy"], np.uint8)
+    return twice.reshape(DEPTH, -1), many.reshape(DEPTH, -1)
 
 
 def reached(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """True where all the key's cells have their bit: its estimate is as high as bits (one half of repeated_cells()) ask for."""
     out = np.ones(len(keys), bool)
+    fold = np.uint32(((1 << WIDTH_BITS - 3) // bits.shape[1]).bit_length() - 1)
     for row in range(DEPTH):
-        at = cells(keys, row)
+        at = cells(keys, row) >> fold
         out &= ((bits[row][at >> np.uint32(3)] >> (at & np.uint32(7)).astype(np.uint8)) & 1).astype(bool)
     return out

@@ -29,7 +29,7 @@ from lodestack.llm.textblock import as_bytes, blocks
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces kept by a worker (about 60 bytes each). Beyond that the half that came last goes: frequent pieces come early.
-MEMO_PIECES = 2_000_000
+MEMO_PIECES = 1_000_000
 #: Longer pieces are encoded each time.
 LONGEST = 24
 
