@@ -6,10 +6,13 @@ be of, and Viterbi with a switching penalty over the words labels spans. Most
 texts need no path search: if no language gains more than half the penalty over
 the best one on any stretch, the constant path is optimal, as running sums show.
 
-Defined results: a text that is null or has no letter is `und` with score 0 and
-no spans, and so are all texts where nothing could be learned; ties between
-languages go to the first in alphabetical order; other columns pass through, but
-those named like the results are replaced.
+Defined results: a text that is null, empty or has no letter is `und` with score 0
+and no spans, and so are all texts where nothing could be learned, as from an empty
+table; very long texts are scored whole, in blocks of their own; rows without a lang
+teach nothing, and of more than LANGUAGES values of lang the rarest are not learned;
+a null doc_id counts as not held out; repeated rows are scored and taught like any
+others; ties between languages go to the first in alphabetical order; other columns
+pass through, whatever their names, but those named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 
 #: Documents of a language that it is learned from, on average; they are picked by a hash of their id.
 SAMPLE_DOCS = 2000
+#: Languages that are learned, the most frequent ones: a model takes 1.5 MB for each.
+LANGUAGES = 200
 BUCKET_BITS = 16
 ORDERS = (2, 3, 4)
 PENALTY = 15.0
@@ -176,16 +181,16 @@ def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     return path
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most: int = LANGUAGES) -> Model | None:
     """Model from docs(doc_id, text, lang) outside the held-out fold."""
     train = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
     if not sizes:
         return None
     languages = sorted(sizes)
     at = {x: i for i, x in enumerate(languages)}
     share = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, sample_docs / sizes[lang])))])
-    picked = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30) < F.element_at(share, F.col("lang"))
+    picked = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30) < F.try_element_at(share, F.col("lang"))
     sample = train.where(picked).select("text", "lang").repartition(8)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

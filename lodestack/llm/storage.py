@@ -16,10 +16,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; a private folder only where it is unset (tests)."""
+    """`spark.checkpoint.dir` of the session. Where it is unset a private folder serves a local session (tests); a cluster has none that all executors share."""
     sc = spark.sparkContext
     if configured := spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir():
         return configured.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: driver and executors need a folder that they share")
     app = sc.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="lodestack-")
