@@ -106,8 +106,7 @@ def commit_fields(line: Column) -> Column:
     )
 
 
-def numstat_fields(line: Column) -> Column:
-    """Struct of a line `additions TAB deletions TAB path`; a dash (binary) counts 0; null for fewer fields."""
-    p = F.split(line, "\t", 3)
+def numstat_fields(p: Column) -> Column:
+    """Struct of the parts of a line `additions TAB deletions TAB path`; a dash (binary) counts 0; null for fewer parts."""
     n = lambda i: F.coalesce(F.get(p, F.lit(i)).try_cast("int"), F.lit(0))
     return F.when(F.size(p) == 3, F.struct(n(0).alias("additions"), n(1).alias("deletions"), F.get(p, F.lit(2)).alias("path")))

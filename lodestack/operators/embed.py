@@ -125,7 +125,7 @@ def embed(described: DataFrame, provider: Provider) -> DataFrame:
                 try:
                     v = provider.embed(text)
                     rows.append((np.asarray(v, np.float32), provider.name, len(v), None))
-                except ValueError as e:
+                except (OSError, ValueError, KeyError, IndexError, TypeError) as e:
                     rows.append((None, provider.name, 0, str(e)))
             yield pdf.assign(**{c: [r[k] for r in rows] for k, c in enumerate(("embedding", "provider", "dim", "error"))})
 

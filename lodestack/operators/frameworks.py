@@ -54,13 +54,18 @@ def node_dependencies(package_json: Column) -> Column:
 
 
 def manifest_hits(found: DataFrame, frameworks: list[Framework] = FRAMEWORKS) -> DataFrame:
-    """(repo_id, number, place): place orders hits by manifest: node, go, python, java. found: as manifests() gives it."""
-    node = [(k, F.arrays_overlap(node_dependencies(F.col("package_json")), F.array(*map(F.lit, f.package_keys)))) for k, f in enumerate(frameworks)]
-    parts = [("package_json", node)]
-    for column, language in (("go_mod", "Go"), ("python", "Python"), ("java", "Java")):
-        parts.append((column, [(k, _any_in(F.col(column), f.package_keys)) for k, f in enumerate(frameworks) if f.language == language]))
-    each = [found.select("repo_id", F.explode(_numbers(tests)).alias("number"), F.lit(place).alias("place")) for place, (_, tests) in enumerate(parts)]
-    return reduce(DataFrame.unionByName, each).groupBy("repo_id", "number").agg(F.min("place").alias("place"))
+    """(repo_id, number, place): place orders hits by manifest: node, go, python, java. found: as manifests() gives it.
+
+    One pass: package.json is parsed once, each hit is a number and a place, and a framework's first place stays."""
+    parsed = found.withColumn("node", node_dependencies(F.col("package_json")))
+    hit = lambda test, k, place: F.when(test, F.struct(F.lit(k).alias("number"), F.lit(place).alias("place")))
+    tests = []
+    for k, f in enumerate(frameworks):
+        in_node = reduce(lambda a, b: a | b, [F.array_contains("node", key) for key in f.package_keys])
+        column = {"Go": "go_mod", "Python": "python", "Java": "java"}.get(f.language)
+        elsewhere = hit(_any_in(F.col(column), f.package_keys), k, ("go_mod", "python", "java").index(column) + 1) if column else F.lit(None)
+        tests.append(F.coalesce(hit(in_node, k, 0), elsewhere))
+    return parsed.select("repo_id", F.explode(F.array_compact(F.array(*tests))).alias("h")).select("repo_id", "h.number", "h.place")
 
 
 def detect(files: DataFrame, frameworks: list[Framework] = FRAMEWORKS, language_filter: bool = False) -> DataFrame:

@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from lodestack.functions.scalar import numstat_fields
 
 
-def changes(numstat: DataFrame, statuses: DataFrame, patches: DataFrame | None = None) -> DataFrame:
+def changes(numstat: DataFrame, statuses: DataFrame | None = None, patches: DataFrame | None = None) -> DataFrame:
     """numstat(commit, line) with statuses(commit, path, status; M where missing) and patches(commit, path, patch; '' where missing)."""
-    rows = numstat.select("commit", numstat_fields(F.col("line")).alias("f")).where("f is not null").select("commit", "f.path", "f.additions", "f.deletions")
-    out = rows.join(statuses.select("commit", "path", "status"), ["commit", "path"], "left").withColumn("status", F.coalesce("status", F.lit("M")))
+    fields = numstat_fields(F.col("parts"))
+    rows = numstat.select("commit", F.split("line", "\t", 3).alias("parts")).select("commit", fields.alias("f")).where("f is not null").select("commit", "f.path", "f.additions", "f.deletions")
+    if statuses is None:
+        out = rows.withColumn("status", F.lit("M"))
+    else:
+        out = rows.join(statuses.select("commit", "path", "status"), ["commit", "path"], "left").withColumn("status", F.coalesce("status", F.lit("M")))
     if patches is None:
         return out.withColumn("patch", F.lit(""))
     return out.join(patches.select("commit", "path", "patch"), ["commit", "path"], "left").withColumn("patch", F.coalesce("patch", F.lit("")))

@@ -48,7 +48,7 @@ def test_similarity_levels(spark):
 def test_commit_and_numstat_lines(spark):
     got = values(spark, ["abcdefghij|n|e|1700000000|s|t", "too|few"], s.commit_fields(F.col("x")))
     assert got[0]["short_hash"] == "abcdefg" and got[0]["message"] == "s|t" and got[1] is None
-    got = values(spark, ["3\t1\ta b.go", "-\t-\tb.png", "short"], s.numstat_fields(F.col("x")))
+    got = values(spark, ["3\t1\ta b.go", "-\t-\tb.png", "short"], s.numstat_fields(F.split("x", "\t", 3)))
     assert [g and (g["additions"], g["deletions"], g["path"]) for g in got] == [(3, 1, "a b.go"), (0, 0, "b.png"), None]
 
 
