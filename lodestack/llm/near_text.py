@@ -12,8 +12,9 @@ of the shingles' hashes puts under the threshold by more than MARGIN are dropped
 a similar pair that has a chance of under 1e-17); the others are decided by all their
 shingles' hashes, whatever the length. Texts that can have more partners within the radius
 than that are crowded: those meet again by the shingles of their prefixes, of which any
-two of similarity THRESHOLD share one, and all pairs of them that are within the radius
-and not in one component yet are decided in the same way. So the groups are the
+two of similarity THRESHOLD share one, and are compared there, in blocks: all pairs of
+them that are within the radius and not in one component yet. What leaves a bucket is the
+links that join its components, decided once more by all shingles. So the groups are the
 components of all similar pairs within the radius. Copies collapse to one text before
 anything else; texts are told apart by 128 bits.
 
@@ -51,8 +52,8 @@ MARGIN = 0.25
 COMPARE = 256
 #: Texts whose bits are counted at once.
 _TEXTS = 500
-#: Pairs that leave a task at once.
-_PAIRS = 1 << 16
+#: Values whose holders are counted at once.
+_COLUMNS = 1 << 13
 #: Products of the threshold and a whole number are not exact.
 _SLACK = 1e-9
 
@@ -254,47 +255,88 @@ def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, "u long, v long").distinct()
 
 
-def apart_within(component: np.ndarray, fps: np.ndarray, sizes: np.ndarray, radius: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For members in order of component: all pairs of different components that are within the radius in a fingerprint and whose sizes allow the similarity. fps: [member, fingerprint]."""
+def _shared(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """How many values each of `sets` has in common with each of `others`; values of a set are distinct."""
+    flat = np.concatenate([*sets, *others])
+    if not len(flat):
+        return np.zeros((len(sets), len(others)), np.int64)
+    column = np.unique(flat, return_inverse=True)[1]
+    row = np.repeat(np.arange(len(sets) + len(others)), [len(x) for x in (*sets, *others)])
+    out = np.zeros((len(sets), len(others)), np.float32)
+    for c in range(0, int(column.max()) + 1, _COLUMNS):
+        mine = (column >= c) & (column < c + _COLUMNS)
+        has = np.zeros((len(sets) + len(others), min(_COLUMNS, int(column.max()) + 1 - c)), np.float32)
+        has[row[mine], column[mine] - c] = 1
+        out += has[: len(sets)] @ has[len(sets) :].T
+    return out.astype(np.int64)
+
+
+def joining_links(component: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], radius: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """For members of a bucket: of all pairs of different components that are within the radius in a fingerprint and similar, as many as join those components. fps: [member, fingerprint]."""
+    label, size = np.unique(component, return_inverse=True)[1], np.array([len(x) for x in sets])
+    u, v = [], []
     for i in range(0, len(fps), COMPARE):
-        mine = slice(i, i + COMPARE)
-        for j in range(int(np.searchsorted(component, component[i], side="right")), len(fps), COMPARE):
-            other = slice(j, j + COMPARE)
-            a, b = sizes[mine, None], sizes[None, other]
-            good = (np.minimum(a, b) >= threshold * np.maximum(a, b) - _SLACK) & (component[mine, None] < component[None, other])
-            x, y = np.nonzero(good)
+        for j in range(i, len(fps), COMPARE):
+            a, b = slice(i, i + COMPARE), slice(j, j + COMPARE)
+            x, y = np.nonzero((np.minimum(size[a, None], size[None, b]) >= threshold * np.maximum(size[a, None], size[None, b]) - _SLACK) & (label[a, None] != label[None, b]))
             near = (np.bitwise_count(fps[i + x] ^ fps[j + y]) <= radius).any(axis=1)
-            if near.any():
-                yield i + x[near], j + y[near]
-
-
-def _crowded_pairs(texts: DataFrame, radius: int, threshold: float) -> DataFrame:
-    """texts(node, shingles, fps, component) -> distinct (u, v): all that can be similar, are within the radius and of different components."""
+            x, y = x[near], y[near]
+            if not len(x):
+                continue
+            rows, x_at = np.unique(x, return_inverse=True)
+            columns, y_at = np.unique(y, return_inverse=True)
+            n = _shared([sets[i + r] for r in rows.tolist()], [sets[j + c] for c in columns.tolist()])[x_at, y_at]
+            good = n >= threshold * (size[i + x] + size[j + y] - n) - _SLACK
+            for p, q in zip((i + x[good]).tolist(), (j + y[good]).tolist(), strict=True):
+                if label[p] != label[q]:
+                    u.append(p)
+                    v.append(q)
+                    label[label == label[q]] = label[p]
+    return np.array(u, np.int64), np.array(v, np.int64)
+
+
+def _crowded_links(texts: DataFrame, radius: int, threshold: float) -> DataFrame:
+    """texts(node, shingles, fps, component) -> distinct (u, v): links that join all that are similar, within the radius and of different components.
+
+    Texts meet by the shingles of their prefixes and are compared there, so that what leaves a bucket is fewer links than its members."""
     size = F.size("shingles")
     # similar sets share one of so many least shingles; those without any share their lack
     prefix = F.when(size == 0, F.array(F.lit(0).cast("long"))).otherwise(F.slice("shingles", F.lit(1), (size - F.ceil(size * threshold - _SLACK) + 1).cast("int")))
     each = [F.col("fps")[k].alias(f"fp{k}") for k in range(FINGERPRINTS)]
-    rows = texts.select(F.explode(prefix).alias("bucket"), "node", size.cast("long").alias("n"), "component", *each)
+    # 32 bits of a shingle travel: links are decided again by all 64
+    narrow = F.transform("shingles", lambda h: F.shiftright(h, 32).cast("int"))
+    rows = texts.select(F.explode(prefix).alias("bucket"), "node", "component", *each, narrow.alias("shingles"))
+
+    def links(columns: list[pa.Array]) -> pa.RecordBatch:
+        bucket, node, component = (c.to_numpy() for c in columns[:3])
+        fps = np.stack([c.to_numpy() for c in columns[3:-1]], axis=1).view(np.uint64)
+        cut, u, v = _cuts(bucket), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if component[a] != component[b - 1]:
+                sets = [np.unique(x.values.to_numpy()) for x in columns[-1].slice(a, b - a)]
+                x, y = joining_links(component[a:b], fps[a:b], sets, radius, threshold)
+                u.append(node[a:b][x])
+                v.append(node[a:b][y])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (u, v)], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, node, n, component, *columns in _whole_buckets(batches):
-            cut = _cuts(bucket)
-            fps = np.stack(columns, axis=1).view(np.uint64)
-            u, v, total = [], [], 0
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                if component[a] == component[b - 1]:
-                    continue
-                for x, y in apart_within(component[a:b], fps[a:b], n[a:b], radius, threshold):
-                    u.append(node[a:b][x])
-                    v.append(node[a:b][y])
-                    total += len(x)
-                    if total > _PAIRS:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (u, v)], names=["u", "v"])
-                        u, v, total = [], [], 0
-            if u:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (u, v)], names=["u", "v"])
-
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "component").mapInArrow(run, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            columns = [pa.concat_arrays([h.column(k) for h in held]) for k in range(batch.num_columns)]
+            bucket = columns[0].to_numpy()
+            # the last bucket may go on in the next batch
+            end = int(np.searchsorted(bucket, bucket[-1]))
+            if end:
+                yield links([c.slice(0, end) for c in columns])
+                held = [pa.RecordBatch.from_arrays([c.slice(end) for c in columns], names=batch.schema.names)]
+        if held:
+            yield links([pa.concat_arrays([h.column(k) for h in held]) for k in range(held[0].num_columns)])
+
+    found = rows.repartition("bucket").sortWithinPartitions("bucket", "component").mapInArrow(run, "u long, v long")
+    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def groups(docs: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD) -> DataFrame:
@@ -325,7 +367,7 @@ def groups(docs: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD)
     comps, _ = written(connected_components(_similar(near, sets, threshold)), "components")
     if crowded.limit(1).count():
         texts = sets.join(crowded, "node", "left_semi").join(nodes.select("node", "fps"), "node").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pairs, _ = written(_crowded_pairs(texts, radius, threshold), "crowded")
+        pairs, _ = written(_crowded_links(texts, radius, threshold), "crowded")
         more = _similar(pairs, sets, threshold)
         comps, _ = written(connected_components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more)), "components")
     labelled = nodes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
