@@ -305,7 +305,11 @@ def _crowded_links(texts: DataFrame, radius: int, threshold: float) -> DataFrame
     each = [F.col("fps")[k].alias(f"fp{k}") for k in range(FINGERPRINTS)]
     # 32 bits of a shingle travel: links are decided again by all 64
     narrow = F.transform("shingles", lambda h: F.shiftright(h, 32).cast("int"))
-    rows = texts.select(F.explode(prefix).alias("bucket"), "node", "component", *each, narrow.alias("shingles"))
+    light = texts.select(F.explode(prefix).alias("bucket"), "node", "component")
+    # only buckets of several components need their texts' shingles
+    mixed = light.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    meeting, _ = written(light.join(mixed, "bucket", "left_semi"), "meeting")
+    rows = meeting.join(texts.select("node", *each, narrow.alias("shingles")), "node").select("bucket", "node", "component", *[f"fp{k}" for k in range(FINGERPRINTS)], "shingles")
 
     def links(columns: list[pa.Array]) -> pa.RecordBatch:
         bucket, node, component = (c.to_numpy() for c in columns[:3])
@@ -366,7 +370,7 @@ def groups(docs: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD)
     sets, _ = written(_shingles(docs, nodes.join(wanted, "node").select("node", F.col("first.doc_id").alias("least"), "first.text_key")), "shingles")
     comps, _ = written(connected_components(_similar(near, sets, threshold)), "components")
     if crowded.limit(1).count():
-        texts = sets.join(crowded, "node", "left_semi").join(nodes.select("node", "fps"), "node").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        texts, _ = written(sets.join(crowded, "node", "left_semi").join(nodes.select("node", "fps"), "node").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")), "texts")
         pairs, _ = written(_crowded_links(texts, radius, threshold), "crowded")
         more = _similar(pairs, sets, threshold)
         comps, _ = written(connected_components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more)), "components")
