@@ -250,36 +250,6 @@ def test_similar_texts_are_found():
     assert total > 100 and near >= 0.9 * total
 
 
-def test_joining_links_join_what_all_similar_pairs_join():
-    from lodestack.llm import near_text
-
-    rng = np.random.default_rng(21)
-    base = rng.choice(10**6, 60, replace=False)
-    sets = [np.unique(np.concatenate([rng.choice(base, 56, replace=False), rng.integers(10**6, 10**7, rng.integers(0, 8))])) for _ in range(600)]
-    fps = rng.integers(0, 4, (600, near_text.FINGERPRINTS)).astype(np.uint64)
-    component = np.sort(rng.integers(0, 500, 600))
-    label = {}
-
-    def root(x):
-        while label.setdefault(x, x) != x:
-            x = label[x]
-        return x
-
-    for i in range(600):
-        for j in range(i):
-            n = len(np.intersect1d(sets[i], sets[j]))
-            if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n) - 1e-9 and (np.bitwise_count(fps[i] ^ fps[j]) <= 1).any():
-                label[root(int(component[i]))] = root(int(component[j]))
-    u, v = near_text.joining_links(component, fps, sets, 1, 0.8)
-    want = {c: root(c) for c in component.tolist()}
-    label = {}
-    for i, j in zip(component[u].tolist(), component[v].tolist(), strict=True):
-        assert root(i) != root(j)
-        label[root(i)] = root(j)
-    got = {c: root(c) for c in component.tolist()}
-    assert len(set(want.values())) == len(set(got.values())) == len({(want[c], got[c]) for c in want})
-
-
 def test_near_texts_in_crowded_buckets_equal_brute_force(spark):
     from lodestack.llm import near_text
 
