@@ -52,8 +52,7 @@ def build(spark: SparkSession, root: str, config: settings.Config, force: bool =
     tables = analyse(_files(spark, root), config)
     described = embed.describe(tables["functions"])
     if incremental and store.exists(spark, folder):
-        old = spark.createDataFrame(store.load(spark, folder, "embeddings").toPandas(), store.load(spark, folder, "embeddings").schema)
-        tables["embeddings"] = embed.refreshed(described, old, provider)
+        tables["embeddings"] = embed.refreshed(described, store.load(spark, folder, "embeddings"), provider)
     else:
         tables["embeddings"] = embed.embed(described, provider)
     store.save(tables, folder)

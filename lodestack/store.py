@@ -11,8 +11,16 @@ TABLES = ["languages", "frameworks", "patterns", "important_files", "file_metric
 
 
 def save(tables: dict[str, DataFrame], folder: str) -> None:
+    """All tables are written beside the old ones first, which they may be made from, and then take their places."""
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        df.write.mode("overwrite").parquet(f"{folder}/{name}-new")
+    for name, df in tables.items():
+        context = df.sparkSession.sparkContext
+        old, new = (context._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}") for n in (name, f"{name}-new"))
+        files = old.getFileSystem(context._jsc.hadoopConfiguration())
+        files.delete(old, True)
+        if not files.rename(new, old):
+            raise OSError(f"{new.toString()} cannot take its place")
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
