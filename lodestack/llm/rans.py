@@ -11,9 +11,11 @@ one file a range of doc_id, holding n_tokens, start (ids in all documents before
 the block), doc_id and n_tokens of its documents, states, words, places and
 checksums; `table`, the frequencies by id, which sum to 2^SCALE_BITS.
 
-Defined results: null texts are empty; every document ends with the end id; rows
-that repeat a doc_id follow each other in order of a hash of their text; null
-ids come first; other columns are ignored.
+Defined results: null texts are empty; every document ends with the end id; a very
+long text ends the block that it reaches the size of, and that block is as long as it;
+rows that repeat a doc_id follow each other in order of a hash of their text, equal rows
+once each; null ids come first; an empty table gives files without rows; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -13,8 +13,9 @@ no bucket's work is quadratic.
 
 Defined results: null and wordless texts have fingerprint zero and are linked
 like any others; fewer words than a shingle make one shingle; a null doc_id
-takes part but is never a component's name while another id is there; other
-columns are ignored.
+takes part but is never a component's name while another id is there; very long texts
+are treated like any others; repeated rows each get the same result; an empty table gives
+no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

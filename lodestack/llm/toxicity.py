@@ -7,9 +7,11 @@ or above: where a step would drive it below, the step undoes that instead.
 
 Labels of 0 are used for the class prior alone. The fit uses bounded samples
 (POSITIVES and UNLABELLED documents on average, picked by a hash of the id);
-every text is scored whole. Defined results: a null or wordless text gets the
-score of no words; without any toxic example all scores are 0; a null label or
-id teaches nothing; other columns pass through, but one named score is replaced.
+every text is scored whole. Defined results: a null, empty or wordless text gets the
+score of no words; very long texts are scored by all their distinct words; without any
+toxic example, as from empty tables, all scores are 0; a null label or id teaches nothing,
+and of several labels of an id the highest counts; repeated rows are scored and taught
+like any others; other columns pass through, but one named score is replaced.
 """
 
 from __future__ import annotations
