@@ -12,8 +12,12 @@ of the shingles' hashes puts under the threshold by more than MARGIN are dropped
 a similar pair that has a chance of under 1e-17); the others are decided by all their
 shingles' hashes, whatever the length. Texts that can have more partners within the radius
 than that are crowded: those meet again by the shingles of their prefixes, of which any
-two of similarity THRESHOLD share one, and all pairs of them that are within the radius
-and not in one component yet are decided in the same way. So the groups are the
+two of similarity THRESHOLD share one. A prefix begins with the shingles that a count-min
+sketch gives the fewest texts, so that widespread passages bring together hardly any
+texts that differ in the rest, and those of one text alone are left out, as nothing meets
+there. All pairs that are within the radius, not in one component yet, and not ruled out by
+their sizes, the shared shingle's places or the parities of their sets are decided in the
+same way. So the groups are the
 components of all similar pairs within the radius. Copies collapse to one text before
 anything else; texts are told apart by 128 bits.
 
@@ -37,6 +41,7 @@ from pyspark.sql import functions as F
 
 from lodestack.llm.components import connected_components
 from lodestack.llm.simhash import _BYTE_BITS, _LANE, covering_masks
+from lodestack.llm.sketch import reached, repeated_cells
 from lodestack.llm.storage import written
 from lodestack.llm.textblock import as_bytes, blocks, mix, random_words, run_hashes, span_hashes, words
 
@@ -49,6 +54,10 @@ SAMPLE = 256
 MARGIN = 0.25
 #: Texts that are compared at once, and the most of a bucket in which all are.
 COMPARE = 256
+#: Texts of one shingle from which it counts as common, and comes last in the order of prefixes.
+COMMON = 16
+#: Words of 64 parities of a set of shingles.
+PARITIES = 8
 #: Texts whose bits are counted at once.
 _TEXTS = 500
 #: Pairs that leave a task at once.
@@ -254,37 +263,87 @@ def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, "u long, v long").distinct()
 
 
-def apart_within(component: np.ndarray, fps: np.ndarray, sizes: np.ndarray, radius: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For members in order of component: all pairs of different components that are within the radius in a fingerprint and whose sizes allow the similarity. fps: [member, fingerprint]."""
+def apart_within(component: np.ndarray, fps: np.ndarray, sizes: np.ndarray, places: np.ndarray, parities: np.ndarray, radius: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For members of a bucket in order of component: pairs of different components that are within the radius in a fingerprint and may be similar.
+
+    fps: [member, fingerprint]; places: of the bucket's shingle in each one's order; parities: [member, word]. If the
+    shingle is the first that a pair shares, no more can be shared than remain from there; two sets' parities differ in
+    no more bits than the sets have shingles that are not shared."""
+    share = threshold / (1 + threshold)
     for i in range(0, len(fps), COMPARE):
         mine = slice(i, i + COMPARE)
         for j in range(int(np.searchsorted(component, component[i], side="right")), len(fps), COMPARE):
             other = slice(j, j + COMPARE)
             a, b = sizes[mine, None], sizes[None, other]
-            good = (np.minimum(a, b) >= threshold * np.maximum(a, b) - _SLACK) & (component[mine, None] < component[None, other])
-            x, y = np.nonzero(good)
-            near = (np.bitwise_count(fps[i + x] ^ fps[j + y]) <= radius).any(axis=1)
-            if near.any():
-                yield i + x[near], j + y[near]
-
-
-def _crowded_pairs(texts: DataFrame, radius: int, threshold: float) -> DataFrame:
-    """texts(node, shingles, fps, component) -> distinct (u, v): all that can be similar, are within the radius and of different components."""
-    size = F.size("shingles")
-    # similar sets share one of so many least shingles; those without any share their lack
-    prefix = F.when(size == 0, F.array(F.lit(0).cast("long"))).otherwise(F.slice("shingles", F.lit(1), (size - F.ceil(size * threshold - _SLACK) + 1).cast("int")))
-    each = [F.col("fps")[k].alias(f"fp{k}") for k in range(FINGERPRINTS)]
-    rows = texts.select(F.explode(prefix).alias("bucket"), "node", size.cast("long").alias("n"), "component", *each)
+            left = np.minimum(a - places[mine, None], b - places[None, other])
+            x, y = np.nonzero((left >= share * (a + b) - _SLACK) & (component[mine, None] < component[None, other]))
+            x, y = i + x, j + y
+            for k in range(0, len(x), _PAIRS):
+                u, v = x[k : k + _PAIRS], y[k : k + _PAIRS]
+                near = (np.bitwise_count(fps[u] ^ fps[v]) <= radius).any(axis=1)
+                u, v = u[near], v[near]
+                apart = np.bitwise_count(parities[u] ^ parities[v]).sum(axis=1, dtype=np.int64)
+                near = apart <= (1 - 2 * share) * (sizes[u] + sizes[v]) + _SLACK
+                if near.any():
+                    yield u[near], v[near]
+
+
+def rare_prefixes(shingles: np.ndarray, at: np.ndarray, level: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the set, place, shingle): of each set in order of level and hash the first of which similar sets share one, but those of level 0, which only one set has. at: each set's first shingle, and the end."""
+    size = np.diff(at)
+    owner = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((shingles, level, owner))
+    place = np.arange(len(shingles)) - at[owner]
+    # the owners are in order already
+    long = place <= (size - np.ceil(size * threshold - _SLACK))[owner]
+    kept = np.flatnonzero(long & (level[order] > 0))
+    return owner[kept], place[kept], shingles[order[kept]]
+
+
+def parity_bits(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """[set, word]: of so many cells that a set's shingles fall into, whether their number is odd."""
+    n = len(at) - 1
+    owner = np.repeat(np.arange(n), np.diff(at))
+    cell = (mix(shingles.view(np.uint64)) % np.uint64(64 * PARITIES)).astype(np.int64)
+    odd = np.bincount(64 * PARITIES * owner + cell, minlength=64 * PARITIES * n) & 1
+    return np.packbits(odd.reshape(n, -1).astype(bool), axis=1, bitorder="little").view(np.uint64).reshape(n, PARITIES)
+
+
+def _crowded_pairs(sets: DataFrame, texts: DataFrame, radius: int, threshold: float) -> DataFrame:
+    """texts(node, shingles, fps, component), of sets(node, shingles) -> distinct (u, v): all that can be similar, are within the radius and of different components."""
+
+    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield batch.column(0).flatten().to_numpy().view(np.uint64)
+
+    sketch = sets.sparkSession.sparkContext.broadcast(repeated_cells(sets.select("shingles"), keys, COMMON))
+    names = [f"fp{k}" for k in range(FINGERPRINTS)] + [f"parity{k}" for k in range(PARITIES)]
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, _TEXTS):
+                batch = whole.slice(i, _TEXTS)
+                shingles = batch.column(1).flatten().to_numpy()
+                at = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy())])
+                twice = reached(shingles.view(np.uint64), sketch.value[0])
+                level = twice.astype(np.int8) + (twice & reached(shingles.view(np.uint64), sketch.value[1]))
+                owner, place, bucket = rare_prefixes(shingles, at, level, threshold)
+                # sets without any share their lack
+                none = np.flatnonzero(np.diff(at) == 0)
+                owner, place, bucket = (np.concatenate(x) for x in ((owner, none), (place, np.zeros(len(none), np.int64)), (bucket, np.zeros(len(none), np.int64))))
+                fps = batch.column(2).flatten().to_numpy().reshape(-1, FINGERPRINTS)
+                more = [c[owner] for c in (*fps.T, *parity_bits(shingles, at).view(np.int64).T)]
+                columns = [bucket, batch.column(0).to_numpy()[owner], np.diff(at)[owner], place, batch.column(3).to_numpy()[owner], *more]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c, np.int64)) for c in columns], names=["bucket", "node", "n", "place", "component", *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, node, n, component, *columns in _whole_buckets(batches):
+        for bucket, node, n, place, component, *columns in _whole_buckets(batches):
             cut = _cuts(bucket)
-            fps = np.stack(columns, axis=1).view(np.uint64)
+            fps, parities = (np.stack(x, axis=1).view(np.uint64) for x in (columns[:FINGERPRINTS], columns[FINGERPRINTS:]))
             u, v, total = [], [], 0
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 if component[a] == component[b - 1]:
                     continue
-                for x, y in apart_within(component[a:b], fps[a:b], n[a:b], radius, threshold):
+                for x, y in apart_within(component[a:b], fps[a:b], n[a:b], place[a:b], parities[a:b], radius, threshold):
                     u.append(node[a:b][x])
                     v.append(node[a:b][y])
                     total += len(x)
@@ -294,6 +353,7 @@ def _crowded_pairs(texts: DataFrame, radius: int, threshold: float) -> DataFrame
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (u, v)], names=["u", "v"])
 
+    rows = texts.select("node", "shingles", "fps", "component").mapInArrow(prefixes, ", ".join(f"{c} long" for c in ("bucket", "node", "n", "place", "component", *names)))
     return rows.repartition("bucket").sortWithinPartitions("bucket", "component").mapInArrow(run, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
@@ -325,7 +385,7 @@ def groups(docs: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD)
     comps, _ = written(connected_components(_similar(near, sets, threshold)), "components")
     if crowded.limit(1).count():
         texts = sets.join(crowded, "node", "left_semi").join(nodes.select("node", "fps"), "node").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pairs, _ = written(_crowded_pairs(texts, radius, threshold), "crowded")
+        pairs, _ = written(_crowded_pairs(sets, texts, radius, threshold), "crowded")
         more = _similar(pairs, sets, threshold)
         comps, _ = written(connected_components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more)), "components")
     labelled = nodes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -269,6 +269,57 @@ def test_near_texts_in_crowded_buckets_equal_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def _random_sets(rng, n):
+    """Sets that share common members, some of them near copies of others, some empty."""
+    sets = [set()]
+    for _ in range(n):
+        if len(sets) > 2 and rng.random() < 0.5:
+            new = set(rng.choice(sets))
+            for x in rng.sample(sorted(new), min(len(new), rng.randrange(8))):
+                new.discard(x)
+                new.add(rng.randrange(-(2**62), 2**62))
+        else:
+            new = {rng.randrange(400) for _ in range(rng.randrange(60))} | {rng.randrange(-(2**62), 2**62) for _ in range(rng.randrange(30))}
+        sets.append(new)
+    return sets
+
+
+def test_rare_prefixes_and_bounds_lose_no_similar_pair():
+    from collections import Counter
+
+    from lodestack.llm import near_text
+
+    sets = _random_sets(random.Random(21), 250)
+    counts = Counter(x for s in sets for x in s)
+    flat = np.array([x for s in sets for x in sorted(s)], np.int64)
+    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    level = np.array([0 if counts[int(x)] == 1 else 2 if counts[int(x)] > 15 else 1 for x in flat])
+    owner, place, shingle = near_text.rare_prefixes(flat, at, level, 0.8)
+    parities = near_text.parity_bits(flat, at)
+    fps, found = np.zeros((len(sets), near_text.FINGERPRINTS), np.uint64), set()
+    for x in np.unique(shingle):
+        mine = np.flatnonzero(shingle == x)
+        who = owner[mine]
+        for u, v in near_text.apart_within(who, fps[who], np.diff(at)[who], place[mine], parities[who], 3, 0.8):
+            found |= {(int(a), int(b)) for a, b in zip(who[u], who[v], strict=True)}
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if sets[i] and sets[j]]
+    similar = {(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(similar) > 40 and similar <= found
+    assert len(found) < len(pairs) / 10
+
+
+def test_parity_bits_bound_the_difference():
+    from lodestack.llm import near_text
+
+    sets = _random_sets(random.Random(22), 60)
+    flat = np.array([x for s in sets for x in sorted(s)], np.int64)
+    bits = near_text.parity_bits(flat, np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
+    assert not bits[0].any()
+    for i in range(len(sets)):
+        for j in range(i):
+            assert np.bitwise_count(bits[i] ^ bits[j]).sum() <= len(sets[i] ^ sets[j])
+
+
 def test_near_texts_longer_than_the_sample_are_decided_exactly(spark):
     from lodestack.llm import near_text
 
