@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lodestack.llm.fm_index import FMIndex
 from lodestack.llm.storage import written
-from lodestack.llm.textblock import as_bytes, words
+from lodestack.llm.textblock import as_bytes, blocks, words
 
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast, whose windows take about ten times as much; a larger benchmark goes in several, one after the other.
@@ -82,11 +82,18 @@ def _search(symbols: np.ndarray, at: np.ndarray, block: dict) -> tuple[np.ndarra
     return at[index.locate(rows)], block["lengths"][which], block["owners"][which]
 
 
-def occurrences(documents: list[list[bytes]], block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All occurrences of a block's phrases, as places in the documents' words laid end to end."""
-    get, sizes = block["vocabulary"].get, [len(w) for w in documents]
-    bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    ids = np.fromiter((i for w in documents for i in map(get, w, repeat(0))), np.int64, int(bounds[-1]))
+def word_ids(data: np.ndarray, offsets: np.ndarray, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all texts' words end to end, zero for words outside the vocabulary, and n + 1 offsets. Words themselves are held for a block of texts at a time."""
+    ids, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for i, j in blocks(offsets):
+        split = [fold_words(data[a:b].tobytes()) for a, b in pairwise(offsets[i : j + 1].tolist())]
+        sizes.append(np.fromiter(map(len, split), np.int64, len(split)))
+        ids.append(np.fromiter(map(vocabulary.get, chain.from_iterable(split), repeat(0)), np.int32, int(sizes[-1].sum())))
+    return np.concatenate(ids), np.cumsum(np.concatenate(sizes))
+
+
+def occurrences(ids: np.ndarray, bounds: np.ndarray, block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All occurrences of a block's phrases, as places in the documents' words laid end to end, as word_ids() gives them."""
     known = np.concatenate([[0], (ids != 0).astype(np.int8), [0]])
     # a run starts where a known word follows an unknown one or a document's start
     starts = (known[1:-1] == 1) & (known[:-2] == 0)
@@ -163,9 +170,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, w
 
         return found.mapInArrow(run, f"{fields}, {SCHEMA}"), shared
 
-    blocks = _blocks(benchmark, block_bytes)
-    found, shared = one_pass(docs, next(blocks))
-    for items in blocks:
+    parts = _blocks(benchmark, block_bytes)
+    found, shared = one_pass(docs, next(parts))
+    for items in parts:
         done, _ = written(found, "decontaminated")
         shared.destroy()
         found, shared = one_pass(done, items)
@@ -174,11 +181,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, w
 
 def _searched(batch: pa.RecordBatch, text_at: int, width: int, again: bool, block: dict, with_text: bool) -> pa.RecordBatch:
     data, offsets = as_bytes(batch.column(text_at))
-    texts = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(batch.num_rows)]
-    split = [fold_words(t) for t in texts]
-    bounds = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)
-    cover = np.zeros(bounds[-1] + 1, np.int64)
-    items: list[set[str]] = [set() for _ in texts]
+    ids, bounds = word_ids(data, offsets, block["vocabulary"])
+    cover = np.zeros(bounds[-1] + 1, np.int32)
+    items: list[set[str]] = [set() for _ in range(batch.num_rows)]
     if again:
         before, names = (batch.column(width + k).to_pylist() for k in (2, 3))
         for i, spans in enumerate(before):
@@ -186,15 +191,16 @@ def _searched(batch: pa.RecordBatch, text_at: int, width: int, again: bool, bloc
             for s in spans:
                 cover[bounds[i] + s["start"]] += 1
                 cover[bounds[i] + s["end"]] -= 1
-    at, length, owner = occurrences(split, block)
+    at, length, owner = occurrences(ids, bounds, block)
     np.add.at(cover, at, 1)
     np.add.at(cover, at + length, -1)
     row = np.searchsorted(bounds, at, side="right") - 1
     for r, o in np.unique(np.stack([row, owner], axis=1), axis=0).tolist():
         items[r].add(block["names"][o])
-    hit = np.cumsum(cover)[:-1] > 0
+    hit = np.cumsum(cover, dtype=np.int32)[:-1] > 0
     spans, clean, n_hit = [], [], []
-    for i, t in enumerate(texts):
+    for i in range(batch.num_rows):
+        t = data[offsets[i] : offsets[i + 1]].tobytes()
         marks = hit[bounds[i] : bounds[i + 1]]
         n = int(marks.sum())
         n_hit.append(n)
