@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lodestack.llm.fm_index import FMIndex
 from lodestack.llm.storage import written
-from lodestack.llm.textblock import as_bytes, blocks, words
+from lodestack.llm.textblock import as_bytes, blocks, released, words
 
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast, whose windows take about ten times as much; a larger benchmark goes in several, one after the other.
@@ -168,7 +168,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, w
             for batch in batches:
                 yield _searched(batch, text_at, width, again, shared.value, with_text)
 
-        return found.mapInArrow(run, f"{fields}, {SCHEMA}"), shared
+        return found.mapInArrow(released(run), f"{fields}, {SCHEMA}"), shared
 
     parts = _blocks(benchmark, block_bytes)
     found, shared = one_pass(docs, next(parts))

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.llm.textblock import released
+
 #: Documents of a language that it is learned from, on average; they are picked by a hash of their id.
 SAMPLE_DOCS = 2000
 #: Languages that are learned, the most frequent ones: a model takes 1.5 MB for each.
@@ -212,7 +214,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most: int = LANGUAGES
 
     counts = np.zeros((len(languages), len(ORDERS), 1 << BUCKET_BITS), np.int64)
     scripts = np.zeros((len(languages), _N_SCRIPTS), np.int64)
-    for r in sample.mapInArrow(count, "lang int, grams binary, scripts binary").toLocalIterator():  # 8 rows a language
+    for r in sample.mapInArrow(released(count), "lang int, grams binary, scripts binary").toLocalIterator():  # 8 rows a language
         counts[r["lang"]] += np.frombuffer(r["grams"], np.uint32).reshape(len(ORDERS), -1)
         scripts[r["lang"]] += np.frombuffer(r["scripts"], np.int64)
     return Model(languages, counts, scripts)
@@ -248,7 +250,7 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = PENALTY, wit
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "lang_pred", "score", "lang_spans"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double, lang_spans array<struct<start:long,end:long,lang:string>>")
+    return docs.mapInArrow(released(run), f"{fields}, lang_pred string, score double, lang_spans array<struct<start:long,end:long,lang:string>>")
 
 
 def op7_viterbi_language_id(spark, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ from lodestack.llm.components import connected_components
 from lodestack.llm.simhash import _BYTE_BITS, _LANE, covering_masks
 from lodestack.llm.sketch import reached, repeated_cells
 from lodestack.llm.storage import written
-from lodestack.llm.textblock import as_bytes, blocks, mix, random_words, run_hashes, span_hashes, words
+from lodestack.llm.textblock import as_bytes, blocks, mix, random_words, released, run_hashes, span_hashes, words
 
 RADIUS = 3
 FINGERPRINTS = 6
@@ -144,7 +144,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), batch.column(2).slice(i, n), *halves, lists, samples], names=["doc_id", "text_key", "text_hash", "text_hash2", "fps", "sample"])
 
     docs = docs.select("doc_id", "text", text_key().alias("text_key"))
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, text_hash long, text_hash2 long, fps array<long>, sample binary")
+    return docs.mapInArrow(released(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, text_hash long, text_hash2 long, fps array<long>, sample binary")
 
 
 def _shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def _shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text", text_key().alias("key"))
     # by id and text, so copies of a text don't meet in a task
     found = texts.join(wanted.hint("shuffle_merge"), (F.col("key") == F.col("text_key")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "text")
-    return found.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+    return found.mapInArrow(released(run), "node long, shingles array<long>").dropDuplicates(["node"])
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -260,7 +260,7 @@ def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
         for columns in _whole_buckets(batches):
             yield links(*columns)
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, "u long, v long").distinct()
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(released(run), "u long, v long").distinct()
 
 
 def apart_within(component: np.ndarray, fps: np.ndarray, sizes: np.ndarray, places: np.ndarray, parities: np.ndarray, radius: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -353,8 +353,8 @@ def _crowded_pairs(sets: DataFrame, texts: DataFrame, radius: int, threshold: fl
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (u, v)], names=["u", "v"])
 
-    rows = texts.select("node", "shingles", "fps", "component").mapInArrow(prefixes, ", ".join(f"{c} long" for c in ("bucket", "node", "n", "place", "component", *names)))
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "component").mapInArrow(run, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    rows = texts.select("node", "shingles", "fps", "component").mapInArrow(released(prefixes), ", ".join(f"{c} long" for c in ("bucket", "node", "n", "place", "component", *names)))
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "component").mapInArrow(released(run), "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def groups(docs: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD) -> DataFrame:
@@ -379,7 +379,7 @@ def groups(docs: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD)
             good = np.array([similarity(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) >= threshold - MARGIN for x, y in zip(a, b, strict=True)], bool)
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good)) for k in (0, 1)], names=["u", "v"])
 
-    near, _ = written(pairs.select("u", "v", "a", "b").mapInArrow(likely, "u long, v long"), "likely")
+    near, _ = written(pairs.select("u", "v", "a", "b").mapInArrow(released(likely), "u long, v long"), "likely")
     wanted = near.select(F.col("u").alias("node")).union(near.select("v")).union(crowded).distinct()
     sets, _ = written(_shingles(docs, nodes.join(wanted, "node").select("node", F.col("first.doc_id").alias("least"), "first.text_key")), "shingles")
     comps, _ = written(connected_components(_similar(near, sets, threshold)), "components")

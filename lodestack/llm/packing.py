@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm.storage import written
-from lodestack.llm.textblock import binary_array
+from lodestack.llm.textblock import binary_array, released
 from lodestack.llm.tokens import memo_for, tokenizer_file
 
 WINDOW = 2048
@@ -163,7 +163,7 @@ def _tokenised(docs: DataFrame, tokenizer: str, window: int, end_id: int) -> Dat
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "n", "part", "full_before", "rest", "rank"])
 
     docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, n long, part long, full_before long, rest int, rank long")
+    return docs.mapInArrow(released(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, n long, part long, full_before long, rest int, rank long")
 
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -225,7 +225,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", window: int = WI
         cols = [doc.take(pa.array(row)), *map(pa.array, (start, length, crc, n[row], sequence, offset)), pa.array(cut, pa.binary()) if with_ids else pa.nulls(len(row), pa.binary())]
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    return joined.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {PIECES}, ids binary")
+    return joined.mapInArrow(released(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {PIECES}, ids binary")
 
 
 def op10_nnls_packing(spark, sf_dir: str) -> DataFrame:

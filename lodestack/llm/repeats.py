@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lodestack.llm.sketch import HEAVY, reached, repeated_cells
 from lodestack.llm.storage import written
-from lodestack.llm.textblock import as_bytes, binary_array, blocks, mix, sliding_min
+from lodestack.llm.textblock import as_bytes, binary_array, blocks, mix, released, sliding_min
 
 #: Payload bytes that are compared at once, unless one anchor has more.
 REDUCE_BYTES = 1 << 19
@@ -224,9 +224,9 @@ def spans_to_remove(docs: DataFrame, level: Level) -> DataFrame:
         if held:
             yield _compared(held, level)
 
-    found = keyed.mapInArrow(suspects, _ROW)
+    found = keyed.mapInArrow(released(suspects), _ROW)
     # written, so that the sketch can go before the texts are joined
-    out, _ = written(found.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "doc long, hash long, start long, end long"), "spans")
+    out, _ = written(found.repartition("key").sortWithinPartitions("key").mapInArrow(released(compare), "doc long, hash long, start long, end long"), "spans")
     sketch.destroy()
     return out
 

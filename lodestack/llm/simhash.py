@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lodestack.llm.components import connected_components
 from lodestack.llm.storage import written
-from lodestack.llm.textblock import as_bytes
+from lodestack.llm.textblock import as_bytes, released
 
 BITS = 64
 RADIUS = 2
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.mapInArrow(released(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:

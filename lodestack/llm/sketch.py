@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodestack.llm.textblock import released
+
 #: Cells of a row of the sketch. The merged bits take DEPTH * 2^WIDTH_BITS / 8 bytes (32 MB) and 1/32 of that, whatever the input.
 WIDTH_BITS = 27
 DEPTH = 2
@@ -80,7 +82,7 @@ def repeated_cells(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[n
             bits = [pa.array([np.packbits(x, bitorder="little").tobytes()], pa.binary()) for x in (counts >= 2, many)]
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *bits], names=["slice", "bits", "heavy"])
 
-    merged = df.mapInArrow(count, "slice int, cells binary").repartition("slice").mapInArrow(merge, "slice int, bits binary, heavy binary")
+    merged = df.mapInArrow(released(count), "slice int, cells binary").repartition("slice").mapInArrow(released(merge), "slice int, bits binary, heavy binary")
     slices = DEPTH << (WIDTH_BITS - SLICE_BITS)
     twice, many = (np.zeros((slices, 1 << (SLICE_BITS - 3 - fold)), np.uint8) for fold in (0, FOLD_BITS))
     for r in merged.toLocalIterator():  # DEPTH * 64 rows at most

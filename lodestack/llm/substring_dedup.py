@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from lodestack.llm.repeats import Level, segments, spans_of, spans_to_remove, with_spans
 from lodestack.llm.sketch import HEAVY
-from lodestack.llm.textblock import as_bytes, gather, run_hashes, span_hashes, words
+from lodestack.llm.textblock import as_bytes, gather, released, run_hashes, span_hashes, words
 
 LENGTH = 13
 SHINGLE = 5
@@ -89,7 +89,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
             yield pa.RecordBatch.from_arrays([*batch.columns[:spans_at], *new], names=[*batch.schema.names[:spans_at], "n_words", "n_removed", "kept_sha256", "kept"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(run, f"{fields}, n_words long, n_removed long, kept_sha256 string, kept string")
+    return joined.mapInArrow(released(run), f"{fields}, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def op6_countmin_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lodestack.llm.difference_cover import equal_prefix_classes
 from lodestack.llm.repeats import Level, segments, spans_of, spans_to_remove, with_spans
 from lodestack.llm.sketch import HEAVY
-from lodestack.llm.textblock import as_bytes, gather, mix, random_words, span_hashes
+from lodestack.llm.textblock import as_bytes, gather, mix, random_words, released, span_hashes
 
 LENGTH = 100
 PIECE = 32
@@ -100,7 +100,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
             yield pa.RecordBatch.from_arrays([*batch.columns[:spans_at], *new], names=[*batch.schema.names[:spans_at], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(run, f"{fields}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    return joined.mapInArrow(released(run), f"{fields}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
 def op4_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
