@@ -4,11 +4,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodestack.llm import decontaminate, langid, packing, rans, simhash, substring_dedup, suffix_dedup, tokens, toxicity
 from lodestack.llm.storage import new_path
+from lodestack.llm.textblock import BLOCK_BYTES, as_bytes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, spans int, kept int, fp string, n_words string"
 random.seed(5)
@@ -320,3 +322,12 @@ def test_empty_tables(spark, n):
         packing.pack(docs), langid.identify(docs, langid.learn(docs)), toxicity.score(docs, toxicity.learn(docs, labels)),
     ]
     assert [r.count() for r in results] == [n] * 8
+
+
+def test_word_ids_by_blocks_equal_those_of_whole_texts():
+    rng = random.Random(5)
+    texts = ["", None, "one Two", " ".join(rng.choices(["One", "two", "x", "é"], k=BLOCK_BYTES // 2)), "...", *(" ".join(rng.choices(["two", "y"], k=2000)) for _ in range(300)), "one"]
+    vocabulary = {b"one": 1, b"two": 2, "é".encode(): 3}
+    ids, bounds = decontaminate.word_ids(*as_bytes(pa.array(texts, pa.string())), vocabulary)
+    expected = [[vocabulary.get(w, 0) for w in decontaminate.fold_words(t)] for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == expected
