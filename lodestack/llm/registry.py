@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestack.llm import decontaminate, langid, mtree, packing, preferences, rans, simhash, substring_dedup, suffix_dedup, toxicity
+from lodestack.llm import decontaminate, fill_in_middle, langid, lexical, mixing, mtree, packing, preferences, rans, simhash, substring_dedup, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_simhash_covering_lsh": simhash.op8_simhash_covering_lsh,
         "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
         "op10_nnls_packing": packing.op10_nnls_packing,
+        "op11_curriculum_mixing": mixing.op11_curriculum_mixing,
+        "op12_sorted_lexical_search": lexical.op12_sorted_lexical_search,
+        "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
     }
 
 
@@ -26,4 +29,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_preference_formatting": preferences.ORACLE_SQL,
         "op6_countmin_substring_dedup": substring_dedup.ORACLE_SQL,
         "op9_benchmark_decontamination": decontaminate.ORACLE_SQL,
+        "op11_curriculum_mixing": mixing.ORACLE_SQL,
+        "op12_sorted_lexical_search": lexical.ORACLE_SQL,
+        "op13_fill_in_middle": fill_in_middle.ORACLE_SQL,
     }

@@ -8,6 +8,8 @@ from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that one vectorised step works on, so memory doesn't follow the batch.
 BLOCK_BYTES = 1 << 20
@@ -33,6 +35,11 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     return task
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], fields: list[StructField]) -> DataFrame:
+    """df.mapInArrow(released(run)) to columns `fields`. Columns go in by place, as c0, c1 and so on: PySpark would look them up by names, which dots and backticks break."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(released(run), StructType(fields))
+
+
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows end to end, and n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
