@@ -28,10 +28,11 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from lodestack.llm.fm_index import FMIndex
 from lodestack.llm.storage import written
-from lodestack.llm.textblock import as_bytes, blocks, released, words
+from lodestack.llm.textblock import as_bytes, blocks, map_batches, words
 
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast, whose windows take about ten times as much; a larger benchmark goes in several, one after the other.
@@ -42,7 +43,8 @@ SHARD_SYMBOLS = 1 << 20
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _SEPARATOR = np.array([c == 32 for c in _FOLD])
 
-SCHEMA = "n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>, clean string"
+_RANGE = StructType().add("start", "long").add("end", "long")
+SCHEMA = StructType().add("n_words", "long").add("n_hit", "long").add("spans", ArrayType(_RANGE)).add("items", ArrayType(StringType())).add("clean", "string")
 
 
 def fold_words(text: str | bytes | None) -> list[bytes]:
@@ -156,8 +158,8 @@ _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, with_text: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs plus n_words, n_hit, spans (in words), items (sorted ids) and clean (the text without the spans; null unless with_text)."""
     spark = docs.sparkSession
-    docs = docs.drop("n_words", "n_hit", "spans", "items", "clean")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    docs = docs.drop(*SCHEMA.names)
+    names = [*docs.columns, *SCHEMA.names]
     text_at, width = docs.columns.index("text"), len(docs.columns)
 
     def one_pass(found: DataFrame, items: list) -> tuple[DataFrame, Broadcast]:
@@ -166,9 +168,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, w
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield _searched(batch, text_at, width, again, shared.value, with_text)
+                yield _searched(batch, text_at, width, again, shared.value, with_text).rename_columns(names)
 
-        return found.mapInArrow(released(run), f"{fields}, {SCHEMA}"), shared
+        return map_batches(found, run, [*docs.schema.fields, *SCHEMA.fields]), shared
 
     parts = _blocks(benchmark, block_bytes)
     found, shared = one_pass(docs, next(parts))

@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
-from lodestack.llm.textblock import released
+from lodestack.llm.textblock import map_batches, released
 
 #: Documents of a language that it is learned from, on average; they are picked by a hash of their id.
 SAMPLE_DOCS = 2000
@@ -223,8 +224,9 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most: int = LANGUAGES
 def identify(docs: DataFrame, model: Model | None, penalty: float = PENALTY, with_spans: bool = True) -> DataFrame:
     """docs plus lang_pred, score (share of letters in spans of that language) and lang_spans (in words; null unless with_spans)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "score", "lang_spans")
-    text_at = docs.columns.index("text")
+    added = StructType().add("lang_pred", "string").add("score", "double").add("lang_spans", ArrayType(StructType().add("start", "long").add("end", "long").add("lang", "string")))
+    docs = docs.drop(*added.names)
+    text_at, names = docs.columns.index("text"), docs.columns
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,10 +249,9 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = PENALTY, wit
                         cuts = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1, [b - a]])
                         spans[first + i] = [{"start": int(x), "end": int(y), "lang": m.languages[path[x]]} for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
             new = [pa.array(pred, pa.string()), pa.array(score), pa.array(spans, span_type) if with_spans else pa.nulls(n, span_type)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "lang_pred", "score", "lang_spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*names, *added.names])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(released(run), f"{fields}, lang_pred string, score double, lang_spans array<struct<start:long,end:long,lang:string>>")
+    return map_batches(docs, run, [*docs.schema.fields, *added.fields])
 
 
 def op7_viterbi_language_id(spark, sf_dir: str) -> DataFrame:

@@ -284,7 +284,7 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     by_doc = spans.groupBy("doc", "hash").agg(F.collect_list(F.struct("start", "end")).alias(at)).select(F.col("doc").alias(doc2), F.col("hash").alias(hash2), at)
     keyed = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), text_hash: F.xxhash64("text")})
     joined = keyed.join(by_doc, (F.col(doc) == F.col(doc2)) & (F.col(text_hash) == F.col(hash2)), "left")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], at)
+    return joined.drop(doc, text_hash, doc2, hash2)
 
 
 def spans_of(column: pa.Array, i: int) -> np.ndarray:

@@ -22,10 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from lodestack.llm.repeats import Level, segments, spans_of, spans_to_remove, with_spans
 from lodestack.llm.sketch import HEAVY
-from lodestack.llm.textblock import as_bytes, gather, released, run_hashes, span_hashes, words
+from lodestack.llm.textblock import as_bytes, gather, map_batches, run_hashes, span_hashes, words
 
 LENGTH = 13
 SHINGLE = 5
@@ -61,13 +62,17 @@ def _judge(payloads: list[bytes], docs: np.ndarray, starts: np.ndarray) -> tuple
     return earlier, windows
 
 
+ADDED = StructType().add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept", "string")
+
+
 def word_level(length: int = LENGTH, shingle: int = SHINGLE, heavy: int = HEAVY) -> Level:
     return Level(length, 1, _cut(length, shingle), _judge, lambda sizes: sizes // 16, same_document=False, heavy=heavy)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True, heavy: int = HEAVY) -> DataFrame:
     """docs plus n_words, n_removed, kept_sha256, and kept (the remaining words joined by blanks; null unless with_text)."""
-    docs = docs.drop("n_words", "n_removed", "kept_sha256", "kept")
+    docs = docs.drop(*ADDED.names)
+    names = docs.columns
     joined = with_spans(docs, spans_to_remove(docs, word_level(length, heavy=heavy)))
     text_at, spans_at = joined.columns.index("text"), len(joined.columns) - 1
 
@@ -86,10 +91,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
                 sha.append(hashlib.sha256(raw).hexdigest())
                 kept.append(raw.decode("utf-8", "replace") if with_text else None)
             new = [pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:spans_at], *new], names=[*batch.schema.names[:spans_at], "n_words", "n_removed", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:spans_at], *new], names=[*names, *ADDED.names])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(released(run), f"{fields}, n_words long, n_removed long, kept_sha256 string, kept string")
+    return map_batches(joined, run, [*docs.schema.fields, *ADDED.fields])
 
 
 def op6_countmin_substring_dedup(spark, sf_dir: str) -> DataFrame:

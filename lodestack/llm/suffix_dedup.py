@@ -21,11 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestack.llm.difference_cover import equal_prefix_classes
 from lodestack.llm.repeats import Level, segments, spans_of, spans_to_remove, with_spans
 from lodestack.llm.sketch import HEAVY
-from lodestack.llm.textblock import as_bytes, gather, mix, random_words, released, span_hashes
+from lodestack.llm.textblock import as_bytes, gather, map_batches, mix, random_words, span_hashes
 
 LENGTH = 100
 PIECE = 32
@@ -70,6 +71,9 @@ def _judge(length: int):
     return judge
 
 
+ADDED = StructType().add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string").add("kept", "string")
+
+
 def byte_level(length: int = LENGTH, heavy: int = HEAVY) -> Level:
     if length < 40:
         raise ValueError("length must be 40 or more")
@@ -78,7 +82,8 @@ def byte_level(length: int = LENGTH, heavy: int = HEAVY) -> Level:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True, heavy: int = HEAVY) -> DataFrame:
     """docs plus n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes as text, broken characters left out; null unless with_text)."""
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    docs = docs.drop(*ADDED.names)
+    names = docs.columns
     joined = with_spans(docs, spans_to_remove(docs, byte_level(length, heavy)))
     text_at, spans_at = joined.columns.index("text"), len(joined.columns) - 1
 
@@ -97,10 +102,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
                 sha.append(hashlib.sha256(raw).hexdigest())
                 kept.append(raw.decode("utf-8", "ignore") if with_text else None)
             new = [pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:spans_at], *new], names=[*batch.schema.names[:spans_at], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:spans_at], *new], names=[*names, *ADDED.names])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(released(run), f"{fields}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    return map_batches(joined, run, [*docs.schema.fields, *ADDED.fields])
 
 
 def op4_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

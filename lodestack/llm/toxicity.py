@@ -22,10 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField
 
 from lodestack.llm.decontaminate import _FOLD, _SEPARATOR
 from lodestack.llm.langid import held_out
-from lodestack.llm.textblock import as_bytes, blocks, span_hashes, words
+from lodestack.llm.textblock import as_bytes, blocks, map_batches, span_hashes, words
 
 FEATURE_BITS = 18
 POSITIVES = 4000
@@ -123,7 +124,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame:
     """docs plus score (0 to 1: how likely the label is 1)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("score")
-    text_at = docs.columns.index("text")
+    text_at, names = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,10 +133,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame:
                 weights, bias = shared.value
                 for first, n, row, feature in features(batch.column(text_at)):
                     out[first : first + n] = _sigmoid(np.bincount(row, weights=weights[feature], minlength=n) + bias)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*names, "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, score double")
+    return map_batches(docs, run, [*docs.schema.fields, StructField("score", DoubleType())])
 
 
 def op5_nnpu_toxicity(spark, sf_dir: str) -> DataFrame:
