@@ -1,24 +1,29 @@
-"""Near-duplicate texts: SimHash candidates by covering LSH, confirmed on five-word shingles.
-
-Fingerprints are of the set of single words, of which a changed word takes one and
-not five, so that texts whose five-word shingles have similarity THRESHOLD or more
-differ in few bits. A text has FINGERPRINTS independent ones of 64 bits; all pairs that
-are RADIUS bits apart or less in any of them meet in a table of that one's cover.
-
-In a bucket of up to COMPARE texts each is linked with the least and with the closest of
-those before it that are within the radius; in a larger one with its neighbours in order
-of fingerprint, so that links and work grow with the texts. Links that a bottom-k sample
-of the shingles' hashes puts under the threshold by more than MARGIN are dropped (for
-a similar pair that has a chance of under 1e-17); the others are decided by all their
-shingles' hashes, whatever the length. Texts that can have more partners within the radius
-than that are crowded: those meet again by the shingles of their prefixes, of which any
-two of similarity THRESHOLD share one. A prefix begins with the shingles that a count-min
-sketch gives the fewest texts, so that widespread passages bring together hardly any
-texts that differ in the rest, and those of one text alone are left out, as nothing meets
-there. All pairs that are within the radius, not in one component yet, and not ruled out by
-their sizes, the shared shingle's places or the parities of their sets are decided in the
-same way. So the groups are the
-components of all similar pairs within the radius. Copies collapse to one text before
+"""Near-duplicate texts: SimHash candidates by covering LSH, then all that share a rare shingle, confirmed on five-word shingles.
+
+Two texts are linked if their sets of five-word shingles have Jaccard similarity THRESHOLD
+or more, whatever the edits and the length; groups are the components of all such
+links, and no such link is lost. The steps:
+
+1. A count-min sketch tells which shingles two documents or more hold. A text can only
+   have a similar one if most of its shingles are among those, all but the share that
+   THRESHOLD leaves; shingles of other texts are not kept.
+2. Of those texts, fingerprints of the sets of single words (FINGERPRINTS of 64 bits) meet in
+   the tables of a cover: all pairs RADIUS bits apart or less in any of them share a bucket.
+   In a bucket of up to COMPARE texts each is tested with the least and with the closest
+   of those before it; in a larger one with its neighbours in order of fingerprint. That
+   finds most links of large groups at a cost that grows with the texts, and none that
+   is found there has to be found again.
+3. Contiguous edits move a fingerprint further than the similarity says. So texts meet again
+   by the shingles of their prefixes: of all sets in one order, any two of similarity
+   THRESHOLD share a shingle among the first of each. The order begins with the shingles that
+   the sketch gives the fewest documents. Only shingles that prefixes of different
+   components hold are dealt, and in a bucket only texts of different components are
+   compared: a pair is ruled out by the sets' sizes and the shared shingle's places, or by
+   the parities of the sets, which no similar pair can fail. A first round decides, for each text
+   and other component of a bucket, the pair whose parities are closest; a second
+   one all pairs of what are different components still.
+
+Pairs are decided by all their shingles' hashes (64 bits). Copies collapse to one text before
 anything else; texts are told apart by 128 bits.
 
 Defined results: null texts are empty, and empty or wordless texts without any other
@@ -36,8 +41,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from lodestack.llm.components import connected_components
 from lodestack.llm.simhash import _BYTE_BITS, _LANE, covering_masks
@@ -49,12 +56,9 @@ RADIUS = 3
 FINGERPRINTS = 6
 SHINGLE = 5
 THRESHOLD = 0.8
-SAMPLE = 256
-#: Ten standard errors of the sample's estimate.
-MARGIN = 0.25
 #: Texts that are compared at once, and the most of a bucket in which all are.
 COMPARE = 256
-#: Texts of one shingle from which it counts as common, and comes last in the order of prefixes.
+#: Documents of one shingle from which it counts as common, and comes last in the order of prefixes.
 COMMON = 16
 #: Words of 64 parities of a set of shingles.
 PARITIES = 8
@@ -101,19 +105,6 @@ def shingle_hashes(hashes: np.ndarray, first: np.ndarray, shingle: int = SHINGLE
     return out
 
 
-def shingle_sample(shingles: np.ndarray, size: int = SAMPLE) -> np.ndarray:
-    """The least `size` of the distinct hashes, as 32 bits, ascending."""
-    return np.unique((shingles >> np.uint64(32)).astype(np.uint32))[:size]
-
-
-def similarity(a: np.ndarray, b: np.ndarray, size: int = SAMPLE) -> float:
-    """Estimated Jaccard similarity of two samples; the true one if both are complete."""
-    union = np.union1d(a, b)[:size]
-    if not len(union):
-        return 1.0
-    return float((np.isin(union, a) & np.isin(union, b)).sum() / len(union))
-
-
 def text_key() -> Column:
     """Hash of a row's text that needs no Python; null is empty."""
     return F.xxhash64(F.coalesce("text", F.lit("")))
@@ -130,7 +121,8 @@ def _words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.n
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, text_hash, text_hash2, fps, sample)"""
+    """(doc_id, text_key, text_hash, text_hash2, fps)"""
+    schema = StructType([docs.schema["doc_id"], *(StructField(c, LongType()) for c in ("text_key", "text_hash", "text_hash2")), StructField("fps", ArrayType(LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,27 +132,48 @@ def _profiles(docs: DataFrame) -> DataFrame:
                 halves = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in ([w & (2**64 - 1) for w in whole], [w >> 64 for w in whole])]
                 fps = word_set_fingerprints(hashes, first).view(np.int64).ravel()
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) + 1, FINGERPRINTS, dtype=np.int32)), pa.array(fps))
-                samples = pa.array([shingle_sample(h).astype("<u4").tobytes() for h in shingle_hashes(hashes, first)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), batch.column(2).slice(i, n), *halves, lists, samples], names=["doc_id", "text_key", "text_hash", "text_hash2", "fps", "sample"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), batch.column(2).slice(i, n), *halves, lists], names=schema.names)
+
+    return docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(released(run), schema)
+
+
+def doc_key() -> Column:
+    """Hash of an id and its text's hash, null or not."""
+    return F.xxhash64("doc_id", text_key())
 
-    docs = docs.select("doc_id", "text", text_key().alias("text_key"))
-    return docs.mapInArrow(released(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, text_hash long, text_hash2 long, fps array<long>, sample binary")
 
+def shared_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of a sketch: shingles that two documents or more hold, and COMMON or more."""
 
-def _shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted(node, least, text_key) -> (node, shingles): the distinct hashes of all shingles, ascending, by the text of document `least`."""
+    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, _, _, hashes, first in _words(batch.column(0)):
+            yield np.concatenate([np.zeros(0, np.uint64), *(np.unique(h) for h in shingle_hashes(hashes, first))])
+
+    return repeated_cells(docs.select("text"), keys, COMMON)
+
+
+def _shingles(docs: DataFrame, nodes: DataFrame, sketch: Broadcast | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """nodes(node, doc_key, text_key) -> (node, shingles): the distinct hashes of all shingles, ascending. With a sketch, of those texts alone that can have a similar one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, cuts, i, hashes, first in _words(batch.column(1)):
+            for _, cuts, i, hashes, first in _words(batch.column(2)):
                 sets = [np.unique(h.view(np.int64)) for h in shingle_hashes(hashes, first)]
-                at = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(cuts) - 1), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets)))], names=["node", "shingles"])
-
-    texts = docs.select("doc_id", "text", text_key().alias("key"))
+                at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+                flat = np.concatenate([np.zeros(0, np.int64), *sets])
+                if sketch is not None:
+                    alone = np.concatenate([[0], np.cumsum(~reached(flat.view(np.uint64), sketch.value[0]))])
+                    size = np.diff(at)
+                    kept = (size == 0) | (np.diff(alone[at]) <= size - np.ceil(size * threshold - _SLACK))
+                else:
+                    kept = np.ones(len(sets), bool)
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))
+                whole = pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), batch.column(1).slice(i, len(sets)), lists], names=["doc_key", "text_key", "shingles"])
+                yield whole.filter(pa.array(kept))
+
+    rows = docs.select(doc_key().alias("doc_key"), text_key().alias("text_key"), "text").mapInArrow(released(run), "doc_key long, text_key long, shingles array<long>")
     # by id and text, so copies of a text don't meet in a task
-    found = texts.join(wanted.hint("shuffle_merge"), (F.col("key") == F.col("text_key")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "text")
-    return found.mapInArrow(released(run), "node long, shingles array<long>").dropDuplicates(["node"])
+    return rows.dropDuplicates(["doc_key", "text_key"]).join(nodes.select("node", "doc_key", "text_key").hint("shuffle_merge"), ["doc_key", "text_key"]).select("node", "shingles")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -172,24 +185,16 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def bucket_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """For members of a bucket in order: pairs (later, earlier) with the first and the closest earlier member within the radius."""
-    return _bucket(fps, radius)[:2]
-
-
-def _bucket(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """bucket_links(), and the members of pairs within the radius that it leaves out, with some others of such a bucket."""
     later, earlier = [], []
-    crowded = np.zeros(len(fps), bool)
     for i in range(0, len(fps), COMPARE):
         mine = fps[i : i + COMPARE]
         first = np.full(len(mine), -1)
         best = np.full(len(mine), radius + 1)
         where = np.full(len(mine), -1)
-        partners = np.zeros(len(mine), np.int64)
         for j in range(0, i + len(mine), COMPARE):
             distance = np.bitwise_count(mine[:, None] ^ fps[None, j : j + COMPARE]).astype(np.int64)
             before = (j + np.arange(distance.shape[1]))[None, :] < (i + np.arange(len(mine)))[:, None]
             distance = np.where(before, distance, radius + 1)
-            partners += (distance <= radius).sum(axis=1)
             near = distance.min(axis=1)
             at = distance.argmin(axis=1)
             hit = near <= radius
@@ -199,11 +204,7 @@ def _bucket(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.nd
             found = np.flatnonzero(x >= 0)
             later.append(i + found)
             earlier.append(x[found])
-        more = np.flatnonzero(partners > (first >= 0).astype(np.int64) + (where != first))
-        crowded[i + more] = True
-        for j in range(0, i + len(mine) if len(more) else 0, COMPARE):
-            crowded[j : j + COMPARE] |= (np.bitwise_count(mine[more, None] ^ fps[None, j : j + COMPARE]) <= radius).any(axis=0)
-    return np.concatenate(later), np.concatenate(earlier), np.flatnonzero(crowded)
+    return np.concatenate(later), np.concatenate(earlier)
 
 
 def ordered_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +237,7 @@ def _cuts(bucket: np.ndarray) -> np.ndarray:
 
 
 def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
-    """nodes(node, fps) -> distinct links (u, v) of nodes within the radius, and (u, u) for crowded ones."""
+    """nodes(node, fps) -> distinct links (u, v) of nodes within the radius."""
     signed = np.array(covering_masks(radius), np.uint64).view(np.int64)
     masks = F.posexplode(F.array(*[F.lit(int(m)) for m in signed])).alias("t", "mask")
     rows = nodes.select("node", F.posexplode("fps").alias("k", "fp")).select("node", "k", "fp", masks).select(F.xxhash64("k", "t", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"), "node", "fp")
@@ -250,9 +251,9 @@ def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
         u, v = [node[a + 1]], [node[a]]
         for a, n in zip(cut[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
             some, fps = node[a : a + n], fp[a : a + n].view(np.uint64)
-            x, y, crowded = _bucket(fps, radius) if n <= COMPARE else (*ordered_links(fps, radius), slice(None))
-            u += [some[x], some[crowded]]
-            v += [some[y], some[crowded]]
+            x, y = (bucket_links if n <= COMPARE else ordered_links)(fps, radius)
+            u.append(some[x])
+            v.append(some[y])
         both = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, c])) for c in (0, 1)], names=["u", "v"])
 
@@ -263,29 +264,34 @@ def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(released(run), "u long, v long").distinct()
 
 
-def apart_within(component: np.ndarray, fps: np.ndarray, sizes: np.ndarray, places: np.ndarray, parities: np.ndarray, radius: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For members of a bucket in order of component: pairs of different components that are within the radius in a fingerprint and may be similar.
+def apart_within(component: np.ndarray, sizes: np.ndarray, places: np.ndarray, parities: np.ndarray, threshold: float, closest: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For members of a bucket in order of component: pairs of different components that may be similar; with `closest`, of each text
+    and other component only the pair whose parities differ least, among COMPARE texts of the other side.
 
-    fps: [member, fingerprint]; places: of the bucket's shingle in each one's order; parities: [member, word]. If the
+    places: of the bucket's shingle in each one's order; parities: [member, word]. If the
     shingle is the first that a pair shares, no more can be shared than remain from there; two sets' parities differ in
     no more bits than the sets have shingles that are not shared."""
     share = threshold / (1 + threshold)
-    for i in range(0, len(fps), COMPARE):
+    for i in range(0, len(sizes), COMPARE):
         mine = slice(i, i + COMPARE)
-        for j in range(int(np.searchsorted(component, component[i], side="right")), len(fps), COMPARE):
+        for j in range(int(np.searchsorted(component, component[i], side="right")), len(sizes), COMPARE):
             other = slice(j, j + COMPARE)
             a, b = sizes[mine, None], sizes[None, other]
             left = np.minimum(a - places[mine, None], b - places[None, other])
             x, y = np.nonzero((left >= share * (a + b) - _SLACK) & (component[mine, None] < component[None, other]))
-            x, y = i + x, j + y
-            for k in range(0, len(x), _PAIRS):
-                u, v = x[k : k + _PAIRS], y[k : k + _PAIRS]
-                near = (np.bitwise_count(fps[u] ^ fps[v]) <= radius).any(axis=1)
-                u, v = u[near], v[near]
-                apart = np.bitwise_count(parities[u] ^ parities[v]).sum(axis=1, dtype=np.int64)
-                near = apart <= (1 - 2 * share) * (sizes[u] + sizes[v]) + _SLACK
-                if near.any():
-                    yield u[near], v[near]
+            if not len(x):
+                continue
+            u, v = i + x, j + y
+            apart = np.bitwise_count(parities[u] ^ parities[v]).sum(axis=1, dtype=np.int64)
+            near = apart <= (1 - 2 * share) * (sizes[u] + sizes[v]) + _SLACK
+            u, v, apart = u[near], v[near], apart[near]
+            if closest and len(u):
+                order = np.lexsort((apart, u, component[v]))
+                u, v = u[order], v[order]
+                first = np.concatenate([[True], (component[v[1:]] != component[v[:-1]]) | (u[1:] != u[:-1])])
+                u, v = u[first], v[first]
+            if len(u):
+                yield u, v
 
 
 def rare_prefixes(shingles: np.ndarray, at: np.ndarray, level: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -309,16 +315,11 @@ def parity_bits(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(n, -1).astype(bool), axis=1, bitorder="little").view(np.uint64).reshape(n, PARITIES)
 
 
-def _crowded_pairs(sets: DataFrame, texts: DataFrame, radius: int, threshold: float) -> DataFrame:
-    """texts(node, shingles, fps, component), of sets(node, shingles) -> distinct (u, v): all that can be similar, are within the radius and of different components."""
-
-    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield batch.column(0).flatten().to_numpy().view(np.uint64)
-
-    sketch = sets.sparkSession.sparkContext.broadcast(repeated_cells(sets.select("shingles"), keys, COMMON))
-    names = [f"fp{k}" for k in range(FINGERPRINTS)] + [f"parity{k}" for k in range(PARITIES)]
+def _prefixes(texts: DataFrame, sketch: Broadcast, threshold: float, wanted: Broadcast | None = None) -> DataFrame:
+    """texts(node, shingles, component) -> (bucket, component) of each shingle of a prefix; with `wanted`, of those buckets alone, and all that apart_within() needs."""
+    names = ["bucket", "component", *(["node", "n", "place", *(f"parity{k}" for k in range(PARITIES))] if wanted is not None else [])]
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, _TEXTS):
                 batch = whole.slice(i, _TEXTS)
@@ -330,20 +331,35 @@ def _crowded_pairs(sets: DataFrame, texts: DataFrame, radius: int, threshold: fl
                 # sets without any share their lack
                 none = np.flatnonzero(np.diff(at) == 0)
                 owner, place, bucket = (np.concatenate(x) for x in ((owner, none), (place, np.zeros(len(none), np.int64)), (bucket, np.zeros(len(none), np.int64))))
-                fps = batch.column(2).flatten().to_numpy().reshape(-1, FINGERPRINTS)
-                more = [c[owner] for c in (*fps.T, *parity_bits(shingles, at).view(np.int64).T)]
-                columns = [bucket, batch.column(0).to_numpy()[owner], np.diff(at)[owner], place, batch.column(3).to_numpy()[owner], *more]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c, np.int64)) for c in columns], names=["bucket", "node", "n", "place", "component", *names])
+                columns = [bucket, batch.column(2).to_numpy()[owner]]
+                if wanted is not None:
+                    kept = reached(bucket.view(np.uint64), wanted.value)
+                    owner = owner[kept]
+                    columns = [c[kept] for c in columns] + [batch.column(0).to_numpy()[owner], np.diff(at)[owner], place[kept], *parity_bits(shingles, at)[owner].view(np.int64).T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c, np.int64)) for c in columns], names=names)
+
+    return texts.select("node", "shingles", "component").mapInArrow(released(run), ", ".join(f"{c} long" for c in names))
+
+
+def _prefix_pairs(texts: DataFrame, sketch: Broadcast, threshold: float, closest: bool) -> DataFrame:
+    """texts(node, shingles, component) -> distinct (u, v) of different components: all that can be similar, or, with `closest`, the likeliest."""
+
+    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield batch.column(0).to_numpy().view(np.uint64)
+
+    # a bucket of one component has nothing to compare, and most are
+    several, _ = repeated_cells(_prefixes(texts, sketch, threshold).distinct().select("bucket"), keys)
+    shared = texts.sparkSession.sparkContext.broadcast(several)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, node, n, place, component, *columns in _whole_buckets(batches):
+        for bucket, component, node, n, place, *columns in _whole_buckets(batches):
             cut = _cuts(bucket)
-            fps, parities = (np.stack(x, axis=1).view(np.uint64) for x in (columns[:FINGERPRINTS], columns[FINGERPRINTS:]))
+            parities = np.stack(columns, axis=1).view(np.uint64)
             u, v, total = [], [], 0
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 if component[a] == component[b - 1]:
                     continue
-                for x, y in apart_within(component[a:b], fps[a:b], n[a:b], place[a:b], parities[a:b], radius, threshold):
+                for x, y in apart_within(component[a:b], n[a:b], place[a:b], parities[a:b], threshold, closest):
                     u.append(node[a:b][x])
                     v.append(node[a:b][y])
                     total += len(x)
@@ -353,7 +369,7 @@ def _crowded_pairs(sets: DataFrame, texts: DataFrame, radius: int, threshold: fl
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (u, v)], names=["u", "v"])
 
-    rows = texts.select("node", "shingles", "fps", "component").mapInArrow(released(prefixes), ", ".join(f"{c} long" for c in ("bucket", "node", "n", "place", "component", *names)))
+    rows = _prefixes(texts, sketch, threshold, shared)
     return rows.repartition("bucket").sortWithinPartitions("bucket", "component").mapInArrow(released(run), "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
@@ -361,34 +377,27 @@ def groups(docs: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD)
     """One row per document: doc_id, text_key, group_id and group_key.
 
     group_id is the least doc_id among the near duplicates that it is linked with, group_key the least text_key() of that id there."""
+    sketch = docs.sparkSession.sparkContext.broadcast(shared_shingles(docs))
     profiles, _ = written(_profiles(docs), "profiles")
     both = ["text_hash", "text_hash2"]
     # the least document: an id goes before none, and of an id's texts the one of the least key
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
-    copies = profiles.groupBy(*both).agg(first, F.min(F.struct("fps", "sample")).alias("x"))
+    copies = profiles.groupBy(*both).agg(first, F.min("fps").alias("fps"))
     # one number for each distinct text, given as the table is written: ids can be null or repeat
-    nodes, _ = written(copies.select(F.monotonically_increasing_id().alias("node"), *both, "first", "x.fps", "x.sample"), "nodes")
-    found, _ = written(_candidates(nodes.select("node", "fps"), radius), "candidates")
-    links, crowded = found.where("u <> v"), found.where("u = v").select(F.col("u").alias("node"))
-    named = links.select("u").union(links.select("v")).distinct().withColumnRenamed("u", "node").join(nodes.select("node", "sample"), "node")
-    pairs = links.join(named.select(F.col("node").alias("u"), F.col("sample").alias("a")), "u").join(named.select(F.col("node").alias("v"), F.col("sample").alias("b")), "v")
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (batch.column(k).to_pylist() for k in (2, 3))
-            good = np.array([similarity(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) >= threshold - MARGIN for x, y in zip(a, b, strict=True)], bool)
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good)) for k in (0, 1)], names=["u", "v"])
-
-    near, _ = written(pairs.select("u", "v", "a", "b").mapInArrow(released(likely), "u long, v long"), "likely")
-    wanted = near.select(F.col("u").alias("node")).union(near.select("v")).union(crowded).distinct()
-    sets, _ = written(_shingles(docs, nodes.join(wanted, "node").select("node", F.col("first.doc_id").alias("least"), "first.text_key")), "shingles")
-    comps, _ = written(connected_components(_similar(near, sets, threshold)), "components")
-    if crowded.limit(1).count():
-        texts = sets.join(crowded, "node", "left_semi").join(nodes.select("node", "fps"), "node").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pairs, _ = written(_crowded_pairs(sets, texts, radius, threshold), "crowded")
-        more = _similar(pairs, sets, threshold)
-        comps, _ = written(connected_components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more)), "components")
+    nodes, _ = written(copies.select(F.monotonically_increasing_id().alias("node"), *both, "first", "fps"), "nodes")
+    keyed = nodes.select("node", F.xxhash64("first.doc_id", "first.text_key").alias("doc_key"), "first.text_key")
+    sets, _ = written(_shingles(docs, keyed, sketch, threshold), "shingles")
+    near, _ = written(_candidates(nodes.join(sets.select("node"), "node").select("node", "fps"), radius), "candidates")
+    links, _ = written(_similar(near, sets, threshold), "links")
+    for closest in (True, False):
+        comps, _ = written(connected_components(links), "components")
+        texts = sets.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        pairs, _ = written(_prefix_pairs(texts, sketch, threshold, closest), "pairs")
+        more = comps.select(F.col("node").alias("u"), F.col("component").alias("v")).where("u <> v")
+        links, _ = written(more.unionAll(_similar(pairs, sets, threshold)), "links")
+    comps, _ = written(connected_components(links), "components")
     labelled = nodes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("first").alias("least"))
     by_text, _ = written(labelled.join(least, "component").select(*both, F.col("least.doc_id").alias("group_id"), F.col("least.text_key").alias("group_key")), "groups")
+    sketch.destroy()
     return profiles.select("doc_id", "text_key", *both).join(by_text, both).select("doc_id", "text_key", "group_id", "group_key")

@@ -262,7 +262,7 @@ def test_near_texts_in_crowded_buckets_equal_brute_force(spark):
         for k in rng.sample(range(400), 6):
             near[k] = rng.choice(vocabulary)
         texts += [" ".join(w), " ".join(near)]
-    want = _near_text_brute_force(texts)
+    want = _near_text_brute_force(texts, radius=64)  # fingerprints of any distance
     assert sum(want[i] != i for i in range(len(texts))) > 80
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["group_id"] for r in near_text.groups(docs).collect()}
@@ -296,11 +296,11 @@ def test_rare_prefixes_and_bounds_lose_no_similar_pair():
     level = np.array([0 if counts[int(x)] == 1 else 2 if counts[int(x)] > 15 else 1 for x in flat])
     owner, place, shingle = near_text.rare_prefixes(flat, at, level, 0.8)
     parities = near_text.parity_bits(flat, at)
-    fps, found = np.zeros((len(sets), near_text.FINGERPRINTS), np.uint64), set()
+    found = set()
     for x in np.unique(shingle):
         mine = np.flatnonzero(shingle == x)
         who = owner[mine]
-        for u, v in near_text.apart_within(who, fps[who], np.diff(at)[who], place[mine], parities[who], 3, 0.8):
+        for u, v in near_text.apart_within(who, np.diff(at)[who], place[mine], parities[who], 0.8):
             found |= {(int(a), int(b)) for a, b in zip(who[u], who[v], strict=True)}
     pairs = [(i, j) for j in range(len(sets)) for i in range(j) if sets[i] and sets[j]]
     similar = {(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
@@ -332,13 +332,13 @@ def test_near_texts_longer_than_the_sample_are_decided_exactly(spark):
     want = _near_text_brute_force(texts, radius=64)
     assert sum(want[i] != i for i in range(len(texts))) == 20
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    wanted = docs.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("least"), near_text.text_key().alias("text_key"))
+    wanted = docs.select(F.col("doc_id").alias("node"), near_text.doc_key().alias("doc_key"), near_text.text_key().alias("text_key"))
     pairs = spark.createDataFrame([(i + 1, i) for i in range(0, len(texts), 2)], "u long, v long")
     decided = {r["u"] for r in near_text._similar(pairs, near_text._shingles(docs, wanted), 0.8).collect()}
     assert decided == {i for i in range(len(texts)) if want[i] != i}
     # a pair beyond the radius need not be found, but none is taken that isn't similar, and nothing within them is lost
     got = {r["doc_id"]: r["group_id"] for r in near_text.groups(docs).collect()}
-    assert [got[i] for i in range(len(texts))] == _near_text_brute_force(texts)
+    assert [got[i] for i in range(len(texts))] == want
 
 
 def test_registered_sql_gives_the_same_rows(spark):
