@@ -38,8 +38,6 @@ from lodestack.llm.storage import written
 WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3
 SEED = 42
-#: Rows of a bucket, on average.
-BUCKET_ROWS = 4096
 #: Of sources in order, repeating: knots (moment, weight) whose integrals are 5, 2 and 1. The first comes early, the third late.
 CURRICULUM = (((0.0, 7.5), (1.0, 2.5)), ((0.0, 2.0), (1.0, 2.0)), ((0.0, 0.5), (1.0, 1.5)))
 
@@ -121,15 +119,15 @@ def targets(sources: DataFrame, curriculum: Sequence[Schedule] = CURRICULUM, mos
     return rows.withColumn("target", F.least(F.col("weight") * F.lit(rate), F.col("most").cast("double"))).drop("weight", "most")
 
 
-def curriculum_plan(docs: DataFrame, curriculum: Sequence[Schedule] = CURRICULUM, most: int = MOST, seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
+def curriculum_plan(docs: DataFrame, curriculum: Sequence[Schedule] = CURRICULUM, most: int = MOST, seed: int = SEED, bucket_bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(plan, documents). plan: a row for each copy of a document in order of training: moment, doc_id, source, copy (from 0), words, and row, the document's row;
     the last copy that a source gives is cut where its target is met. documents: row, doc_id, source, size, source_size, target."""
     spark = docs.sparkSession
     rows, _ = written(sized(docs, seed), "sized")
     per_source = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     shares, _ = written(targets(per_source, curriculum, most), "targets")
-    # as many buckets as the documents need: the leading bits of the key number them
-    bits = max(0, min(28, math.ceil(math.log2(max(1, rows.count() / bucket_rows)))))
+    # leading bits of the key number the buckets: about as many as one has rows, so that neither sum meets more than a square root of all
+    bits = min(28, math.ceil(math.log2(max(1, rows.count())) / 2)) if bucket_bits is None else bucket_bits
     bucket = F.shiftright(F.conv(F.substring("key", 1, 7), 16, 10).cast("int"), 28 - bits)
     rows = rows.withColumn("bucket", bucket)
     sums = rows.groupBy("source", "bucket").agg(F.sum(F.col("size") * F.col("n")).alias("words"))

@@ -113,7 +113,7 @@ def test_mix_meets_targets(spark):
     sizes = Counter()
     for _, t, s in rows:
         sizes[s] += len((t or "").split())
-    plan, out = _mixed(spark, rows, bucket_rows=50)
+    plan, out = _mixed(spark, rows, bucket_bits=6)
     got = out.collect()
     want = plain_targets(sizes)
     assert len(got) == len(rows)
@@ -124,7 +124,7 @@ def test_mix_meets_targets(spark):
         taken[r.source] += r.taken
     assert all(abs(taken[s] - want[s]) <= 0.5 for s in sizes)
     assert any(want[s] == 3 * sizes[s] and sizes[s] for s in sizes), "no source is at its limit"
-    again = _mixed(spark, rows[::-1], bucket_rows=400)[1].collect()
+    again = _mixed(spark, rows[::-1], bucket_bits=1)[1].collect()
     assert sorted(map(repr, again)) == sorted(map(repr, got))
 
 
