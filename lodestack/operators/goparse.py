@@ -1,9 +1,9 @@
 """Functions, structs and imports of Go sources, from tokens.
 
-In Go the keywords if, for, case and default and the operators && and || stand
-for exactly the nodes that count for complexity, so tokens are enough. A file
-whose brackets don't match or that has no package clause is unparseable: its row
-has an error and no content, as a syntax error drops a file in the reference.
+A file that the language's grammar doesn't fit (gosyntax.py) is unparseable: its row has an
+error and nothing else. In one that it does fit, the keywords if, for, case and default and
+the operators && and || stand for exactly the nodes that count for complexity, so tokens
+are enough for all else.
 """
 
 from __future__ import annotations
@@ -16,9 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.operators import gosyntax
 from lodestack.schemas import FUNCTION, IMPORT, STRUCT, array_of
 
-_TOKEN = re.compile(
+TOKEN = re.compile(
     r"(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<string>`[^`]*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])+')"
     r"|(?P<word>[^\W\d]\w*)|(?P<number>\d[\w.]*)|(?P<op>&&|\|\||<-|\.\.\.|:=|[^\s\w])",
     re.S,
@@ -32,7 +33,7 @@ class Unparseable(ValueError):
     pass
 
 
-class _Source:
+class Source:
     """Tokens without comments, where brackets close, and line numbers."""
 
     def __init__(self, text: str):
@@ -41,7 +42,7 @@ class _Source:
         self.tokens: list[str] = []
         self.at: list[int] = []
         self.comments: list[tuple[int, int, str]] = []
-        for m in _TOKEN.finditer(text):
+        for m in TOKEN.finditer(text):
             if m.lastgroup == "comment":
                 self.comments.append((self.line(m.start()), self.line(m.end() - 1), m.group()))
             else:
@@ -101,28 +102,28 @@ class _Source:
         return [(a, b) for a, b in [*out, (start, j)] if a < b]
 
 
-def _is_word(token: str) -> bool:
+def is_word(token: str) -> bool:
     return re.fullmatch(r"[^\W\d]\w*", token) is not None
 
 
-def _named(s: _Source, a: int, b: int) -> bool:
+def _named(s: Source, a: int, b: int) -> bool:
     """Whether `name type` stands in tokens a .. b - 1, rather than a type alone."""
-    if b - a < 2 or not _is_word(s.tokens[a]) or s.tokens[a] in _TYPE_START:
+    if b - a < 2 or not is_word(s.tokens[a]) or s.tokens[a] in _TYPE_START:
         return False
     after = s.tokens[a + 1]
     if after == "[":
         return s.close[a + 1] + 1 < b
-    return after in _TYPE_START or _is_word(after)
+    return after in _TYPE_START or is_word(after)
 
 
-def _parameters(s: _Source, opened: int) -> list[str]:
+def _parameters(s: Source, opened: int) -> list[str]:
     parts = s.split(opened + 1, s.close[opened], (",",))
     if not any(_named(s, a, b) for a, b in parts):
         return []
     return [s.tokens[a] for a, _ in parts]
 
 
-def _function(s: _Source, i: int) -> tuple[dict, int]:
+def _function(s: Source, i: int) -> tuple[dict, int]:
     """The declaration whose `func` is token i, and the token after it."""
     tokens, k, n = s.tokens, i + 1, len(s.tokens)
     if tokens[k : k + 1] == ["("]:
@@ -150,13 +151,13 @@ def _function(s: _Source, i: int) -> tuple[dict, int]:
     }, end + 1
 
 
-def _fields(s: _Source, opened: int) -> list[dict]:
+def _fields(s: Source, opened: int) -> list[dict]:
     out = []
     for a, b in s.split(opened + 1, s.close[opened], (";",), by_line=True):
         while b > a and s.tokens[b - 1][:1] in "`\"":
             b -= 1
         names, k = [], a
-        while k < b and _is_word(s.tokens[k]):
+        while k < b and is_word(s.tokens[k]):
             names.append(s.tokens[k])
             if s.tokens[k + 1 : k + 2] != [","]:
                 break
@@ -166,7 +167,7 @@ def _fields(s: _Source, opened: int) -> list[dict]:
     return out
 
 
-def _structs(s: _Source) -> list[dict]:
+def _structs(s: Source) -> list[dict]:
     out, tokens = [], s.tokens
     for i, t in enumerate(tokens):
         if t != "type":
@@ -177,35 +178,49 @@ def _structs(s: _Source) -> list[dict]:
             k = a + 1
             if k < b and tokens[k] == "[" and tokens[s.close[k] + 1 : s.close[k] + 2] == ["struct"] and s.close[k] > k + 2:
                 k = s.close[k] + 1
-            if k + 1 < b and _is_word(tokens[a]) and tokens[k] == "struct" and tokens[k + 1] == "{":
+            if k + 1 < b and is_word(tokens[a]) and tokens[k] == "struct" and tokens[k + 1] == "{":
                 out.append({"name": tokens[a], "start_line": s.line_of(a), "end_line": s.line_of(s.close[k + 1]), "fields": _fields(s, k + 1), "is_exported": tokens[a][:1].isupper()})
     return out
 
 
-def _imports(s: _Source) -> list[dict]:
+def import_specs(s: Source) -> list[dict]:
     out, tokens = [], s.tokens
     for i, t in enumerate(tokens):
         if t == "import" and s.depth[i] == 0:
             grouped = tokens[i + 1 : i + 2] == ["("]
             specs = s.split(i + 2, s.close[i + 1], (";",), by_line=True) if grouped else [(i + 1, i + (2 if tokens[i + 1][:1] in "\"`" else 3))]
-            out += [{"path": tokens[b - 1], "alias": tokens[a] if b - a > 1 else None} for a, b in specs]
+            out += [{"path": tokens[b - 1], "alias": tokens[a] if b - a > 1 else None, "line": s.line_of(a)} for a, b in specs]
     return out
 
 
+def _declared(s: Source) -> Iterator[tuple[dict, int, int]]:
+    """Each function, its first token and the token after it."""
+    i = 0
+    while i < len(s.tokens):
+        starts = i == 0 or s.tokens[i - 1] == ";" or s.line_of(i) > s.line_of(i - 1)
+        if s.tokens[i] == "func" and s.depth[i] == 0 and starts and s.tokens[i - 1] != "=":
+            f, end = _function(s, i)
+            yield f, i, end
+            i = end
+        else:
+            i += 1
+
+
+def function_ranges(s: Source) -> Iterator[tuple[int, int, str]]:
+    """First token, token after the last, and name of each function."""
+    for f, start, end in _declared(s):
+        yield start, end, f["name"]
+
+
 def parse(text: str) -> dict:
     """functions, structs and imports of one source, or an error."""
     try:
-        s = _Source(text)
-        functions, i = [], 0
-        while i < len(s.tokens):
-            starts = i == 0 or s.tokens[i - 1] == ";" or s.line_of(i) > s.line_of(i - 1)
-            if s.tokens[i] == "func" and s.depth[i] == 0 and starts and s.tokens[i - 1] != "=":
-                f, i = _function(s, i)
-                functions.append(f)
-            else:
-                i += 1
-        return {"functions": functions, "structs": _structs(s), "imports": _imports(s), "error": None}
-    except (Unparseable, IndexError, KeyError) as e:
+        gosyntax.check(text)
+        s = Source(text)
+        functions = [f for f, _, _ in _declared(s)]
+        imports = [{k: v for k, v in i.items() if k != "line"} for i in import_specs(s)]
+        return {"functions": functions, "structs": _structs(s), "imports": imports, "error": None}
+    except (gosyntax.Fault, Unparseable, IndexError, KeyError) as e:
         return {"functions": [], "structs": [], "imports": [], "error": str(e) or type(e).__name__}
 
 

@@ -85,7 +85,7 @@ def test_broken_sources_have_an_error():
 
 
 def test_tables(spark):
-    files = spark.createDataFrame([("r", "a.go", SOURCE), ("r", "b.go", "package"), ("r", "c.go", None)], "repo_id string, path string, content string")
+    files = spark.createDataFrame([("r", "a.go", SOURCE), ("r", "b.go", "package b"), ("r", "c.go", None)], "repo_id string, path string, content string")
     parsed = goparse.parse_go(files)
     assert goparse.functions_of(parsed).count() == 5 and goparse.structs_of(parsed).count() == 4 and goparse.imports_of(parsed).count() == 3
     assert [r["path"] for r in parsed.where("error is not null").collect()] == ["c.go"]
