@@ -1,39 +1,74 @@
 """Frameworks from manifests and from content.
 
-All indicators are tested in one projection over each file: content is read
-once, no row is joined with the registry, and only the numbers of the frameworks
-that it shows leave the scan.
+All indicators are found in one pass over each file's content by an Aho-Corasick automaton, so the
+time doesn't follow their number; no row is joined with the registry, and only the numbers of
+the frameworks that a repository shows leave the scan.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lodestack.functions.registry import FRAMEWORKS, IMPORTANT_FILES, PATTERNS, TYPE_ORDER, Framework
 from lodestack.functions.scalar import is_pruned, is_source_file, language_of
 
 
-def _numbers(tests: list[tuple[int, Column]]) -> Column:
-    if not tests:
-        return F.array().cast("array<int>")
-    return F.array_compact(F.array(*[F.when(test, F.lit(k)) for k, test in tests]))
-
-
 def _any_in(text: Column, words: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
+@lru_cache(maxsize=8)
+def _automaton(words: tuple[tuple[str, ...], ...]) -> tuple[ahocorasick.Automaton | None, tuple[int, ...]]:
+    """The automaton whose outputs are, for each word, the numbers of the sets that it is of; and the sets with an empty word, which any text holds."""
+    owners: dict[str, list[int]] = {}
+    for k, some in enumerate(words):
+        for w in set(some):
+            owners.setdefault(w, []).append(k)
+    always = tuple(owners.pop("", ()))
+    if not owners:
+        return None, always
+    automaton = ahocorasick.Automaton()
+    for w, numbers in owners.items():
+        automaton.add_word(w, tuple(numbers))
+    automaton.make_automaton()
+    return automaton, always
+
+
+def words_in(text: str, words: tuple[tuple[str, ...], ...]) -> set[int]:
+    """Numbers of the sets of which the text holds a word."""
+    automaton, always = _automaton(words)
+    found = set(always)
+    if automaton is not None:
+        for _, numbers in automaton.iter(text):
+            found.update(numbers)
+    return found
+
+
 def content_hits(files: DataFrame, frameworks: list[Framework] = FRAMEWORKS, language_filter: bool = False) -> DataFrame:
-    """(repo_id, number) of frameworks that some source file shows. language_filter: only files of the framework's language count."""
-    tests = []
-    for k, f in enumerate(frameworks):
-        test = _any_in(F.col("content"), f.indicators)
-        tests.append((k, test & (language_of(F.col("path")) == f.language) if language_filter else test))
-    found = files.where(~is_pruned(F.col("path")) & is_source_file(F.col("path"))).select("repo_id", F.explode(_numbers(tests)).alias("number"))
-    return found.distinct()
+    """(repo_id, number) of frameworks that some source file shows. language_filter: only files of the framework's language count. Null content shows nothing."""
+    words = tuple(tuple(f.indicators) for f in frameworks)
+    languages = [f.language for f in frameworks]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[int, set] = {}
+            for i, (language, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                numbers = words_in(text, words)
+                found[i] = {k for k in numbers if languages[k] == language} if language_filter else numbers
+            pairs = [(i, k) for i, numbers in found.items() for k in sorted(numbers)]
+            repos = batch.column(0).take(pa.array([i for i, _ in pairs], pa.int64()))
+            yield pa.RecordBatch.from_arrays([repos, pa.array([k for _, k in pairs], pa.int32())], names=["repo_id", "number"])
+
+    sources = files.where(~is_pruned(F.col("path")) & is_source_file(F.col("path")) & F.col("content").isNotNull())
+    schema = StructType([files.schema["repo_id"], StructField("number", IntegerType())])
+    return sources.select("repo_id", language_of(F.col("path")).alias("language"), "content").mapInArrow(run, schema).distinct()
 
 
 def manifests(files: DataFrame) -> DataFrame:

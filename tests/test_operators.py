@@ -170,3 +170,39 @@ def test_stream_keeps_the_newest_version(spark, tmp_path):
         spark.createDataFrame(rows, incremental.VERSIONS).write.mode("append").parquet(source)
         incremental.follow(incremental.read_versions(spark, source), table, checkpoint).awaitTermination(120)
     assert [(r["path"], r["lines_of_code"], r["comment_lines"]) for r in incremental.current(spark, table).collect()] == [("a.go", 2, 1)]
+
+
+def test_indicators_in_one_pass():
+    """Overlapping words, words within words, empty words; and thousands of words cost about what thirty do."""
+    import random
+    import time
+
+    from lodestack.operators.frameworks import words_in
+
+    words = (("use", "useState"), ("State(",), ("",), ("eSt", "zzz"), (), ("State", "useState("), ("é漢",))
+    for text in ("", "const x = useState(1)", "us eState", "é漢", "useuseState"):
+        assert words_in(text, words) == {k for k, some in enumerate(words) if any(w in text for w in some)}
+    rng = random.Random(2)
+    many = tuple((f"{rng.getrandbits(60):x}", f"{rng.getrandbits(60):x}") for _ in range(2500))
+    text = " ".join(f"{rng.getrandbits(60):x}" for _ in range(50_000)) + many[77][0]
+    assert words_in(text, many) == {77} and words_in(text, many[:15]) == set()
+
+    def seconds(some):
+        began = time.perf_counter()
+        for _ in range(5):
+            words_in(text, some)
+        return time.perf_counter() - began
+
+    assert min(seconds(many) for _ in range(3)) < 5 * min(seconds(many[:15]) for _ in range(3))
+
+
+def test_own_registries(spark):
+    from lodestack.functions.registry import Framework
+    from lodestack.operators import frameworks
+
+    own = [Framework("Own", "Backend", "Go", ("ownword",), ("own",)), Framework("Other", "UI", "Python", ("word",), ("other",)), Framework("None", "UI", "Go", (), ("none",))]
+    files = spark.createDataFrame([("r", "a.go", "my ownword"), ("r", "vendor/b.go", "word"), (None, "c.py", "a word"), ("s", "d.txt", "word"), ("t", "e.go", None)], "repo_id string, path string, content string")
+    rows = lambda **more: sorted(map(repr, map(tuple, frameworks.content_hits(files, own, **more).collect())))
+    assert rows() == sorted(map(repr, [("r", 0), ("r", 1), (None, 1)]))
+    assert rows(language_filter=True) == sorted(map(repr, [("r", 0), (None, 1)]))
+    assert frameworks.content_hits(files, []).count() == 0
