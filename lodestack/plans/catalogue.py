@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestack.functions import registry
 from lodestack.functions.scalar import commit_fields, row_id, severity_icon
 from lodestack.operators import duplication, embed, frameworks, languages, lines, metrics, review, rules, similarity
-from lodestack.plans import catalogue_code, catalogue_sources
+from lodestack.plans import catalogue_changes, catalogue_code, catalogue_sources
 from lodestack.plans.views import manifests, seeded_files, table, virtual_files, virtual_functions
 
 # -- vectors ------------------------------------------------------------------
@@ -233,7 +233,7 @@ def queries() -> dict:
         "framework_hits": framework_hits, "framework_new_hits": framework_new_hits, "manifest_frameworks": manifest_frameworks, "node_deps_match": node_deps_match,
         "frameworks_by_type": frameworks_by_type, "arch_patterns": arch_patterns,
         "commit_parse": commit_parse, "latest_commit": latest_commit, "diff_stats": diff_stats, "diff_status_default": diff_status_default, "severity_icons": severity_icons, "event_props_json": event_props_json,
-    } | catalogue_sources.queries() | catalogue_code.queries()
+    } | catalogue_sources.queries() | catalogue_code.queries() | catalogue_changes.queries()
 
 
 # -- the same in DuckDB -------------------------------------------------------
@@ -348,4 +348,4 @@ def oracle_sql() -> dict[str, str]:
         "diff_status_default": f"WITH {_NUMSTAT}, s AS (SELECT commit, path, min(l_linestatus) AS status FROM numstat WHERE l_returnflag = 'A' GROUP BY ALL) SELECT n.commit, n.path, min(coalesce(s.status, 'M')) AS status, sum(additions)::BIGINT AS additions, sum(deletions)::BIGINT AS deletions FROM numstat n LEFT JOIN s ON s.commit = n.commit AND s.path = n.path GROUP BY ALL",
         "severity_icons": "SELECT CASE l_returnflag WHEN 'A' THEN '⚠️' WHEN 'N' THEN '❌' ELSE 'ℹ️' END AS icon, count(*) AS n FROM lineitem GROUP BY 1",
         "event_props_json": "SELECT json_extract_string(props, '$.k')::BIGINT AS k, count(*) AS n FROM events GROUP BY 1",
-    } | catalogue_sources.oracle_sql() | catalogue_code.oracle_sql()
+    } | catalogue_sources.oracle_sql() | catalogue_code.oracle_sql() | catalogue_changes.oracle_sql()
