@@ -48,7 +48,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from lodestack.llm.components import connected_components
 from lodestack.llm.simhash import _BYTE_BITS, _LANE, covering_masks
-from lodestack.llm.sketch import reached, repeated_cells
+from lodestack.llm.sketch import reached, reached_narrow, repeated_cells
 from lodestack.llm.storage import written
 from lodestack.llm.textblock import as_bytes, blocks, mix, random_words, released, run_hashes, span_hashes, words
 
@@ -60,6 +60,8 @@ THRESHOLD = 0.8
 COMPARE = 256
 #: Documents of one shingle from which it counts as common, and comes last in the order of prefixes.
 COMMON = 16
+#: Bits of the width of the sketch of buckets that several components share.
+BUCKET_BITS = 24
 #: Words of 64 parities of a set of shingles.
 PARITIES = 8
 #: Texts whose bits are counted at once.
@@ -333,7 +335,7 @@ def _prefixes(texts: DataFrame, sketch: Broadcast, threshold: float, wanted: Bro
                 owner, place, bucket = (np.concatenate(x) for x in ((owner, none), (place, np.zeros(len(none), np.int64)), (bucket, np.zeros(len(none), np.int64))))
                 columns = [bucket, batch.column(2).to_numpy()[owner]]
                 if wanted is not None:
-                    kept = reached(bucket.view(np.uint64), wanted.value)
+                    kept = reached_narrow(bucket.view(np.uint64), wanted.value)
                     owner = owner[kept]
                     columns = [c[kept] for c in columns] + [batch.column(0).to_numpy()[owner], np.diff(at)[owner], place[kept], *parity_bits(shingles, at)[owner].view(np.int64).T]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c, np.int64)) for c in columns], names=names)
@@ -342,13 +344,13 @@ def _prefixes(texts: DataFrame, sketch: Broadcast, threshold: float, wanted: Bro
 
 
 def _prefix_pairs(texts: DataFrame, sketch: Broadcast, threshold: float, closest: bool) -> DataFrame:
-    """texts(node, shingles, component) -> distinct (u, v) of different components: all that can be similar, or, with `closest`, the likeliest."""
+    """texts(node, shingles, component) -> distinct (u, v) of different components, stored: all that can be similar, or, with `closest`, the likeliest."""
 
     def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield batch.column(0).to_numpy().view(np.uint64)
 
     # a bucket of one component has nothing to compare, and most are
-    several, _ = repeated_cells(_prefixes(texts, sketch, threshold).distinct().select("bucket"), keys)
+    several, _ = repeated_cells(_prefixes(texts, sketch, threshold).distinct().select("bucket"), keys, width_bits=BUCKET_BITS)
     shared = texts.sparkSession.sparkContext.broadcast(several)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,7 +372,9 @@ def _prefix_pairs(texts: DataFrame, sketch: Broadcast, threshold: float, closest
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (u, v)], names=["u", "v"])
 
     rows = _prefixes(texts, sketch, threshold, shared)
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "component").mapInArrow(released(run), "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    pairs, _ = written(rows.repartition("bucket").sortWithinPartitions("bucket", "component").mapInArrow(released(run), "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
+    shared.destroy()
+    return pairs
 
 
 def groups(docs: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD) -> DataFrame:
@@ -392,12 +396,12 @@ def groups(docs: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD)
     for closest in (True, False):
         comps, _ = written(connected_components(links), "components")
         texts = sets.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pairs, _ = written(_prefix_pairs(texts, sketch, threshold, closest), "pairs")
+        pairs = _prefix_pairs(texts, sketch, threshold, closest)
         more = comps.select(F.col("node").alias("u"), F.col("component").alias("v")).where("u <> v")
         links, _ = written(more.unionAll(_similar(pairs, sets, threshold)), "links")
+    sketch.destroy()
     comps, _ = written(connected_components(links), "components")
     labelled = nodes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("first").alias("least"))
     by_text, _ = written(labelled.join(least, "component").select(*both, F.col("least.doc_id").alias("group_id"), F.col("least.text_key").alias("group_key")), "groups")
-    sketch.destroy()
     return profiles.select("doc_id", "text_key", *both).join(by_text, both).select("doc_id", "text_key", "group_id", "group_key")

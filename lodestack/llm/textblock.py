@@ -18,7 +18,8 @@ _MASK = (1 << 64) - 1
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
-def _release() -> None:
+def release() -> None:
+    """Give freed memory back to the machine."""
     pa.default_memory_pool().release_unused()
     if _TRIM:
         _TRIM(0)
@@ -30,7 +31,7 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     @wraps(run)  # plans show its name
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        _release()
+        release()
 
     return task
 
