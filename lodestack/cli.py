@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestack import config as settings
 from lodestack import report, store
-from lodestack.operators import embed, goparse, languages, review, rules
+from lodestack.operators import clones, embed, goparse, hunks, languages, review, rules, similarity, unused
 from lodestack.plans.analysis import analyse
 from lodestack.sources import files as file_source
 from lodestack.sources import git
@@ -27,12 +27,15 @@ def _spark() -> SparkSession:
 
 
 def _provider(config: settings.Config) -> embed.Provider:
-    local, chain = embed.LocalHttpProvider(), []
-    if local.is_available():
-        chain.append(local)
-    if key := config.embeddings.api_key or config.llm.api_key:
-        chain.append(embed.CloudHttpProvider(key))
-    return embed.Chain([*chain, embed.HashingProvider()])
+    """The provider that the settings name, with their model; where it doesn't answer the other one with its own, and hashes where none does."""
+    wanted, key = config.embeddings, config.embeddings.api_key or config.llm.api_key
+    if wanted.provider == "hashing":
+        return embed.HashingProvider()
+    here = wanted.provider == "local"
+    model = {"model": wanted.model} if wanted.model else {}
+    local = embed.LocalHttpProvider(**(model if here else {}), **({"base_url": config.llm.base_url} if config.llm.provider == "local" and config.llm.base_url else {}))
+    cloud = [embed.CloudHttpProvider(key, **({} if here else model))] if key else []
+    return embed.first_working([*([local, *cloud] if here else [*cloud, local]), embed.HashingProvider()])
 
 
 def _files(spark: SparkSession, root: str) -> DataFrame:
@@ -49,7 +52,12 @@ def build(spark: SparkSession, root: str, config: settings.Config, force: bool =
     if store.exists(spark, folder) and not (force or incremental):
         return {n: store.load(spark, folder, n) for n in store.TABLES}
     provider = _provider(config)
-    tables = analyse(_files(spark, root), config)
+    files = _files(spark, root)
+    tables = analyse(files, config)
+    go = languages.source_files(files).where("language = 'Go'")
+    symbols = unused.symbol_table(go)
+    tables["duplications"] = clones.duplication_issues(clones.clone_pairs(go))
+    tables["unused"] = unused.unused_issues(unused.unused_functions(symbols), unused.unused_imports(symbols))
     described = embed.describe(tables["functions"])
     if incremental and store.exists(spark, folder):
         tables["embeddings"] = embed.refreshed(described, store.load(spark, folder, "embeddings"), provider)
@@ -59,22 +67,33 @@ def build(spark: SparkSession, root: str, config: settings.Config, force: bool =
     return {n: store.load(spark, folder, n) for n in store.TABLES}
 
 
+def _duplicates(spark: SparkSession, root: str, config: settings.Config, functions: DataFrame) -> DataFrame | None:
+    """Functions of the stored context that some functions are near to, by the settings' threshold; None without a context."""
+    if not store.exists(spark, _folder(root)):
+        return None
+    asked = embed.embed(embed.describe(functions), _provider(config))
+    return similarity.duplicates_of(store.load(spark, _folder(root), "embeddings"), asked, config.analysis.similarity_threshold)
+
+
 def review_commit(spark: SparkSession, root: str, config: settings.Config, revision: str = "HEAD") -> dict:
-    """Issues in the changed files as they are in the commit."""
+    """Issues of the functions that the commit touches, as they are in it, and what they duplicate."""
     read = spark.read.format("git").option("path", root).option("range", revision).option("latest", "true")
     content = read.option("table", "content").load().select(F.lit("").alias("repo_id"), "path", "content")
     parsed = goparse.parse_go(languages.source_files(content).where("language = 'Go'"))
-    found = rules.issues(goparse.functions_of(parsed), config.analysis.complexity_threshold, config.analysis.max_function_length)
-    return report.changes(read.option("table", "commits").load(), read.option("table", "diff_files").load(), found)
+    diff = read.option("table", "diff_files").load()
+    functions = hunks.touched_functions(goparse.functions_of(parsed), diff).drop("commit").distinct()
+    found = rules.issues(functions, config.analysis.complexity_threshold, config.analysis.max_function_length)
+    return report.changes(read.option("table", "commits").load(), diff, found, _duplicates(spark, root, config, functions))
 
 
 def review_range(spark: SparkSession, root: str, selection: str, config: settings.Config) -> dict:
     """Changes of a range, and issues in the changed files as they are in the working tree."""
     diff = spark.read.format("git").option("path", root).option("table", "range_diff").option("range", selection).load()
     changed = review.changed_files(languages.source_files(_files(spark, root)), diff)
-    found = rules.issues(goparse.functions_of(goparse.parse_go(changed.where("language = 'Go'"))), config.analysis.complexity_threshold, config.analysis.max_function_length)
+    functions = goparse.functions_of(goparse.parse_go(changed.where("language = 'Go'")))
+    found = rules.issues(functions, config.analysis.complexity_threshold, config.analysis.max_function_length)
     none = spark.createDataFrame([], "short_hash string, author string, email string, date timestamp, message string")
-    return report.changes(none, diff, found)
+    return report.changes(none, diff, found, _duplicates(spark, root, config, functions))
 
 
 def review_file(spark: SparkSession, root: str, path: str, config: settings.Config) -> dict:
@@ -83,7 +102,7 @@ def review_file(spark: SparkSession, root: str, path: str, config: settings.Conf
     found = rules.issues(functions, config.analysis.complexity_threshold, config.analysis.max_function_length).unionByName(rules.naming_issues(functions))
     none = spark.createDataFrame([], "short_hash string, author string, email string, date timestamp, message string")
     diff = spark.createDataFrame([], "status string, path string, additions int, deletions int")
-    return report.changes(none, diff, found)
+    return report.changes(none, diff, found, _duplicates(spark, root, config, functions))
 
 
 def doctor(root: str, config_path: str) -> list[tuple[str, str]]:
@@ -94,9 +113,14 @@ def doctor(root: str, config_path: str) -> list[tuple[str, str]]:
         place = "not in a repository"
     path = config_path or settings.DEFAULT_PATH
     config = settings.load(path)
+    try:
+        config.validate()
+        valid = "valid"
+    except ValueError as e:
+        valid = f"not valid: {e}"
     return [
         ("Git", git.git_version() if installed else "not found"), ("Repository", place), ("Configuration", "found" if os.path.exists(path) else "not found (optional)"),
-        ("API key", f"configured ({config.llm.provider})" if config.llm.api_key else "not configured"), ("Embedding model", config.embeddings.model or "not configured"),
+        ("API key", f"configured ({config.llm.provider})" if config.llm.api_key else "not configured"), ("Embedding model", config.embeddings.model or "not configured"), ("Settings", valid),
     ]
 
 

@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructType
 
 from lodestack.functions.scalar import embedding_text, language_of, row_id
 
@@ -108,6 +109,19 @@ class Chain:
         raise ValueError("; ".join(errors) or "no provider")
 
 
+def first_working(providers: list[Provider], probe: str = "probe") -> Provider:
+    """The first provider that makes a vector, asked once here: all tasks use the same one, whatever is partitioned or tried again how."""
+    errors = []
+    for p in providers:
+        try:
+            if len(p.embed(probe)):
+                return p
+            errors.append(f"{p.name}: empty embedding")
+        except (OSError, ValueError, KeyError) as e:
+            errors.append(f"{p.name}: {e}")
+    raise ValueError("; ".join(errors) or "no provider")
+
+
 def describe(functions: DataFrame) -> DataFrame:
     """functions -> id, place, language and `code`, the text that is embedded."""
     language = language_of(F.col("file_path"))
@@ -129,8 +143,8 @@ def embed(described: DataFrame, provider: Provider) -> DataFrame:
                     rows.append((None, provider.name, 0, str(e)))
             yield pdf.assign(**{c: [r[k] for r in rows] for k, c in enumerate(("embedding", "provider", "dim", "error"))})
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in described.schema.fields)
-    return described.mapInPandas(run, f"{fields}, embedding array<float>, provider string, dim int, error string")
+    added = StructType().add("embedding", ArrayType(FloatType())).add("provider", "string").add("dim", "integer").add("error", "string")
+    return described.mapInPandas(run, StructType([*described.schema.fields, *added.fields]))
 
 
 def refreshed(described: DataFrame, index: DataFrame, provider: Provider) -> DataFrame:

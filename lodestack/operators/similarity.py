@@ -159,6 +159,40 @@ def detect_duplicates(index: DataFrame, provider, text: str, file_path: str, fun
     return without_self(find_duplicates(same, literal(vector), "", threshold), file_path, func_name)
 
 
+def duplicates_of(index: DataFrame, queries: DataFrame, threshold: float = DUPLICATE_THRESHOLD, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """Both (file_path, func_name, start_line, provider, dim, embedding) -> (file_path, func_name, start_line, other_path, other_name, other_line, similarity, level):
+    rows of the index at or above the threshold to each query of the same provider and length, but for the function itself."""
+    least = np.float32(threshold or DUPLICATE_THRESHOLD)
+    place = ["file_path", "func_name", "start_line"]
+    columns = [*place, "provider", "dim", "embedding"]
+    index = index.where("embedding is not null").select(*columns)
+    schema = "file_path string, func_name string, start_line int, other_path string, other_name string, other_line int, similarity float"
+
+    def part(rows: list) -> DataFrame:
+        shared = index.sparkSession.sparkContext.broadcast(rows)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                out = []
+                for (provider, dim), mine in pdf.groupby(["provider", "dim"]):
+                    asked = [r for r in shared.value if (r[3], r[4]) == (provider, dim)]
+                    i, j = np.nonzero((sims := _cosines([r[5] for r in asked], list(mine.embedding))) >= least)
+                    places = mine[place].to_numpy().tolist()
+                    out += [(*asked[a][:3], *places[b], sims[a, b]) for a, b in zip(i.tolist(), j.tolist(), strict=True) if tuple(asked[a][:2]) != tuple(places[b][:2])]
+                yield pd.DataFrame(out, columns=[*place, "other_path", "other_name", "other_line", "similarity"])
+
+        return index.mapInPandas(run, schema)
+
+    found, held = None, []
+    for r in queries.where("embedding is not null").select(*columns).toLocalIterator():
+        held.append(tuple(r))
+        if len(held) == query_block:
+            found, held = part(held) if found is None else found.unionAll(part(held)), []
+    if held or found is None:
+        found = part(held) if found is None else found.unionAll(part(held))
+    return found.withColumn("level", similarity_level(F.col("similarity")))
+
+
 def without_self(matches: DataFrame, file_path: str, func_name: str) -> DataFrame:
     """Drop the function itself: the rows with both its file and its name."""
     return matches.where(~((F.col("file_path") == file_path) & (F.col("func_name") == func_name)))

@@ -23,17 +23,19 @@ def summary(tables: dict[str, DataFrame]) -> dict:
         "languages": rows(tables["languages"].orderBy(F.desc("n_files"), "language")), "frameworks": [r for r in rows(types) if r["type"] in TYPE_ORDER],
         "patterns": [r["pattern"] for r in tables["patterns"].orderBy("repo_id", "ordinal").collect()], "files": [r["path"] for r in tables["important_files"].orderBy("path").collect()],
         "totals": rows(tables["totals"]), "issues": rows(metrics.issue_summary(tables["issues"]).orderBy("repo_id", "by", "value")),
+        "duplications": rows(tables["duplications"].groupBy("repo_id").agg(F.count("*").alias("n"))), "unused": rows(tables["unused"].groupBy("repo_id").agg(F.count("*").alias("n"))),
         "most_complex": rows(metrics.top_by_complexity(tables["functions"], SHOWN).select("file_path", "name", "complexity", "loc")),
     }
 
 
-def changes(commit: DataFrame, diff_files: DataFrame, issues: DataFrame) -> dict:
+def changes(commit: DataFrame, diff_files: DataFrame, issues: DataFrame, duplicates: DataFrame | None = None) -> dict:
     rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
     when = F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date")
     return {
         "commit": rows(commit.select("short_hash", "author", "email", when, "message")),
         "changes": rows(diff_files.select(shown_status(F.col("status")).alias("status"), "path", "additions", "deletions").orderBy("path")),
         "issues": rows(issues.select("file_path", "line", severity_icon(F.col("severity")).alias("icon"), "severity", "message", "suggestion").orderBy("file_path", "line", "message")),
+        **({} if duplicates is None else {"duplicates": rows(duplicates.select(*[c for c in duplicates.columns if c != "similarity"], F.round(F.col("similarity").cast("double"), 3).alias("similarity")).orderBy("file_path", "start_line", F.desc("similarity"), "other_path", "other_line"))}),
     }
 
 

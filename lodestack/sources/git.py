@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import datetime
 import os
+import re
 import subprocess
 from collections.abc import Iterator
 
@@ -23,6 +24,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from lodestack.schemas import COMMITS, CONTENT, DIFF_FILES
 
 COMMITS_PER_PARTITION = 200
+# git's escapes in quoted paths.
+_ESCAPES = {b"a": b"\a", b"b": b"\b", b"f": b"\f", b"n": b"\n", b"r": b"\r", b"t": b"\t", b"v": b"\v"}
 _FORMAT = "%H%x00%an%x00%ae%x00%at%x00%P%x00%s%x01"
 
 
@@ -88,7 +91,7 @@ def _entries(numstat: str) -> Iterator[tuple[str, str, int, int]]:
     """(path, old path, additions, deletions) of NUL-separated numstat output; a dash counts 0."""
     fields = iter(numstat.split("\0"))
     for field in fields:
-        parts = field.lstrip("\n").split("\t")
+        parts = field.lstrip("\n").split("\t", 2)
         if len(parts) == 3:
             added, deleted, path = parts
             old = ""
@@ -97,27 +100,59 @@ def _entries(numstat: str) -> Iterator[tuple[str, str, int, int]]:
             yield path, old, int(added) if added.isdigit() else 0, int(deleted) if deleted.isdigit() else 0
 
 
-def _statuses(name_status: str) -> list[str]:
-    out, fields = [], iter(name_status.split("\0"))
+def _statuses(name_status: str) -> dict[str, str]:
+    """Status by path; of renames and copies by the new one."""
+    out, fields = {}, iter(name_status.split("\0"))
     for status in fields:
         if status := status.strip("\n"):
-            out.append(status[0])
             for _ in range(2 if status[0] in "RC" else 1):
-                next(fields)
+                path = next(fields)
+            out[path] = status[0]
     return out
 
 
-def _patches(text: str) -> list[str]:
-    parts = ("\n" + text).split("\ndiff --git ")[1:]
-    return [f"diff --git {p}" + ("" if p.endswith("\n") else "\n") for p in parts]
+def _unquoted(path: str) -> str:
+    """A path as git prints it: in quotes with escapes if it has odd characters, and with a tab behind it if it has blanks."""
+    path = path.removesuffix("\t")
+    if not (path.startswith('"') and path.endswith('"') and len(path) > 1):
+        return path
+    raw = re.sub(rb"\\([0-7]{3}|.)", lambda m: bytes([int(m[1], 8)]) if len(m[1]) == 3 else _ESCAPES.get(m[1], m[1]), path[1:-1].encode())
+    return raw.decode("utf-8", "replace")
+
+
+def patch_path(patch: str) -> str:
+    """The path that one file's patch leads to: its new path, or the old one of a deleted file."""
+    old = ""
+    for line in patch.split("\n")[1:]:
+        if line.startswith(("rename to ", "copy to ")):
+            return _unquoted(line.split(" to ", 1)[1])
+        if line.startswith("--- "):
+            old = line[4:]
+        elif line.startswith("+++ "):
+            return _unquoted(old if line.startswith("+++ /dev/null") else line[4:])[2:]
+        elif line.startswith("@@"):
+            break
+    # neither lines nor names: both sides of the header are the same
+    both = patch.split("\n", 1)[0].removeprefix("diff --git ")
+    return _unquoted(both[: (len(both) - 1) // 2])[2:]
+
+
+def _patches(text: str) -> dict[str, str]:
+    """Patch by path; a file whose type changes has two, end to end."""
+    out: dict[str, str] = {}
+    for p in ("\n" + text).split("\ndiff --git ")[1:]:
+        patch = f"diff --git {p}" + ("" if p.endswith("\n") else "\n")
+        path = patch_path(patch)
+        out[path] = out.get(path, "") + patch
+    return out
 
 
 def _diff(root: str, name: str, *command: str) -> Iterator[tuple]:
     entries = list(_entries(git(root, *command, "-z", "--numstat", "-M")))
     statuses = _statuses(git(root, *command, "-z", "--name-status", "-M"))
     patches = _patches(git(root, *command, "-p", "-M"))
-    for k, (path, old, added, deleted) in enumerate(entries):
-        yield name, path, old, statuses[k] if k < len(statuses) else "M", added, deleted, patches[k] if k < len(patches) else ""
+    for path, old, added, deleted in entries:
+        yield name, path, old, statuses.get(path, "M"), added, deleted, patches.get(path, "")
 
 
 def commit_diff(root: str, commit: str) -> Iterator[tuple]:

@@ -2,34 +2,61 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.schemas import EMBEDDINGS
 
-TABLES = ["languages", "frameworks", "patterns", "important_files", "file_metrics", "functions", "structs", "imports", "issues", "totals", "embeddings"]
+TABLES = ["languages", "frameworks", "patterns", "important_files", "file_metrics", "functions", "structs", "imports", "issues", "totals", "duplications", "unused", "embeddings"]
+
+
+#: Names the version that counts.
+POINTER = "CURRENT"
+
+
+def _place(spark: SparkSession, path: str):
+    """(path, its file system) of the JVM."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _current(spark: SparkSession, folder: str) -> str | None:
+    p, files = _place(spark, f"{folder}/{POINTER}")
+    if not files.exists(p):
+        return None
+    return spark.read.text(p.toString()).first()[0]
 
 
 def save(tables: dict[str, DataFrame], folder: str) -> None:
-    """All tables are written beside the old ones first, which they may be made from, and then take their places."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}-new")
+    """All tables are written as a new version, and then one file is switched to it: a reader sees the old version or the new one, whole, and a crash leaves one
+    of them. The version before stays, as what is read from it may still be in use; older ones go."""
+    spark = next(iter(tables.values())).sparkSession
+    before, version = _current(spark, folder), f"v-{uuid.uuid4().hex}"
     for name, df in tables.items():
-        context = df.sparkSession.sparkContext
-        old, new = (context._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}") for n in (name, f"{name}-new"))
-        files = old.getFileSystem(context._jsc.hadoopConfiguration())
-        files.delete(old, True)
-        if not files.rename(new, old):
-            raise OSError(f"{new.toString()} cannot take its place")
+        df.write.parquet(f"{folder}/{version}/{name}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    (new, files), (pointer, _) = _place(spark, f"{folder}/{POINTER}-{version}"), _place(spark, f"{folder}/{POINTER}")
+    out = files.create(new, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), conf).rename(files.makeQualified(new), files.makeQualified(pointer), how)
+    for entry in files.listStatus(pointer.getParent()):
+        name = entry.getPath().getName()
+        if entry.isDirectory() and name not in (version, before):
+            files.delete(entry.getPath(), True)
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}")
+    return spark.read.parquet(f"{folder}/{_current(spark, folder)}/{name}")
 
 
 def exists(spark: SparkSession, folder: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/languages")
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return _current(spark, folder) is not None
 
 
 def clear(spark: SparkSession, folder: str) -> bool:

@@ -114,3 +114,105 @@ def test_config(tmp_path, monkeypatch):
     c.validate()
     monkeypatch.setenv("OPENAI_API_KEY", "env")
     assert config.load(str(tmp_path / "missing.yaml")).llm.api_key == "env"
+
+
+def test_patches_go_by_path(tmp_path, source):
+    """Odd names, a deletion, a rename, a change of mode and one of type: each file has its own patch and status."""
+    root = tmp_path / "odd"
+    root.mkdir()
+
+    def run(*args):
+        subprocess.run(["git", "-c", "user.name=A", "-c", "user.email=a@b", "-C", str(root), *args], check=True, capture_output=True)
+
+    run("init", "-b", "main")
+    names = ["a b/c b/d.go", "tab\there.go", 'quo"te.go', "é.go", "gone.go", "mode.sh", "empty.txt", "kind.go", "old name.go"]
+    for n in names:
+        (root / n).parent.mkdir(parents=True, exist_ok=True)
+        (root / n).write_text("" if n == "empty.txt" else f"package p\n// {n}\n" + "// filler\n" * 10)
+    run("add", ".")
+    run("commit", "-m", "one")
+    for n in names[:4]:
+        (root / n).write_text("package q\n")
+    (root / "gone.go").unlink()
+    (root / "mode.sh").chmod(0o755)
+    (root / "kind.go").unlink()
+    (root / "kind.go").symlink_to("mode.sh")
+    run("mv", "old name.go", "new name.go")
+    (root / "bin é.dat").write_bytes(bytes(range(256)))
+    run("add", "-A")
+    run("commit", "-m", "two")
+    rows = {r["path"]: r for r in source(str(root), table="diff_files", latest="true").collect()}
+    assert {p: r["status"] for p, r in rows.items()} == dict.fromkeys(names[:4], "M") | {"gone.go": "D", "mode.sh": "M", "kind.go": "T", "new name.go": "R", "bin é.dat": "A"}
+    assert all("+package q" in rows[n]["patch"] and rows[n]["patch"].count("diff --git") == 1 for n in names[:4])
+    assert "-// gone.go" in rows["gone.go"]["patch"] and "new mode" in rows["mode.sh"]["patch"] and rows["kind.go"]["patch"].count("diff --git") == 2
+    assert "rename to" in rows["new name.go"]["patch"] and "Binary" in rows["bin é.dat"]["patch"]
+    assert {git.patch_path(r["patch"]) for r in rows.values()} == set(rows)
+
+
+def test_store_switches_versions(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    one = {n: spark.createDataFrame([(1,)], "x int") for n in ("a", "b")}
+    assert not store.exists(spark, folder)
+    store.save(one, folder)
+    before = store.load(spark, folder, "a")
+    store.save({"a": store.load(spark, folder, "a").selectExpr("x + 1 AS x"), "b": one["b"]}, folder)
+    assert store.load(spark, folder, "a").first()[0] == 2 and before.first()[0] == 1
+    broken = {"a": spark.createDataFrame([(9,)], "x int"), "b": spark.createDataFrame([(9,)], "x int").selectExpr("raise_error('no') AS x")}
+    with pytest.raises(Exception, match="no"):
+        store.save(broken, folder)
+    assert store.load(spark, folder, "a").first()[0] == 2 and store.load(spark, folder, "b").first()[0] == 1
+    store.save(one, folder)
+    assert len([p for p in (tmp_path / "store").iterdir() if p.is_dir()]) == 2
+    assert store.clear(spark, folder) and not store.exists(spark, folder)
+
+
+def test_review_lists_touched_functions_and_duplicates(spark, tmp_path, capsys):
+    root = tmp_path / "rev"
+    root.mkdir()
+
+    def run(*args):
+        subprocess.run(["git", "-c", "user.name=A", "-c", "user.email=a@b", "-C", str(root), *args], check=True, capture_output=True)
+
+    run("init", "-b", "main")
+    other = LONG.split("\n", 2)[2].replace("Big", "Other")
+    (root / "a.go").write_text(LONG + other)
+    run("add", ".")
+    run("commit", "-m", "one")
+    (root / "a.go").write_text(LONG + other.replace("return a", "return a + 1"))
+    run("commit", "-am", "two")
+    settings = tmp_path / "c.yaml"
+    settings.write_text("embeddings:\n  provider: hashing\nanalysis:\n  similarity_threshold: 0.5\n")
+    assert cli.main(["--root", str(root), "-c", str(settings), "context", "build", "-f"]) == 0
+    capsys.readouterr()
+    assert cli.main(["--root", str(root), "-c", str(settings), "review", "-o", "json", "latest"]) == 0
+    data = json.loads(capsys.readouterr().out)
+    assert {i["message"].split("'")[1] for i in data["issues"]} == {"Other"}
+    assert [(d["func_name"], d["other_name"]) for d in data["duplicates"]] == [("Other", "Big")] and data["duplicates"][0]["similarity"] >= 0.5
+    settings.write_text("embeddings:\n  provider: hashing\nanalysis:\n  similarity_threshold: 1.0\n")
+    assert cli.main(["--root", str(root), "-c", str(settings), "review", "-o", "json", "latest"]) == 0
+    assert json.loads(capsys.readouterr().out)["duplicates"] == []
+    tables = {n: store.load(spark, cli._folder(str(root)), n) for n in ("duplications", "unused")}
+    assert tables["duplications"].where("message like '%repeat%'").count() > 0 and tables["unused"].count() == 0
+
+
+def test_provider_follows_the_settings(monkeypatch):
+    from lodestack.operators import embed
+
+    asked = []
+
+    def post(url, body, headers=None):
+        asked.append((url, body["model"]))
+        if "11434" in url:
+            raise OSError("no connection")
+        return {"data": [{"embedding": [1.0, 2.0]}]}
+
+    monkeypatch.setattr(embed, "_post", post)
+    c = config.Config()
+    c.embeddings.model, c.embeddings.api_key = "mine", "k"
+    assert cli._provider(c).name == "cloud:text-embedding-3-small" and asked[0] == ("http://localhost:11434/api/embeddings", "mine")
+    c.embeddings.provider = "openai"
+    assert cli._provider(c).name == "cloud:mine"
+    c.embeddings.api_key = ""
+    assert isinstance(cli._provider(c), embed.HashingProvider)
+    c.embeddings.provider = "hashing"
+    assert isinstance(cli._provider(c), embed.HashingProvider)
