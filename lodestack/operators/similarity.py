@@ -1,8 +1,9 @@
 """Exact similarity search and duplicates over float vectors.
 
 Searches multiply each Arrow batch of the index with a block of queries and keep
-k per batch, so an index of any size streams by once a block. All-pairs work goes
-block by block: each vector belongs to one of B blocks and meets the others in
+k per batch, so an index of any size streams by once a block. Pairs at a threshold meet in
+cells around pivots, to which a vector goes only if a partner can be there; what is asked of
+all pairs goes block by block: each vector belongs to one of B blocks and meets the others in
 B groups of bounded size. Equal vectors collapse to the one with the least id
 first. Dot products and norms are summed in double precision and narrowed to
 float; vectors of other lengths and zero vectors have similarity 0.
@@ -20,9 +21,18 @@ from pyspark.sql import functions as F
 
 from lodestack.functions.registry import DUPLICATE_THRESHOLD
 from lodestack.functions.scalar import cosine, similarity_level
+from lodestack.shared import stored
 
 QUERY_BLOCK = 2000
 PAIR_BLOCK = 2048
+#: Pivots that cells are made of, at most; as many vectors are broadcast.
+MOST_PIVOTS = 2048
+#: Vectors that a pivot is picked from.
+SAMPLE = 8
+#: Vectors whose distances to all pivots are held at once.
+_ROWS = 2048
+#: Distances are not exact.
+_SLACK = 1e-6
 
 
 def _cosines(a: list, b: list) -> np.ndarray:
@@ -110,16 +120,112 @@ def _block_pairs(vectors: DataFrame, run, schema: str, block: int) -> DataFrame:
     return dealt.groupBy("p", "q").applyInPandas(each, schema)
 
 
+def _unit(vectors: list) -> np.ndarray:
+    v = np.stack([np.asarray(x, np.float64) for x in vectors])
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+
+
+def cells_of(unit: np.ndarray, pivots: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vector, cell, is_home): each unit vector in the cell of its nearest pivot, and as a guest in each cell before that in which a vector within `reach` can be.
+
+    A vector of another cell is on the far side of the plane between the two pivots, so it is no nearer than the plane."""
+    near = np.maximum(2 - 2 * unit @ pivots.T, 0)  # squared distances
+    home = near.argmin(axis=1)
+    apart = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))[home]
+    guest = near - near[np.arange(len(unit)), home][:, None] <= 2 * reach * apart + _SLACK
+    guest &= np.arange(len(pivots)) < home[:, None]
+    i, cell = np.nonzero(guest)
+    everyone = np.arange(len(unit))
+    return np.concatenate([everyone, i]), np.concatenate([home, cell]), np.concatenate([np.ones(len(unit), bool), np.zeros(len(i), bool)])
+
+
+def far_apart(unit: np.ndarray, n: int) -> np.ndarray:
+    """n of some unit vectors (or all), each the farthest from those before it, so that each cluster has one."""
+    chosen = [0]
+    near = 2 - 2 * unit @ unit[0]
+    while len(chosen) < min(n, len(unit)):
+        chosen.append(int(near.argmax()))
+        near = np.minimum(near, 2 - 2 * unit @ unit[chosen[-1]])
+    return unit[chosen]
+
+
+def dealt(vectors: DataFrame, threshold: float, block: int = PAIR_BLOCK, most_pivots: int = MOST_PIVOTS) -> DataFrame:
+    """vectors(id, embedding) -> (size, cell, is_home, id, embedding), stored: any two of similarity `threshold` (above 0) or more meet in the home cell of one of them.
+
+    Pivots are far apart among vectors picked by a hash of the id (SAMPLE for each pivot): one for each half block of vectors and no more than most_pivots; each
+    length of vectors has cells of its own."""
+    n_pivots = min(most_pivots, 1 + 2 * vectors.count() // block)
+    picked = vectors.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(SAMPLE * n_pivots).collect()
+    pivots: dict[int, list] = {}
+    for r in picked:
+        if np.isfinite(r["embedding"]).all() and np.any(r["embedding"]):
+            pivots.setdefault(len(r["embedding"]), []).append(r["embedding"])
+    shared = vectors.sparkSession.sparkContext.broadcast({size: far_apart(_unit(v), n_pivots) for size, v in pivots.items()})
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lists = batch.column(0), batch.column(1)
+            sizes = lists.value_lengths().to_numpy()
+            for size in np.unique(sizes[sizes > 0]).tolist():
+                mine = np.flatnonzero(sizes == size)
+                v = np.stack([np.asarray(x, np.float64) for x in lists.take(pa.array(mine)).to_pylist()])
+                norms = np.sqrt((v * v).sum(axis=1))
+                good = np.isfinite(norms) & (norms > 0)  # others are similar to nothing
+                mine, unit = mine[good], v[good] / norms[good, None]
+                for at in range(0, len(mine), _ROWS):
+                    some = mine[at : at + _ROWS]
+                    if size in shared.value:
+                        i, cell, home = cells_of(unit[at : at + _ROWS], shared.value[size], reach)
+                    else:
+                        i, cell, home = np.arange(len(some)), np.zeros(len(some), np.int64), np.ones(len(some), bool)
+                    rows = pa.array(some[i])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), size, np.int32)), pa.array(cell.astype(np.int32)), pa.array(home), ids.take(rows), lists.take(rows)], names=["size", "cell", "is_home", "id", "embedding"])
+
+    out = stored(vectors.select("id", "embedding").mapInArrow(run, "size int, cell int, is_home boolean, id long, embedding array<float>"), "dealt")
+    shared.destroy()
+    return out
+
+
+def compared_share(index: DataFrame, threshold: float = DUPLICATE_THRESHOLD, block: int = PAIR_BLOCK) -> float:
+    """Share of all pairs of different vectors that similar_pairs() compares."""
+    vectors = _representatives(index)
+    n = vectors.count()
+    cells = dealt(vectors, threshold or DUPLICATE_THRESHOLD, block).groupBy("size", "cell").agg(F.count_if("is_home").alias("h"), F.count("*").alias("n"))
+    compared = cells.agg(F.sum(F.expr("h * (h - 1) / 2 + h * (n - h)"))).first()[0] or 0
+    return float(compared) / (n * (n - 1) / 2) if n > 1 else 0.0
+
+
 def similar_pairs(index: DataFrame, threshold: float = DUPLICATE_THRESHOLD, block: int = PAIR_BLOCK) -> DataFrame:
-    """(id_a < id_b, similarity) of representatives of different vectors at or above the threshold; classes() has the membership."""
+    """(id_a < id_b, similarity) of representatives of different vectors at or above the threshold; classes() has the membership.
+
+    A vector goes only where a partner can be: to the cell of its nearest pivot, and to those that the plane between the pivots
+    does not rule out. Cells of more than a block are dealt to groups by pairs of blocks. A threshold of 0 or below compares all pairs."""
     least = np.float32(threshold or DUPLICATE_THRESHOLD)
 
-    def run(s: np.ndarray, a: np.ndarray, b: np.ndarray, mine: np.ndarray) -> pd.DataFrame:
+    def found(s: np.ndarray, a: np.ndarray, b: np.ndarray, mine: np.ndarray) -> pd.DataFrame:
         i, j = np.nonzero(mine & (s >= least))
         x, y = a[i, 0], b[0, j]
         return pd.DataFrame({"id_a": np.minimum(x, y), "id_b": np.maximum(x, y), "similarity": s[i, j]})
 
-    return _block_pairs(_representatives(index), run, "id_a long, id_b long, similarity float", block)
+    schema, vectors = "id_a long, id_b long, similarity float", _representatives(index)
+    if least <= 0:
+        return _block_pairs(vectors, found, schema, block)
+    rows = dealt(stored(vectors, "vectors"), float(least), block)
+    # no more rows than there are cells: most_pivots for each length
+    sizes = rows.groupBy("size", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    each = rows.join(sizes, ["size", "cell"]).withColumn("b", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select("size", "cell", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "b", "is_home", "id", "embedding")
+
+    def group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf.b == key[2]], pdf[pdf.b == key[3]]
+        s = _cosines(list(left.embedding), list(right.embedding))
+        a, b = left.id.to_numpy()[:, None], right.id.to_numpy()[None, :]
+        one_home = left.is_home.to_numpy()[:, None] | right.is_home.to_numpy()[None, :]
+        return found(s, a, b, one_home & ((a < b) if key[2] == key[3] else np.ones(s.shape, bool)))
+
+    return each.groupBy("size", "cell", "p", "q").applyInPandas(group, schema)
 
 
 def level_histogram(index: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
