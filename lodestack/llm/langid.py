@@ -9,7 +9,7 @@ the best one on any stretch, the constant path is optimal, as running sums show.
 Defined results: a text that is null, empty or has no letter is `und` with score 0
 and no spans, and so are all texts where nothing could be learned, as from an empty
 table; very long texts are scored whole, in blocks of their own; rows without a lang
-teach nothing, and of more than LANGUAGES values of lang the rarest are not learned;
+teach nothing; all values of lang are learned, whatever their number;
 a null doc_id counts as not held out; repeated rows are scored and taught like any
 others; ties between languages go to the first in alphabetical order; other columns
 pass through, whatever their names, but those named like the results are replaced.
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
@@ -30,7 +31,7 @@ from lodestack.llm.textblock import map_batches, released
 
 #: Documents of a language that it is learned from, on average; they are picked by a hash of their id.
 SAMPLE_DOCS = 2000
-#: Languages that are learned, the most frequent ones: a model takes 1.5 MB for each.
+#: Languages of a group, whose tables take 0.75 MB each: no task and no broadcast holds more at a time, however many are learned.
 LANGUAGES = 200
 BUCKET_BITS = 16
 ORDERS = (2, 3, 4)
@@ -128,28 +129,47 @@ def _texts(column: pa.Array, limit: int) -> Iterator[tuple[int, list[str]]]:
         yield first, held
 
 
+def log_tables(counts: np.ndarray) -> list[np.ndarray]:
+    """counts[language, order, bucket] -> for each order log-probabilities [bucket, language]."""
+    c = counts.astype(np.float64) + 0.5
+    log = np.log(c / c.sum(axis=2, keepdims=True)) / len(ORDERS)
+    return [np.ascontiguousarray(log[:, k, :].T.astype(np.float32)) for k in range(len(ORDERS))]
+
+
+def barred_scripts(scripts: np.ndarray) -> np.ndarray:
+    """scripts[language, script] letters -> what a word of a script is charged in each language: nothing, or too much to be of it."""
+    share = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
+    allowed = share >= SCRIPT_SHARE
+    allowed[:, ~allowed.any(axis=0)] = True
+    return np.where(allowed.T, 0.0, -1e6)
+
+
+def word_scores(words: Words, tables: list[np.ndarray]) -> np.ndarray:
+    """[word, language] of some languages, before scripts count."""
+    n = tables[0].shape[1]
+    total = np.zeros((len(words.code) - max(ORDERS), n), np.float32)
+    for (bucket, inside), table in zip(words.grams(), tables, strict=True):
+        total += np.where(inside[:, None], table[bucket], 0)
+    if not len(words.starts):
+        return np.zeros((0, n))
+    edges = np.stack([words.starts - 1, words.ends], axis=1).ravel()
+    return np.add.reduceat(total.astype(np.float64), np.minimum(edges, len(total) - 1), axis=0)[::2]
+
+
 class Model:
-    def __init__(self, languages: list[str], counts: np.ndarray, scripts: np.ndarray):
-        """counts: [language, order, bucket]; scripts: [language, script] letters."""
-        self.languages = languages
-        c = counts.astype(np.float64) + 0.5
-        log = np.log(c / c.sum(axis=2, keepdims=True)) / len(ORDERS)
-        self.tables = [np.ascontiguousarray(log[:, k, :].T.astype(np.float32)) for k in range(len(ORDERS))]
-        share = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
-        allowed = share >= SCRIPT_SHARE
-        allowed[:, ~allowed.any(axis=0)] = True
-        self.barred = np.where(allowed.T, 0.0, -1e6)  # by script
+    """Languages in order, what scripts bar, and the tables of groups of languages, each a broadcast of its own."""
+
+    def __init__(self, languages: list[str], scripts: np.ndarray, groups: list[Broadcast]):
+        self.languages, self.barred, self.groups = languages, barred_scripts(scripts), groups
 
     def scores(self, words: Words) -> np.ndarray:
         """[word, language]"""
-        total = np.zeros((len(words.code) - max(ORDERS), len(self.languages)), np.float32)
-        for (bucket, inside), table in zip(words.grams(), self.tables, strict=True):
-            total += np.where(inside[:, None], table[bucket], 0)
-        if not len(words.starts):
-            return np.zeros((0, len(self.languages)))
-        edges = np.stack([words.starts - 1, words.ends], axis=1).ravel()
-        sums = np.add.reduceat(total.astype(np.float64), np.minimum(edges, len(total) - 1), axis=0)[::2]
-        return sums + self.barred[words.script]
+        parts = []
+        for g in self.groups:
+            parts.append(word_scores(words, g.value))
+            if len(self.groups) > 1:  # one group's tables in memory at a time
+                g.__dict__.pop("_value", None)
+        return np.concatenate(parts, axis=1) + self.barred[words.script]
 
 
 def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
@@ -184,15 +204,26 @@ def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     return path
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most: int = LANGUAGES) -> Model | None:
-    """Model from docs(doc_id, text, lang) outside the held-out fold."""
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, group: int = LANGUAGES) -> Model | None:
+    """Model from docs(doc_id, text, lang) outside the held-out fold: all languages, a group of them at a time."""
     train = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
+    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
     if not sizes:
         return None
     languages = sorted(sizes)
-    at = {x: i for i, x in enumerate(languages)}
-    share = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, sample_docs / sizes[lang])))])
+    scripts, groups = [], []
+    for i in range(0, len(languages), group):
+        some = languages[i : i + group]
+        counts, letters = _counted(train, {x: min(1.0, sample_docs / sizes[x]) for x in some})
+        groups.append(docs.sparkSession.sparkContext.broadcast(log_tables(counts)))
+        scripts.append(letters)
+    return Model(languages, np.concatenate(scripts), groups)
+
+
+def _counted(train: DataFrame, shares: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams [language, order, bucket] and letters [language, script] of a share of the documents of some languages."""
+    at = {x: i for i, x in enumerate(shares)}
+    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
     picked = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30) < F.try_element_at(share, F.col("lang"))
     sample = train.where(picked).select("text", "lang").repartition(8)
 
@@ -213,24 +244,23 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most: int = LANGUAGES
         for k, c in grams.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([c.astype(np.uint32).tobytes()], pa.binary()), pa.array([scripts[k].tobytes()], pa.binary())], names=["lang", "grams", "scripts"])
 
-    counts = np.zeros((len(languages), len(ORDERS), 1 << BUCKET_BITS), np.int64)
-    scripts = np.zeros((len(languages), _N_SCRIPTS), np.int64)
+    counts = np.zeros((len(shares), len(ORDERS), 1 << BUCKET_BITS), np.int64)
+    scripts = np.zeros((len(shares), _N_SCRIPTS), np.int64)
     for r in sample.mapInArrow(released(count), "lang int, grams binary, scripts binary").toLocalIterator():  # 8 rows a language
         counts[r["lang"]] += np.frombuffer(r["grams"], np.uint32).reshape(len(ORDERS), -1)
         scripts[r["lang"]] += np.frombuffer(r["scripts"], np.int64)
-    return Model(languages, counts, scripts)
+    return counts, scripts
 
 
 def identify(docs: DataFrame, model: Model | None, penalty: float = PENALTY, with_spans: bool = True) -> DataFrame:
     """docs plus lang_pred, score (share of letters in spans of that language) and lang_spans (in words; null unless with_spans)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     added = StructType().add("lang_pred", "string").add("score", "double").add("lang_spans", ArrayType(StructType().add("start", "long").add("end", "long").add("lang", "string")))
     docs = docs.drop(*added.names)
     text_at, names = docs.columns.index("text"), docs.columns
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = model
         for batch in batches:
             n = batch.num_rows
             pred, score, spans = [UNDETERMINED] * n, np.zeros(n), [[] for _ in range(n)]
