@@ -7,11 +7,17 @@ sources are broken.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.operators import clones, goparse, unused
+from lodestack import store
+from lodestack.operators import clones, embed, goparse, unused
+from lodestack.plans.analysis import analyse
+from lodestack.plans.catalogue_sources import LetterProvider
 from lodestack.plans.views import table
+from lodestack.shared import folder
 
 _PLACE = ["concat('r', cast(doc_id % 10 AS string)) AS repo_id", "concat('src/f', cast(doc_id AS string), '.go') AS path"]
 #: Statements of four functions; no ten in a row are in two of them, or twice in one.
@@ -83,8 +89,26 @@ def go_syntax_errors(spark, sf_dir):
     return found.select("repo_id", "path", F.regexp_extract("error", r"^line (\d+)", 1).cast("long").alias("line"))
 
 
+def index_documents(spark, sf_dir):
+    """Vectors of functions, written as one JSON document a repository and read again."""
+    functions = goparse.functions_of(goparse.parse_go(calling_files(spark, sf_dir)))
+    index = embed.embed(embed.describe(functions), LetterProvider())
+    path = f"{folder(spark)}/lodestack/index-{uuid.uuid4().hex}"
+    store.write_index_documents(index, path)
+    back = store.read_index_document(spark, path)
+    return back.select("file_path", F.col("function_name").alias("name"), F.col("start_line").cast("long").alias("line"), "provider", F.col("dim").cast("long").alias("dim"), "language")
+
+
+def context_documents(spark, sf_dir):
+    """Contexts, written as one JSON document a repository and read again."""
+    path = f"{folder(spark)}/lodestack/context-{uuid.uuid4().hex}"
+    store.write_context_documents(analyse(calling_files(spark, sf_dir)), path)
+    back = spark.read.schema("detection struct<languages:map<string,long>>, analysis struct<totals:struct<function_count:long>,total_issues:long>, repo_id string").json(path)
+    return back.selectExpr("repo_id", "detection.languages['Go'] AS n_go", "analysis.totals.function_count AS n_functions", "analysis.total_issues AS n_issues")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (clone_pairs, clone_classes, duplication_issues, unused_functions, unused_imports, go_syntax_errors)}
+    return {f.__name__: f for f in (index_documents, context_documents, clone_pairs, clone_classes, duplication_issues, unused_functions, unused_imports, go_syntax_errors)}
 
 
 # -- the same in DuckDB -------------------------------------------------------
@@ -119,6 +143,12 @@ _CALLED = """d AS (SELECT doc_id AS d, 'r' || doc_id % 10 AS repo_id, 'src/f' ||
 def oracle_sql() -> dict[str, str]:
     n = len(_STATEMENTS)
     return {
+        # Run, h, step, k and q of each document, and init of some
+        "index_documents": f"""WITH RECURSIVE {_CALLED}, more AS (
+  SELECT file_path, name, line FROM functions UNION ALL SELECT file_path, 'Run' || d, 8 FROM placed
+  UNION ALL SELECT file_path, 'init', h_line + h_lines + 2 + (d % 5 = 0)::INT FROM placed WHERE d % 11 = 0
+) SELECT file_path, name, line::BIGINT AS line, 'letters' AS provider, 8::BIGINT AS dim, 'Go' AS language FROM more""",
+        "context_documents": "SELECT 'r' || doc_id % 10 AS repo_id, count(*) AS n_go, sum(5 + (doc_id % 11 = 0)::INT)::BIGINT AS n_functions, 0::BIGINT AS n_issues FROM documents GROUP BY 1",
         "clone_pairs": f"WITH {_COPIED} SELECT * REPLACE (round(similarity, 6) AS similarity) FROM pairs",
         "clone_classes": f"WITH {_COPIED} SELECT repo_a AS repo_id, path_a AS path, start_a AS start_line, end_a AS end_line, max(tokens) AS tokens, count(*) + 1 AS n_places, count(*) + 1 AS n_files, round(min(similarity), 6) AS least_similarity FROM pairs GROUP BY ALL",
         "duplication_issues": f"WITH {_COPIED} SELECT repo_b AS repo_id, path_b AS file_path, 'duplication' AS type, 'warning' AS severity, start_b::INTEGER AS line, 'Lines ' || start_b || '-' || end_b || ' repeat ' || path_a || ':' || start_a || '-' || end_a AS message FROM pairs",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.schemas import EMBEDDINGS
@@ -36,6 +36,10 @@ def save(tables: dict[str, DataFrame], folder: str) -> None:
     before, version = _current(spark, folder), f"v-{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.parquet(f"{folder}/{version}/{name}")
+    if set(TABLES) <= set(tables):  # a whole context: as documents, too, from what is written
+        whole = {name: spark.read.parquet(f"{folder}/{version}/{name}") for name in tables}
+        write_context_documents(whole, f"{folder}/{version}/context.json")
+        write_index_documents(whole["embeddings"], f"{folder}/{version}/index.json")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     (new, files), (pointer, _) = _place(spark, f"{folder}/{POINTER}-{version}"), _place(spark, f"{folder}/{POINTER}")
     out = files.create(new, True)
@@ -83,6 +87,33 @@ def export_json(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+#: Of the index format.
+INDEX_VERSION = "1.0"
+
+
+def write_context_documents(tables: dict[str, DataFrame], path: str) -> None:
+    """One JSON document a repository, in folders by repository."""
+    context_document(tables).write.partitionBy("repo_id").mode("overwrite").text(path)
+
+
+def write_index_documents(embeddings: DataFrame, path: str) -> None:
+    """One JSON document {version, provider, dimension, embeddings: [...]} a repository and provider, in folders by both.
+
+    A document is as long as its repository has functions, so it is written line by line: head, vectors in order of id, end. No row or group holds it whole."""
+    good = embeddings.where("embedding is not null")
+    keys = ["repo_id", "provider", "dim"]
+    element = F.struct("id", "file_path", F.col("func_name").alias("function_name"), "start_line", "end_line", "code", "embedding", "language")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("id", "file_path", "start_line"))
+    rows = good.select(*keys, place.cast("long").alias("place"), F.to_json(element, {"ignoreNullFields": "false"}).alias("line"))
+    rows = rows.select(*keys, "place", F.concat(F.when(F.col("place") > 1, ",").otherwise(""), F.col("line")).alias("line"))
+    ends = good.select(*keys).distinct()
+    name = F.to_json(F.array("provider"))  # quoted as JSON wants it
+    head = F.concat(F.lit(f'{{"version": "{INDEX_VERSION}", "provider": '), F.substring(name, F.lit(2), F.length(name) - 2), F.lit(', "dimension": '), F.col("dim").cast("string"), F.lit(', "embeddings": ['))
+    lines = rows.unionByName(ends.select(*keys, F.lit(0).cast("long").alias("place"), head.alias("line"))).unionByName(ends.select(*keys, F.lit((1 << 63) - 1).alias("place"), F.lit("]}").alias("line")))
+    ordered = lines.repartition(*keys).sortWithinPartitions(*keys, "place")
+    ordered.select("repo_id", F.col("provider").alias("by"), F.col("dim").alias("dimension"), "line").write.partitionBy("repo_id", "by", "dimension").mode("overwrite").text(path)
+
+
 def read_index_document(spark: SparkSession, path: str) -> DataFrame:
     """Rows of an exported index, one document {embeddings: [...], dimension, provider, version}."""
     element = "id string, file_path string, function_name string, start_line int, end_line int, code string, embedding array<float>, language string"
