@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from lodestack.config import Config
 from lodestack.operators import embed, frameworks, goparse, languages, lines, metrics, rules
+from lodestack.shared import stored
 
 
 def analyse(files: DataFrame, config: Config | None = None, provider: embed.Provider | None = None, language_filter: bool = False) -> dict[str, DataFrame]:
-    """files(repo_id, path, content) -> tables by name. Lazy; a file whose Go source is unparseable counts in none but `errors`."""
+    """files(repo_id, path, content) -> tables by name. Sources are parsed once, here; the rest is lazy. A file whose Go source is unparseable counts in none but `errors`."""
     config = config or Config()
     sources = languages.source_files(files)
-    parsed = goparse.parse_go(sources.where("language = 'Go'"))
+    parsed = stored(goparse.parse_go(sources.where("language = 'Go'")).drop("content"), "parsed")
     bad = parsed.where("error is not null").select("repo_id", "path", "error")
     good = sources.join(bad, ["repo_id", "path"], "left_anti")
     functions, structs = goparse.functions_of(parsed), goparse.structs_of(parsed)

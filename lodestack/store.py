@@ -22,45 +22,55 @@ def _place(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _current(spark: SparkSession, folder: str) -> str | None:
+def pointed(spark: SparkSession, folder: str) -> str | None:
+    """What the folder's pointer holds; None without one."""
     p, files = _place(spark, f"{folder}/{POINTER}")
     if not files.exists(p):
         return None
-    return spark.read.text(p.toString()).first()[0]
+    return spark.read.text(p.toString(), wholetext=True).first()[0]
+
+
+def switch(spark: SparkSession, folder: str, text: str) -> None:
+    """Let the folder's pointer hold this, in one step: a reader sees what was there before, or this."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    (new, files), (pointer, _) = _place(spark, f"{folder}/{POINTER}-{uuid.uuid4().hex}"), _place(spark, f"{folder}/{POINTER}")
+    out = files.create(new, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), conf).rename(files.makeQualified(new), files.makeQualified(pointer), how)
+
+
+def folders_in(spark: SparkSession, folder: str) -> list[str]:
+    p, files = _place(spark, folder)
+    return [e.getPath().getName() for e in files.listStatus(p) if e.isDirectory()] if files.exists(p) else []
 
 
 def save(tables: dict[str, DataFrame], folder: str) -> None:
     """All tables are written as a new version, and then one file is switched to it: a reader sees the old version or the new one, whole, and a crash leaves one
     of them. The version before stays, as what is read from it may still be in use; older ones go."""
     spark = next(iter(tables.values())).sparkSession
-    before, version = _current(spark, folder), f"v-{uuid.uuid4().hex}"
+    before, version = pointed(spark, folder), f"v-{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.parquet(f"{folder}/{version}/{name}")
     if set(TABLES) <= set(tables):  # a whole context: as documents, too, from what is written
         whole = {name: spark.read.parquet(f"{folder}/{version}/{name}") for name in tables}
         write_context_documents(whole, f"{folder}/{version}/context.json")
         write_index_documents(whole["embeddings"], f"{folder}/{version}/index.json")
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    (new, files), (pointer, _) = _place(spark, f"{folder}/{POINTER}-{version}"), _place(spark, f"{folder}/{POINTER}")
-    out = files.create(new, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    rename = jvm.org.apache.hadoop.fs.Options.Rename
-    how = spark.sparkContext._gateway.new_array(rename, 1)
-    how[0] = rename.OVERWRITE
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), conf).rename(files.makeQualified(new), files.makeQualified(pointer), how)
-    for entry in files.listStatus(pointer.getParent()):
-        name = entry.getPath().getName()
-        if entry.isDirectory() and name not in (version, before):
-            files.delete(entry.getPath(), True)
+    switch(spark, folder, version)
+    for name in folders_in(spark, folder):
+        if name not in (version, before):
+            clear(spark, f"{folder}/{name}")
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{_current(spark, folder)}/{name}")
+    return spark.read.parquet(f"{folder}/{pointed(spark, folder)}/{name}")
 
 
 def exists(spark: SparkSession, folder: str) -> bool:
-    return _current(spark, folder) is not None
+    return pointed(spark, folder) is not None
 
 
 def clear(spark: SparkSession, folder: str) -> bool:
