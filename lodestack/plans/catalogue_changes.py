@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 from lodestack.operators import hunks, rules
 from lodestack.plans.views import table, virtual_functions
+from lodestack.shared import folder
+from lodestack.streaming import incremental
 
 # One hunk for each line item: an unchanged line, removed ones, added ones (none for a third of them), an unchanged line.
 _PATCHES = """
@@ -37,8 +41,22 @@ def touched_issues(spark, sf_dir):
     return rules.issues(hunks.touched_functions(virtual_functions(spark, sf_dir), _patches(spark, sf_dir)).drop("commit").distinct()).select("file_path", "type", "line", "message").distinct()
 
 
+def incremental_metrics(spark, sf_dir):
+    """Line metrics after three batches of file versions: new files, changed and deleted ones, and versions that come late."""
+    place = f"{folder(spark)}/lodestack/follow-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").selectExpr("'r' AS repo_id", "concat('f', cast(doc_id AS string), '.go') AS path", "doc_id AS d", "concat('// one\n', repeat('x = 1\n', cast(doc_id % 9 AS int))) AS one", "repeat('y = 2\n\n', cast(1 + doc_id % 4 AS int)) AS two")
+    versions = (
+        docs.where("d % 5 <> 4").selectExpr("repo_id", "path", "one AS content", "2L AS version"),
+        docs.where("d % 3 = 0").selectExpr("repo_id", "path", "CASE WHEN d % 2 = 0 THEN two END AS content", "5L AS version"),
+        docs.where("d % 4 = 0").selectExpr("repo_id", "path", "concat(two, two) AS content", "CASE WHEN d % 8 = 0 THEN 4L ELSE 7L END AS version"),
+    )
+    for k, batch in enumerate(versions):
+        incremental.merge(batch, k, place, buckets=16)
+    return incremental.current(spark, place).select("path", "blank_lines", "comment_lines", "lines_of_code")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (changed_ranges, touched_functions, touched_issues)}
+    return {f.__name__: f for f in (incremental_metrics, changed_ranges, touched_functions, touched_issues)}
 
 
 _TOUCHED = """p AS (
@@ -53,6 +71,12 @@ _TOUCHED = """p AS (
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "incremental_metrics": """WITH v AS (
+  SELECT doc_id AS d, 2 AS version, 0 AS blank, 1 AS comment, doc_id % 9 AS code, false AS gone FROM documents WHERE doc_id % 5 <> 4
+  UNION ALL SELECT doc_id, 5, 1 + doc_id % 4, 0, 1 + doc_id % 4, doc_id % 2 <> 0 FROM documents WHERE doc_id % 3 = 0
+  UNION ALL SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN 4 ELSE 7 END, 2 * (1 + doc_id % 4), 0, 2 * (1 + doc_id % 4), false FROM documents WHERE doc_id % 4 = 0
+), newest AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY d ORDER BY version DESC) = 1)
+SELECT 'f' || d || '.go' AS path, blank::BIGINT AS blank_lines, comment::BIGINT AS comment_lines, code::BIGINT AS lines_of_code FROM newest WHERE NOT gone""",
         "changed_ranges": f"WITH {_TOUCHED} SELECT * FROM changed",
         "touched_functions": f"WITH {_TOUCHED} SELECT DISTINCT commit, file_path, name, start_line, end_line FROM touched",
         "touched_issues": f"""WITH {_TOUCHED} SELECT DISTINCT file_path, 'complexity' AS type, start_line::INTEGER AS line, 'Function ''' || name || ''' has high complexity: ' || complexity AS message FROM touched WHERE complexity > 10
