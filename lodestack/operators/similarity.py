@@ -55,13 +55,23 @@ def search_one(index: DataFrame, vector: Column, k: int, id_column: str = "id")
     return scored.orderBy(F.desc("similarity"), id_column).limit(max(k, 0))
 
 
+def _best(s: np.ndarray, ids: np.ndarray, k: int, but: int | None) -> np.ndarray:
+    """Places of the k best, in order; ties by id. `but`: an id that doesn't count."""
+    key = np.where(np.isnan(s), -np.inf, s)
+    among = np.arange(len(s)) if but is None else np.flatnonzero(ids != but)
+    if 0 < k < len(among):
+        among = among[key[among] >= np.partition(key[among], len(among) - k)[len(among) - k]]
+    return among[np.lexsort((ids[among], -key[among]))][: max(k, 0)]
+
+
 def search(index: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False, query_block: int = QUERY_BLOCK) -> DataFrame:
     """Both (id long, embedding) -> (query_id, rank, id, similarity): the k nearest of each query; ties by id."""
     spark = index.sparkSession
     index = index.where("embedding is not null and id is not null").select("id", "embedding")
     schema = "query_id long, id long, similarity float"
 
-    def part(names: list[int], vectors: list) -> DataFrame:
+    def part(names: list[int], vectors: list, last: bool) -> DataFrame:
+        """The best of each task for a block of queries. All blocks but the last are stored, so that their queries needn't stay broadcast."""
         shared = spark.sparkContext.broadcast((names, vectors))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,24 +79,31 @@ def search(index: DataFrame, queries: DataFrame, k: int, exclude_self: bool = Fa
             for batch in batches:
                 ids = batch.column(0).to_numpy()
                 sims = _cosines(wanted, batch.column(1).to_pylist())
-                rows = []
-                for q, s in zip(asked, sims, strict=True):
-                    order = np.lexsort((ids, -s))
-                    order = order[ids[order] != q] if exclude_self else order
-                    rows += [(q, int(ids[i]), float(s[i])) for i in order[:k]]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float32())], names=["query_id", "id", "similarity"])
-
-        return index.mapInArrow(run, schema)
+                of, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for n, (q, s) in enumerate(zip(asked, sims, strict=True)):
+                    best = _best(s, ids, k, q if exclude_self else None)
+                    of.append(np.full(len(best), n))
+                    at.append(best)
+                of, at = np.concatenate(of), np.concatenate(at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(asked, np.int64)[of]), pa.array(ids[at], pa.int64()), pa.array(sims[of, at], pa.float32())], names=["query_id", "id", "similarity"])
+
+        out = index.mapInArrow(run, schema)
+        if last:
+            return out
+        out = stored(out, "nearest")
+        shared.destroy()
+        return out
 
     found, names, vectors = None, [], []
     for r in queries.where("embedding is not null and id is not null").select("id", "embedding").toLocalIterator():
         names.append(r[0])
         vectors.append(r[1])
         if len(names) == query_block:
-            found = part(names, vectors) if found is None else found.unionAll(part(names, vectors))
-            names, vectors = [], []
+            block = part(names, vectors, False)
+            found, names, vectors = block if found is None else found.unionAll(block), [], []
     if names or found is None:
-        found = part(names, vectors) if found is None else found.unionAll(part(names, vectors))
+        block = part(names, vectors, True)
+        found = block if found is None else found.unionAll(block)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
 
