@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lodestack.operators import hunks, rules
+from lodestack.operators import hunks, renames, rules
 from lodestack.plans.views import table, virtual_functions
 from lodestack.shared import folder
 from lodestack.streaming import incremental
@@ -55,8 +56,23 @@ def incremental_metrics(spark, sf_dir):
     return incremental.current(spark, place).select("path", "blank_lines", "comment_lines", "lines_of_code")
 
 
+def _moved(spark, sf_dir: str, side: str) -> DataFrame:
+    """Files of fifty changes, a word of a document's text a line; the new ones lack some words and have others."""
+    docs = table(spark, sf_dir, "documents").selectExpr("concat('c', cast(doc_id % 50 AS string)) AS commit", "doc_id", "split(coalesce(text, ''), ' ') AS w")
+    if side == "old":
+        return docs.selectExpr("commit", "concat('old', cast(doc_id AS string)) AS path", "array_join(w, '\n') AS content")
+    kept = "filter(w, (x, i) -> i % 10 >= doc_id % 5 * 2)"
+    return docs.selectExpr("commit", "concat('new', cast(doc_id AS string)) AS path", f"array_join(concat({kept}, transform(sequence(1, 3), i -> concat('added', cast(doc_id AS string)))), '\n') AS content")
+
+
+def rename_scores(spark, sf_dir):
+    """Pairs of deleted and added files of a change that have half their bytes in common."""
+    out = renames.scores(_moved(spark, sf_dir, "old"), _moved(spark, sf_dir, "new"))
+    return out.select("commit", "old_path", "new_path", F.round("score", 6).alias("score"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (incremental_metrics, changed_ranges, touched_functions, touched_issues)}
+    return {f.__name__: f for f in (rename_scores, incremental_metrics, changed_ranges, touched_functions, touched_issues)}
 
 
 _TOUCHED = """p AS (
@@ -71,6 +87,16 @@ _TOUCHED = """p AS (
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "rename_scores": """WITH d AS (SELECT doc_id AS d, 'c' || doc_id % 50 AS commit, string_split(coalesce(text, ''), ' ') AS w FROM documents
+), files AS (
+  SELECT commit, 'old' || d AS path, 'old' AS side, array_to_string(w, chr(10)) AS t FROM d
+  UNION ALL SELECT commit, 'new' || d, 'new', array_to_string(list_concat(list_filter(w, lambda x, i: (i - 1) % 10 >= d % 5 * 2), ['added' || d, 'added' || d, 'added' || d]), chr(10)) FROM d
+), lines AS (SELECT commit, path, side, line, count(*) AS n, octet_length(encode(line)) + 1 AS bytes FROM (SELECT commit, path, side, unnest(string_split(t, chr(10))) AS line FROM files WHERE t <> '') GROUP BY ALL
+), sizes AS (SELECT commit, path, sum(n * bytes) AS size FROM lines GROUP BY ALL
+), shared AS (
+  SELECT commit, a.path AS old_path, b.path AS new_path, sum(least(a.n, b.n) * a.bytes) AS s FROM lines a JOIN lines b USING (commit, line) WHERE a.side = 'old' AND b.side = 'new' GROUP BY ALL
+) SELECT x.commit, old_path, new_path, round(s / greatest(a.size, b.size), 6) AS score FROM shared x JOIN sizes a ON a.commit = x.commit AND a.path = old_path JOIN sizes b ON b.commit = x.commit AND b.path = new_path
+WHERE s / greatest(a.size, b.size) >= 0.5""",
         "incremental_metrics": """WITH v AS (
   SELECT doc_id AS d, 2 AS version, 0 AS blank, 1 AS comment, doc_id % 9 AS code, false AS gone FROM documents WHERE doc_id % 5 <> 4
   UNION ALL SELECT doc_id, 5, 1 + doc_id % 4, 0, 1 + doc_id % 4, doc_id % 2 <> 0 FROM documents WHERE doc_id % 3 = 0
