@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack import store
-from lodestack.operators import clones, embed, goparse, unused
+from lodestack.operators import clones, embed, goparse, parsers, unused
 from lodestack.plans.analysis import analyse
 from lodestack.plans.catalogue_sources import LetterProvider
 from lodestack.plans.views import table
@@ -89,6 +89,18 @@ def go_syntax_errors(spark, sf_dir):
     return found.select("repo_id", "path", F.regexp_extract("error", r"^line (\d+)", 1).cast("long").alias("line"))
 
 
+def functions_by_language(spark, sf_dir):
+    """Functions of sources in Go, JavaScript and Java from one lateral join; the text stands in a literal or a comment."""
+    docs = table(spark, sf_dir, "documents").withColumns({"d": F.col("doc_id").cast("string"), "k": F.expr("cast(doc_id % 4 AS int)"), "t": F.translate(F.coalesce("text", F.lit("")), "`\\*", "")})
+    body = "repeat('  if (a > 0 && b > 0) {\\n  }\\n', k)"
+    content = f"""CASE doc_id % 3 WHEN 0 THEN concat('package p\\n\\nfunc Run', d, '(a, b int) {{\\n', {body}, '}}\\nvar t = `', t, '`\\n')
+      WHEN 1 THEN concat('export function run', d, '(a, b = 1) {{\\n', {body}, '}}\\nconst t', d, ' = (x) => {{\\n}}\\nconst s = `', t, '`\\n')
+      ELSE concat('class A {{\\n  public int run', d, '(int a, Map<String, Integer> b) {{\\n', {body}, '  }}\\n}}\\n/* ', t, ' */') END"""
+    files = docs.selectExpr("doc_id", "element_at(array('Go', 'JavaScript', 'Java'), cast(doc_id % 3 AS int) + 1) AS language", f"{content} AS content")
+    out = parsers.functions_of(files)
+    return out.select("doc_id", "language", "name", "start_line", "end_line", "loc", "complexity", F.array_join("parameters", ",").alias("parameters"), "is_exported")
+
+
 def index_documents(spark, sf_dir):
     """Vectors of functions, written as one JSON document a repository and read again."""
     functions = goparse.functions_of(goparse.parse_go(calling_files(spark, sf_dir)))
@@ -108,7 +120,7 @@ def context_documents(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (index_documents, context_documents, clone_pairs, clone_classes, duplication_issues, unused_functions, unused_imports, go_syntax_errors)}
+    return {f.__name__: f for f in (functions_by_language, index_documents, context_documents, clone_pairs, clone_classes, duplication_issues, unused_functions, unused_imports, go_syntax_errors)}
 
 
 # -- the same in DuckDB -------------------------------------------------------
@@ -143,6 +155,12 @@ _CALLED = """d AS (SELECT doc_id AS d, 'r' || doc_id % 10 AS repo_id, 'src/f' ||
 def oracle_sql() -> dict[str, str]:
     n = len(_STATEMENTS)
     return {
+        "functions_by_language": """WITH f AS (
+  SELECT doc_id, doc_id % 3 AS l, (doc_id % 4)::INTEGER AS k, CASE doc_id % 3 WHEN 0 THEN 'Run' ELSE 'run' END || doc_id AS name, [3, 1, 2][doc_id % 3 + 1] AS start_line, true AS main FROM documents
+  UNION ALL SELECT doc_id, 1, (doc_id % 4)::INTEGER, 't' || doc_id, 3 + 2 * (doc_id % 4), false FROM documents WHERE doc_id % 3 = 1
+), g AS (SELECT *, start_line + 1 + CASE WHEN main THEN 2 * k ELSE 0 END AS end_line FROM f)
+SELECT doc_id, ['Go', 'JavaScript', 'Java'][l + 1] AS language, name, start_line::INTEGER AS start_line, end_line::INTEGER AS end_line, (end_line - start_line + 1)::INTEGER AS loc,
+  (CASE WHEN main THEN 1 + 2 * k ELSE 1 END)::INTEGER AS complexity, CASE WHEN main THEN 'a,b' ELSE 'x' END AS parameters, main AS is_exported FROM g""",
         # Run, h, step, k and q of each document, and init of some
         "index_documents": f"""WITH RECURSIVE {_CALLED}, more AS (
   SELECT file_path, name, line FROM functions UNION ALL SELECT file_path, 'Run' || d, 8 FROM placed
