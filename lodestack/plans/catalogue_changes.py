@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.operators import hunks, renames, rules
+from lodestack.operators import hunks, renames, rules, snapshots
 from lodestack.plans.views import table, virtual_functions
 from lodestack.shared import folder
 from lodestack.streaming import incremental
@@ -71,9 +71,35 @@ def rename_scores(spark, sf_dir):
     return out.select("commit", "old_path", "new_path", F.round("score", 6).alias("score"))
 
 
+def _snapshots(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A file a document, a word a line: of eleven one goes, one comes, one stays, and eight lose some lines and get others."""
+    docs = table(spark, sf_dir, "documents").selectExpr("concat('c', cast(doc_id % 50 AS string)) AS commit", "concat('f', cast(doc_id AS string)) AS path", "doc_id", "split(replace(coalesce(text, ''), '\n', ' '), ' ') AS w")
+    edited = "flatten(transform(w, (x, i) -> concat(IF(i % 10 < doc_id % 4, array(), array(x)), IF(i % 7 = 3, array(concat('+new', cast(doc_id AS string), '_', cast(i AS string))), array()))))"
+    text = lambda words: f"array_join(transform({words}, x -> concat(x, '\n')), '') AS content"
+    old = docs.where("doc_id % 11 <> 1").selectExpr("commit", "path", text("w"))
+    return old, docs.where("doc_id % 11 <> 0").selectExpr("commit", "path", text(f"IF(doc_id % 11 = 2, w, {edited})"))
+
+
+def snapshot_changes(spark, sf_dir):
+    """Files that differ between two snapshots, with the lines of a shortest edit."""
+    out = snapshots.diff(*_snapshots(spark, sf_dir), least=None)
+    return out.select("commit", "path", "status", F.col("additions").cast("long").alias("additions"), F.col("deletions").cast("long").alias("deletions"))
+
+
+def patched_files(spark, sf_dir):
+    """The second snapshot as the first one's patches, renames among them, lead to it."""
+    old, new = _snapshots(spark, sf_dir)
+    out = snapshots.patched(old, snapshots.diff(old, new))
+    return out.select("commit", "path", F.sha2("content", 256).alias("content_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (rename_scores, incremental_metrics, changed_ranges, touched_functions, touched_issues)}
+    return {f.__name__: f for f in (snapshot_changes, patched_files, rename_scores, incremental_metrics, changed_ranges, touched_functions, touched_issues)}
+
 
+_SNAPSHOTS = """w AS (SELECT doc_id AS d, 'c' || doc_id % 50 AS commit, 'f' || doc_id AS path, string_split(replace(coalesce(text, ''), chr(10), ' '), ' ') AS w FROM documents
+), lines AS (SELECT d, generate_subscripts(w, 1) - 1 AS i, unnest(w) AS x FROM w
+), edits AS (SELECT d, sum((i % 10 < d % 4)::INT)::BIGINT AS gone, sum((i % 7 = 3)::INT)::BIGINT AS come, string_agg(CASE WHEN i % 10 < d % 4 THEN '' ELSE x || chr(10) END || CASE WHEN i % 7 = 3 THEN '+new' || d || '_' || i || chr(10) ELSE '' END, '' ORDER BY i) AS text FROM lines GROUP BY d)"""
 
 _TOUCHED = """p AS (
   SELECT l_orderkey::VARCHAR AS commit, 'f' || l_suppkey || '.go' AS path, l_orderkey * 100 + l_linenumber * 10 + l_partkey % 60 - 10 + 1 AS first, l_linenumber % 3 AS n FROM lineitem
@@ -87,6 +113,11 @@ _TOUCHED = """p AS (
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "snapshot_changes": f"""WITH {_SNAPSHOTS}
+SELECT commit, path, CASE d % 11 WHEN 0 THEN 'D' WHEN 1 THEN 'A' ELSE 'M' END AS status, CASE d % 11 WHEN 0 THEN 0 WHEN 1 THEN len(w) - gone + come ELSE come END::BIGINT AS additions, CASE d % 11 WHEN 0 THEN len(w) WHEN 1 THEN 0 ELSE gone END::BIGINT AS deletions
+FROM w JOIN edits USING (d) WHERE d % 11 <> 2 AND (d % 11 < 2 OR gone + come > 0)""",
+        "patched_files": f"""WITH {_SNAPSHOTS}
+SELECT commit, path, sha256(CASE WHEN d % 11 = 2 THEN array_to_string(w, chr(10)) || chr(10) ELSE text END) AS content_sha256 FROM w JOIN edits USING (d) WHERE d % 11 <> 0""",
         "rename_scores": """WITH d AS (SELECT doc_id AS d, 'c' || doc_id % 50 AS commit, string_split(coalesce(text, ''), ' ') AS w FROM documents
 ), files AS (
   SELECT commit, 'old' || d AS path, 'old' AS side, array_to_string(w, chr(10)) AS t FROM d
