@@ -2,8 +2,8 @@
 
 Lines end at a line feed alone. Lines that one side lacks are taken out first, equal starts and ends
 next; what remains is divided at the middle of a shortest edit (the greedy method from both
-ends, in linear space), all diagonals of a step at once in numpy. Time follows the length of the texts by the number
-of edits that the common lines need, memory the length alone.
+ends, in linear space), all diagonals of a step at once in numpy, till a part has CELLS pairs of lines at most, which a
+table of bits settles. Time follows the length of the texts by the number of edits that the common lines need, memory the length alone.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import numpy as np
 
 #: Unchanged lines around a change.
 CONTEXT = 3
+#: Pairs of lines, one bit each, of a part that is not divided further.
+CELLS = 1 << 24
 _NO_END = "\\ No newline at end of file\n"
 _HEADER = re.compile(r"@@ -(\d+)(?:,(\d+))? \+\d+(?:,(\d+))? @@")
 _NEVER = -(1 << 40)
@@ -84,6 +86,30 @@ def _middle(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
         d += 1
 
 
+def _table(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    """Places in a and in b of a longest common subsequence: one integer a line of a, a clear bit where the length grows."""
+    places: dict[int, int] = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    everything = (1 << len(b)) - 1
+    rows = [everything]
+    for x in a:
+        row = rows[-1]
+        grown = row & places.get(x, 0)
+        rows.append((row + grown | row - grown) & everything)
+    i, j, left, right = len(a), len(b), [], []
+    while i and j:
+        if rows[i] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i -= 1
+            if rows[i] >> (j - 1) & 1:
+                j -= 1
+                left.append(i)
+                right.append(j)
+    return left, right
+
+
 def kept(old: list[str], new: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Masks of the lines of old and of new that a shortest edit leaves: equal in number, equal in order."""
     number: dict[str, int] = {}
@@ -100,7 +126,11 @@ def kept(old: list[str], new: list[str]) -> tuple[np.ndarray, np.ndarray]:
             mask[place[start : start + head]] = True
             mask[place[end - tail : end]] = True
         a0, a1, b0, b1 = a0 + head, a1 - tail, b0 + head, b1 - tail
-        if a0 < a1 and b0 < b1:
+        if (a1 - a0) * (b1 - b0) <= CELLS:
+            left, right = _table(a[a0:a1].tolist(), b[b0:b1].tolist())
+            keep[0][places[0][np.array(left, np.int64) + a0]] = True
+            keep[1][places[1][np.array(right, np.int64) + b0]] = True
+        else:
             x, y = _middle(a[a0:a1], b[b0:b1])
             boxes += [(a0, a0 + x, b0, b0 + y), (a0 + x, a1, b0 + y, b1)]
     return keep

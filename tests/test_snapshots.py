@@ -24,9 +24,11 @@ def _text(rng, words, kinds):
     return "\n".join(str(rng.randrange(kinds)) for _ in range(words)) + rng.choice(["", "\n"])
 
 
-def test_differences_are_shortest_and_apply():
+@pytest.mark.parametrize("cells", [0, 40, linediff.CELLS])
+def test_differences_are_shortest_and_apply(cells, monkeypatch):
+    monkeypatch.setattr(linediff, "CELLS", cells)
     rng = random.Random(1)
-    for _ in range(1500):
+    for _ in range(800):
         kinds = rng.choice([1, 2, 3, 8, 30])
         old = _text(rng, rng.randrange(30), kinds)
         new = _text(rng, rng.randrange(30), kinds) if rng.random() < 0.5 else "".join(x if rng.random() < 0.8 else f"{rng.randrange(40)}\n" for x in linediff.lines(old) if rng.random() < 0.9)
