@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; run() writes what a stage returns to the shared folder and reads it again.
 All stages but the last return the columns of `documents`.
+
+Defined results, for every stage: an empty table gives an empty one; a null text counts as empty, and rows with an empty text
+leave with the first stage that wants letters or words of them; texts of any length are read whole, in one row, so a
+row's size bounds what a task holds; rows that repeat an id are documents of their own, but for the near duplicates' rule below;
+further columns of `documents`, whatever their names, are not looked at and go.
 """
 
 from __future__ import annotations
