@@ -22,7 +22,7 @@ VERSION = "0.1.0"
 
 def _spark() -> SparkSession:
     spark = SparkSession.builder.appName("lodestack").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    spark.dataSource.register(git.GitDataSource)
+    git.register(spark)
     return spark
 
 

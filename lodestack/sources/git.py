@@ -1,14 +1,19 @@
-"""Git history as a Spark data source, and facts about one repository.
+"""Git history as a Spark data source and as a stream, and facts about one repository.
 
-spark.dataSource.register(GitDataSource)
-spark.read.format("git").option("path", ROOT).option("table", "commits" | "diff_files" | "content")
+register(spark)
+spark.read.format("git").option("path", ROOT).option("table", "commits" | "diff_files" | "range_diff" | "content")
      .option("range", "A..B" or a revision).load()
+spark.readStream.format("git").option("path", ROOT).option("table", ...).option("range", BRANCH).option("after", COMMIT).load()
 
-A partition is a run of commits; each commit takes one or two git processes,
-whatever the number of its files. The repository must be readable at the same
+A partition is a run of commits, planned by their number alone and listed where it is read; each commit takes
+one to three git processes, whatever the number of its files. The repository must be readable at the same
 path where tasks run. Fields are separated by NUL, so subjects, paths with
 blanks and renames come through whole; merges are compared with their first
 parent and root commits with nothing.
+
+Filters by = and IN go to the source: of commits (a partition for these alone), and of paths and statuses, before patches
+and contents are read. A stream's offset is the commit that a branch points to; a batch holds the commits that the new one reaches
+and the old one does not, so each comes once, after a restart, too, and after a branch was rewritten, as long as the old commit is there.
 """
 
 from __future__ import annotations
@@ -17,13 +22,20 @@ import datetime
 import os
 import re
 import subprocess
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 
 from lodestack.schemas import COMMITS, CONTENT, DIFF_FILES
 
 COMMITS_PER_PARTITION = 200
+#: Beyond this number partitions grow.
+MOST_PARTITIONS = 2_000
+#: More commits asked for by name are filtered where they are listed.
+MOST_NAMES = 1_000
+#: More wanted files of a commit than this, and all its patches are read.
+MOST_PATHS = 100
 # git's escapes in quoted paths.
 _ESCAPES = {b"a": b"\a", b"b": b"\b", b"f": b"\f", b"n": b"\n", b"r": b"\r", b"t": b"\t", b"v": b"\v"}
 _FORMAT = "%H%x00%an%x00%ae%x00%at%x00%P%x00%s%x01"
@@ -147,32 +159,59 @@ def _patches(text: str) -> dict[str, str]:
     return out
 
 
-def _diff(root: str, name: str, *command: str) -> Iterator[tuple]:
+Wanted = Callable[[str, str], bool]
+
+
+def _all(path: str, status: str) -> bool:
+    return True
+
+
+def _diff(root: str, *command: str, name: str, wanted: Wanted = _all, patches: bool = True) -> Iterator[tuple]:
     entries = list(_entries(git(root, *command, "-z", "--numstat", "-M")))
     statuses = _statuses(git(root, *command, "-z", "--name-status", "-M"))
-    patches = _patches(git(root, *command, "-p", "-M"))
-    for path, old, added, deleted in entries:
-        yield name, path, old, statuses.get(path, "M"), added, deleted, patches.get(path, "")
+    rows = [(*e, statuses.get(e[0], "M")) for e in entries if wanted(e[0], statuses.get(e[0], "M"))]
+    if not rows:
+        return
+    texts: dict[str, str] = {}
+    if patches:
+        # both paths of a rename, so that it is one still
+        some = [f":(top,literal){p}" for path, old, *_ in rows for p in (path, old) if p] if len(rows) < min(len(entries), MOST_PATHS) else []
+        texts = _patches(git(root, *command, "-p", "-M", *(["--", *some] if some else [])))
+    for path, old, added, deleted, status in rows:
+        yield name, path, old, status, added, deleted, texts.get(path, "")
 
 
-def commit_diff(root: str, commit: str) -> Iterator[tuple]:
-    return _diff(root, commit, "diff-tree", "-r", "--root", "-m", "--first-parent", "--no-commit-id", commit)
+def commit_diff(root: str, commit: str, wanted: Wanted = _all, patches: bool = True) -> Iterator[tuple]:
+    return _diff(root, "diff-tree", "-r", "--root", "-m", "--first-parent", "--no-commit-id", commit, wanted=wanted, patches=patches, name=commit)
 
 
-def range_diff(root: str, selection: str) -> Iterator[tuple]:
-    return _diff(root, selection, "diff", selection)
+def range_diff(root: str, selection: str, wanted: Wanted = _all) -> Iterator[tuple]:
+    return _diff(root, "diff", selection, wanted=wanted, name=selection)
 
 
-def commit_content(root: str, commit: str) -> Iterator[tuple]:
+def commit_content(root: str, commit: str, wanted: Wanted = _all) -> Iterator[tuple]:
     """Changed files as they are in the commit; deleted ones are absent."""
-    for _, path, _, status, _, _, _ in commit_diff(root, commit):
+    for _, path, _, status, _, _, _ in commit_diff(root, commit, wanted, patches=False):
         if status != "D":
             yield commit, path, file_at(root, commit, path)
 
 
+def _reaches(root: str, commit: str, from_commit: str) -> bool:
+    return subprocess.run(["git", "-C", root, "merge-base", "--is-ancestor", commit, from_commit], capture_output=True).returncode == 0
+
+
 class _Run(InputPartition):
-    def __init__(self, commits: list[str]):
-        self.commits = commits
+    """Commits by name, or `count` of a selection after the first `skip`."""
+
+    def __init__(self, names: list[str] | None, selection: list[str] | None = None, skip: int = 0, count: int = 0):
+        self.names, self.selection, self.skip, self.count = names, selection, skip, count
+
+
+def _runs(root: str, selection: list[str], latest: bool = False) -> list[_Run]:
+    """Partitions of a selection of hashes, by the number of its commits."""
+    n = int(git(root, "rev-list", "--count", *(["-1"] if latest else []), *selection, "--"))
+    size = max(COMMITS_PER_PARTITION, -(-n // MOST_PARTITIONS))
+    return [_Run(None, selection, i, min(size, n - i)) for i in range(0, n, size)]
 
 
 class _Reader(DataSourceReader):
@@ -181,21 +220,76 @@ class _Reader(DataSourceReader):
         self.table = options.get("table", "commits")
         self.range = options.get("range", "HEAD")
         self.latest = options.get("latest", "false").lower() == "true"
+        self.only: dict[str, set[str]] = {}
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            column = f.attribute[0] if isinstance(f, EqualTo | In) and len(f.attribute) == 1 else ""
+            if column in {"commits": ("hash",), "content": ("commit", "path"), "range_diff": ("path", "status")}.get(self.table, ("commit", "path", "status")):
+                values = {v for v in ((f.value,) if isinstance(f, EqualTo) else f.value) if v is not None}
+                column = "commit" if column == "hash" else column
+                self.only[column] = self.only[column] & values if column in self.only else values
+            else:
+                yield f
+
+    def _named(self, selection: list[str]) -> list[str]:
+        """The commits asked for that are in the selection."""
+        names = sorted(x for x in self.only["commit"] if re.fullmatch(r"[0-9a-f]{40,64}", x))
+        if self.latest:
+            return [x for x in git(self.root, "rev-list", "-1", *selection, "--").split() if x in names]
+        some, none = [x for x in selection if x[0] != "^"], [x[1:] for x in selection if x[0] == "^"]
+        return [x for x in names if any(_reaches(self.root, x, y) for y in some) and not any(_reaches(self.root, x, y) for y in none)]
 
     def partitions(self) -> list[InputPartition]:
         if self.table == "range_diff":
             return [_Run([self.range])]
-        names = git(self.root, "rev-list", *(["-1"] if self.latest else []), self.range, "--").split()
-        return [_Run(names[i : i + COMMITS_PER_PARTITION]) for i in range(0, len(names), COMMITS_PER_PARTITION)] or [_Run([])]
+        selection = git(self.root, "rev-parse", "--revs-only", self.range, "--").split()
+        if not selection:
+            raise ValueError(f"no revision: {self.range}")
+        if "commit" in self.only and len(self.only["commit"]) <= MOST_NAMES:
+            names = self._named(selection)
+            return [_Run(names[i : i + COMMITS_PER_PARTITION]) for i in range(0, len(names), COMMITS_PER_PARTITION)] or [_Run([])]
+        return _runs(self.root, selection, self.latest) or [_Run([])]
 
     def read(self, partition: _Run) -> Iterator[tuple]:
+        names = partition.names
+        if names is None:
+            listed = git(self.root, "rev-list", f"--skip={partition.skip}", f"--max-count={partition.count}", *partition.selection, "--").split()
+            names = [x for x in listed if x in self.only["commit"]] if "commit" in self.only else listed
         if self.table == "commits":
-            if partition.commits:
-                yield from _commits(self.root, "--no-walk=unsorted", *partition.commits)
+            if names:
+                yield from _commits(self.root, "--no-walk=unsorted", *names)
             return
+        paths, statuses = self.only.get("path"), self.only.get("status")
+        wanted = lambda path, status: (paths is None or path in paths) and (statuses is None or status in statuses)
         one = {"diff_files": commit_diff, "content": commit_content, "range_diff": range_diff}[self.table]
-        for name in partition.commits:
-            yield from one(self.root, name)
+        for name in names:
+            yield from one(self.root, name, wanted)
+
+
+class _StreamReader(DataSourceStreamReader):
+    def __init__(self, options: dict):
+        if ".." in options.get("range", "HEAD") or options.get("table") == "range_diff":
+            raise ValueError("a stream follows one revision, and the commits that it comes to reach")
+        self.reader = _Reader(options)
+        self.after = options.get("after", "")
+
+    def _tip(self, revision: str) -> str:
+        return git(self.reader.root, "rev-parse", "--verify", f"{revision}^{{commit}}").strip()
+
+    def initialOffset(self) -> dict:
+        return {"commit": self._tip(self.after) if self.after else ""}
+
+    def latestOffset(self) -> dict:
+        return {"commit": self._tip(self.reader.range)}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        if start["commit"] == end["commit"]:
+            return []
+        return _runs(self.reader.root, [end["commit"], *(["^" + start["commit"]] if start["commit"] else [])])
+
+    def read(self, partition: _Run) -> Iterator[tuple]:
+        return self.reader.read(partition)
 
 
 class GitDataSource(DataSource):
@@ -208,3 +302,12 @@ class GitDataSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _StreamReader(dict(self.options))
+
+
+def register(spark: SparkSession) -> None:
+    """Make the format `git` known, and let Spark push filters to sources in Python, which it needs."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(GitDataSource)

@@ -37,7 +37,7 @@ def repo(tmp_path_factory):
 
 @pytest.fixture
 def source(spark):
-    spark.dataSource.register(git.GitDataSource)
+    git.register(spark)
     return lambda root, **o: spark.read.format("git").options(path=root, **o).load()
 
 
