@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestack.operators import hunks, renames, rules, snapshots
 from lodestack.plans.views import table, virtual_functions
 from lodestack.shared import folder
+from lodestack.sources import git
 from lodestack.streaming import incremental
 
 # One hunk for each line item: an unchanged line, removed ones, added ones (none for a third of them), an unchanged line.
@@ -93,8 +94,25 @@ def patched_files(spark, sf_dir):
     return out.select("commit", "path", F.sha2("content", 256).alias("content_sha256"))
 
 
+# What git prints with -z for an order's line items: renames, binary files, and files without a status among them.
+_OUTPUTS = """
+SELECT cast(l_orderkey AS string) AS commit, array_join(transform(l, x -> x.numstat), '') AS numstat, array_join(transform(l, x -> x.status), '') AS name_status
+FROM (SELECT l_orderkey, array_sort(collect_list(struct(l_linenumber,
+    concat(CASE l_linenumber % 4 WHEN 0 THEN '-\t-' ELSE concat(cast(cast(l_quantity AS int) AS string), '\t', cast(l_partkey % 50 AS string)) END, '\t',
+      CASE l_linenumber % 3 WHEN 0 THEN concat(chr(0), 'old | ', n, chr(0), 'new ', n, chr(0)) ELSE concat('a b/', n, chr(0)) END) AS numstat,
+    CASE l_linenumber % 3 WHEN 0 THEN concat('R090', chr(0), 'old | ', n, chr(0), 'new ', n, chr(0)) WHEN 1 THEN concat(IF(l_partkey % 2 = 0, 'A', 'D'), chr(0), 'a b/', n, chr(0)) ELSE '' END AS status))) AS l
+  FROM (SELECT *, concat(cast(l_linenumber AS string), '.', cast(l_partkey AS string)) AS n FROM {lineitem}) GROUP BY l_orderkey)
+"""
+
+
+def git_outputs(spark, sf_dir):
+    """Files, old paths, statuses and counts out of git's own output, kept as text."""
+    out = git.read_outputs(spark.sql(_OUTPUTS, lineitem=table(spark, sf_dir, "lineitem")))
+    return out.selectExpr("commit", "path", "old_path", "status", "cast(additions AS bigint) AS additions", "cast(deletions AS bigint) AS deletions")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (snapshot_changes, patched_files, rename_scores, incremental_metrics, changed_ranges, touched_functions, touched_issues)}
+    return {f.__name__: f for f in (git_outputs, snapshot_changes, patched_files, rename_scores, incremental_metrics, changed_ranges, touched_functions, touched_issues)}
 
 
 _SNAPSHOTS = """w AS (SELECT doc_id AS d, 'c' || doc_id % 50 AS commit, 'f' || doc_id AS path, string_split(replace(coalesce(text, ''), chr(10), ' '), ' ') AS w FROM documents
@@ -113,6 +131,11 @@ _TOUCHED = """p AS (
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "git_outputs": """WITH rows AS (
+  SELECT l_orderkey::VARCHAR AS commit, l_linenumber AS k, CASE l_linenumber % 3 WHEN 0 THEN 'new ' || l_linenumber || '.' || l_partkey ELSE 'a b/' || l_linenumber || '.' || l_partkey END AS path, CASE l_linenumber % 3 WHEN 0 THEN 'old | ' || l_linenumber || '.' || l_partkey ELSE '' END AS old_path,
+    CASE l_linenumber % 3 WHEN 0 THEN 'R' WHEN 1 THEN CASE l_partkey % 2 WHEN 0 THEN 'A' ELSE 'D' END ELSE 'M' END AS status,
+    CASE l_linenumber % 4 WHEN 0 THEN 0 ELSE l_quantity::BIGINT END AS additions, CASE l_linenumber % 4 WHEN 0 THEN 0 ELSE l_partkey % 50 END::BIGINT AS deletions FROM lineitem
+) SELECT commit, path, old_path, status, additions, deletions FROM rows""",
         "snapshot_changes": f"""WITH {_SNAPSHOTS}
 SELECT commit, path, CASE d % 11 WHEN 0 THEN 'D' WHEN 1 THEN 'A' ELSE 'M' END AS status, CASE d % 11 WHEN 0 THEN 0 WHEN 1 THEN len(w) - gone + come ELSE come END::BIGINT AS additions, CASE d % 11 WHEN 0 THEN len(w) WHEN 1 THEN 0 ELSE gone END::BIGINT AS deletions
 FROM w JOIN edits USING (d) WHERE d % 11 <> 2 AND (d % 11 < 2 OR gone + come > 0)""",

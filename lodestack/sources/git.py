@@ -24,7 +24,8 @@ import re
 import subprocess
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 
 from lodestack.schemas import COMMITS, CONTENT, DIFF_FILES
@@ -196,6 +197,24 @@ def commit_content(root: str, commit: str, wanted: Wanted = _all) -> Iterator[tu
             yield commit, path, file_at(root, commit, path)
 
 
+def read_outputs(outputs: DataFrame) -> DataFrame:
+    """outputs(commit, numstat, name_status): what `git diff-tree -z` printed, kept from repositories that are not at hand.
+
+    Gives (commit, path, old_path, status, additions, deletions); a null numstat has no files, and what name_status lacks is M."""
+    names = ["commit", "path", "old_path", "status", "additions", "deletions"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for commit, numstat, name_status in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                statuses = _statuses(name_status or "")
+                rows += [(commit, path, old, statuses.get(path, "M"), added, deleted) for path, old, added, deleted in _entries(numstat or "")]
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n in ("additions", "deletions") else pa.string()) for n, c in zip(names, columns, strict=True)], names=names)
+
+    return outputs.select("commit", "numstat", "name_status").mapInArrow(run, "commit string, path string, old_path string, status string, additions int, deletions int")
+
+
 def _reaches(root: str, commit: str, from_commit: str) -> bool:
     return subprocess.run(["git", "-C", root, "merge-base", "--is-ancestor", commit, from_commit], capture_output=True).returncode == 0
 

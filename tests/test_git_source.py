@@ -107,3 +107,10 @@ def test_stream_reads_each_commit_once(spark, root, tmp_path):
 def test_stream_of_a_range_is_refused(spark, root):
     with pytest.raises(ValueError, match="one revision"):
         git._StreamReader({"path": str(root), "range": "A..B"})
+
+
+def test_outputs_kept_as_text(spark):
+    rows = [("c", "1\t2\ta b\0-\t-\t\0x\0y|z\0", "A\0a b\0R100\0x\0y|z\0", 1), ("d", None, None, 2), ("e", "3\t0\tq\0", "", 3)]
+    out = git.read_outputs(spark.createDataFrame(rows, "commit string, numstat string, name_status string, path int"))
+    assert sorted(map(tuple, out.collect())) == [("c", "a b", "", "A", 1, 2), ("c", "y|z", "x", "R", 0, 0), ("e", "q", "", "M", 3, 0)]
+    assert git.read_outputs(spark.createDataFrame([], "commit string, numstat string, name_status string")).count() == 0
