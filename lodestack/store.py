@@ -109,19 +109,18 @@ def write_context_documents(tables: dict[str, DataFrame], path: str) -> None:
 def write_index_documents(embeddings: DataFrame, path: str) -> None:
     """One JSON document {version, provider, dimension, embeddings: [...]} a repository and provider, in folders by both.
 
-    A document is as long as its repository has functions, so it is written line by line: head, vectors in order of id, end. No row or group holds it whole."""
-    good = embeddings.where("embedding is not null")
-    keys = ["repo_id", "provider", "dim"]
+    A document is as long as its repository has functions, so it is written line by line, in order of id: no row or group holds it whole. Head and end
+    stand with the first and the last vector, so that one window decides where all of a document goes."""
+    keys = ["repo_id", "by", "dimension"]
+    good = embeddings.where("embedding is not null").withColumnsRenamed({"provider": "by", "dim": "dimension"})
     element = F.struct("id", "file_path", F.col("func_name").alias("function_name"), "start_line", "end_line", "code", "embedding", "language")
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("id", "file_path", "start_line"))
-    rows = good.select(*keys, place.cast("long").alias("place"), F.to_json(element, {"ignoreNullFields": "false"}).alias("line"))
-    rows = rows.select(*keys, "place", F.concat(F.when(F.col("place") > 1, ",").otherwise(""), F.col("line")).alias("line"))
-    ends = good.select(*keys).distinct()
-    name = F.to_json(F.array("provider"))  # quoted as JSON wants it
-    head = F.concat(F.lit(f'{{"version": "{INDEX_VERSION}", "provider": '), F.substring(name, F.lit(2), F.length(name) - 2), F.lit(', "dimension": '), F.col("dim").cast("string"), F.lit(', "embeddings": ['))
-    lines = rows.unionByName(ends.select(*keys, F.lit(0).cast("long").alias("place"), head.alias("line"))).unionByName(ends.select(*keys, F.lit((1 << 63) - 1).alias("place"), F.lit("]}").alias("line")))
-    ordered = lines.repartition(*keys).sortWithinPartitions(*keys, "place")
-    ordered.select("repo_id", F.col("provider").alias("by"), F.col("dim").alias("dimension"), "line").write.partitionBy("repo_id", "by", "dimension").mode("overwrite").text(path)
+    order = Window.partitionBy(*keys).orderBy("id", "file_path", "start_line")
+    rows = good.select(*keys, "id", "file_path", "start_line", F.to_json(element, {"ignoreNullFields": "false"}).alias("element"))
+    placed = rows.withColumns({"is_first": F.row_number().over(order) == 1, "is_last": F.lead(F.lit(True), 1, False).over(order) == F.lit(False)})
+    name = F.to_json(F.array("by"))  # quoted as JSON wants it
+    head = F.concat(F.lit(f'{{"version": "{INDEX_VERSION}", "provider": '), F.substring(name, F.lit(2), F.length(name) - 2), F.lit(', "dimension": '), F.col("dimension").cast("string"), F.lit(', "embeddings": [\n'))
+    line = F.concat(F.when(F.col("is_first"), head).otherwise(","), "element", F.when(F.col("is_last"), "\n]}").otherwise(""))
+    placed.select(*keys, line.alias("line")).write.partitionBy(*keys).mode("overwrite").text(path)
 
 
 def read_index_document(spark: SparkSession, path: str) -> DataFrame:
