@@ -6,11 +6,12 @@ links, and no such link is lost. The steps:
 
 1. A count-min sketch tells which shingles two documents or more hold. A text can only
    have a similar one if most of its shingles are among those, all but the share that
-   THRESHOLD leaves; shingles of other texts are not kept.
+   THRESHOLD leaves; shingles of other texts are not kept. Where the shingles would fill the sketch,
+   sketches of one class of them at a time rule texts out first.
 2. Of those texts, fingerprints of the sets of single words (FINGERPRINTS of 64 bits) meet in
    the tables of a cover: all pairs RADIUS bits apart or less in any of them share a bucket.
-   In a bucket of up to COMPARE texts each is tested with the least and with the closest
-   of those before it; in a larger one with its neighbours in order of fingerprint. That
+   In a bucket of up to COMPARE texts each is linked with one of those before it, in a larger
+   one with its neighbour in order of fingerprint. That
    finds most links of large groups at a cost that grows with the texts, and none that
    is found there has to be found again.
 3. Contiguous edits move a fingerprint further than the similarity says. So texts meet again
@@ -60,6 +61,12 @@ THRESHOLD = 0.8
 COMPARE = 256
 #: Documents of one shingle from which it counts as common, and comes last in the order of prefixes.
 COMMON = 16
+#: Shingles that a sketch counts at once where one has no room for all, and letters of a text for each, about.
+CLASS_KEYS = 1 << 26
+LETTERS = 6
+#: Classes up to which one sketch is enough, and the share of the classes that are counted beyond.
+ONE_SKETCH = 3
+CLASS_SHARE = 0.4
 #: Bits of the width of the sketch of buckets that several components share.
 BUCKET_BITS = 24
 #: Words of 64 parities of a set of shingles.
@@ -154,6 +161,60 @@ def shared_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return repeated_cells(docs.select("text"), keys, COMMON)
 
 
+def n_classes(docs: DataFrame) -> int:
+    """In how many classes by hash shingles go, so that a sketch has CLASS_KEYS of one class at most, about."""
+    letters = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(1, -(-letters // (LETTERS * CLASS_KEYS)))
+
+
+def candidates_of(docs: DataFrame, threshold: float = THRESHOLD, classes: int | None = None) -> DataFrame:
+    """Of docs(doc_id, text) those that can have a similar one. Where one sketch has room for all shingles that is left to it, and all are returned.
+
+    Otherwise a sketch of one class of shingles at a time counts those that a text has alone, and a text goes of which more are
+    alone than THRESHOLD leaves. What it says is bounded from one side: shingles of classes that are not counted, and those that share
+    a cell, count as shared. Classes up to CLASS_SHARE of all are enough for texts that share little; further ones change little."""
+    classes = n_classes(docs) if classes is None else classes
+    if classes <= ONE_SKETCH:
+        return docs
+    keys = docs.select(doc_key().alias("doc_key"), text_key().alias("text_key"), "text")
+
+    def own(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray], list[int] | None]]:
+        for _, _, i, hashes, first in _words(column):
+            sets = shingle_hashes(hashes, first)
+            yield i, [np.unique(h[h % np.uint64(classes) == k]) for h in sets], [len(np.unique(h)) for h in sets] if k == 0 else None
+
+    def counted(k: int) -> DataFrame:
+        def of_class(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+            for _, sets, _ in own(batch.column(0), k):
+                yield np.concatenate([np.zeros(0, np.uint64), *sets])
+
+        bits, _ = repeated_cells(docs.select("text"), of_class)
+        shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, sets, sizes in own(batch.column(2), k):
+                    at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+                    alone = np.concatenate([[0], np.cumsum(~reached(np.concatenate([np.zeros(0, np.uint64), *sets]), shared.value))])
+                    n = len(sets)
+                    columns = [np.full(n, k), np.diff(alone[at]), np.zeros(n, np.int64) if sizes is None else np.array(sizes)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), batch.column(1).slice(i, n), *(pa.array(c, pa.int32()) for c in columns)], names=["doc_key", "text_key", "class", "alone", "size"])
+
+        out, _ = written(keys.mapInArrow(released(run), "doc_key long, text_key long, class int, alone int, size int"), "alone")
+        shared.destroy()
+        return out
+
+    parts = counted(0)
+    for k in range(1, -int(-CLASS_SHARE * classes // 1)):
+        parts = parts.unionAll(counted(k))
+    # rows that repeat id and text say the same
+    by_class = parts.groupBy("doc_key", "text_key", "class").agg(F.max("alone").alias("alone"), F.max("size").alias("size"))
+    kept = by_class.groupBy("doc_key", "text_key").agg(F.sum("alone").alias("alone"), F.sum("size").alias("size")).where(F.col("alone") <= F.col("size") - F.ceil(F.col("size") * threshold - _SLACK))
+    keyed = docs.select("doc_id", "text", doc_key().alias("doc_key"), text_key().alias("text_key"))
+    out, _ = written(keyed.join(kept.select("doc_key", "text_key"), ["doc_key", "text_key"], "left_semi").select("doc_id", "text"), "candidates")
+    return out
+
+
 def _shingles(docs: DataFrame, nodes: DataFrame, sketch: Broadcast | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """nodes(node, doc_key, text_key) -> (node, shingles): the distinct hashes of all shingles, ascending. With a sketch, of those texts alone that can have a similar one."""
 
@@ -254,8 +315,9 @@ def _candidates(nodes: DataFrame, radius: int) -> DataFrame:
         for a, n in zip(cut[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
             some, fps = node[a : a + n], fp[a : a + n].view(np.uint64)
             x, y = (bucket_links if n <= COMPARE else ordered_links)(fps, radius)
-            u.append(some[x])
-            v.append(some[y])
+            once = np.unique(x, return_index=True)[1]  # the first that each is near to: that holds a group together, and rows are no more than texts
+            u.append(some[x[once]])
+            v.append(some[y[once]])
         both = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, c])) for c in (0, 1)], names=["u", "v"])
 
@@ -381,7 +443,8 @@ def groups(docs: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD)
     """One row per document: doc_id, text_key, group_id and group_key.
 
     group_id is the least doc_id among the near duplicates that it is linked with, group_key the least text_key() of that id there."""
-    sketch = docs.sparkSession.sparkContext.broadcast(shared_shingles(docs))
+    some = candidates_of(docs.select("doc_id", "text"), threshold)
+    sketch = docs.sparkSession.sparkContext.broadcast(shared_shingles(some))
     profiles, _ = written(_profiles(docs), "profiles")
     both = ["text_hash", "text_hash2"]
     # the least document: an id goes before none, and of an id's texts the one of the least key
@@ -390,7 +453,7 @@ def groups(docs: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD)
     # one number for each distinct text, given as the table is written: ids can be null or repeat
     nodes, _ = written(copies.select(F.monotonically_increasing_id().alias("node"), *both, "first", "fps"), "nodes")
     keyed = nodes.select("node", F.xxhash64("first.doc_id", "first.text_key").alias("doc_key"), "first.text_key")
-    sets, _ = written(_shingles(docs, keyed, sketch, threshold), "shingles")
+    sets, _ = written(_shingles(some, keyed, sketch, threshold), "shingles")
     near, _ = written(_candidates(nodes.join(sets.select("node"), "node").select("node", "fps"), radius), "candidates")
     links, _ = written(_similar(near, sets, threshold), "links")
     for closest in (True, False):
