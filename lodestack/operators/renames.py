@@ -1,10 +1,10 @@
 """Renamed files of a change: deleted and added ones whose lines are mostly the same.
 
 The score of a deleted and an added file is the bytes of the lines that both have, repeats counted, by
-the bytes of the larger one. Files of equal content are matched first, by a join of hashes. Of the
-others a pair can only reach the least score if it shares a line among the first of both, in an
-order that begins with the lines of few files: so files meet by those lines and not by common ones, and
-only pairs that meet are scored. Matching goes in rounds: a pair that is the best for both its
+the bytes of the larger one. Files of equal content are matched first, by a join of hashes. The
+others are packed once in blocks of about a size; all pairs of blocks of a commit whose sizes can
+reach the least score meet in a Cartesian product, which reads them where they are stored, and what
+their files share is a product of matrices over the lines that both blocks have. Matching goes in rounds: a pair that is the best for both its
 files is a rename, and the rest goes on without them.
 
 Defined results: null contents count as empty; empty files match nothing; of equal scores the least paths, new before old, come
@@ -14,12 +14,22 @@ across commits.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.shared import stored
 
 LEAST = 0.5
+#: Files of a block at most, their bytes together, about, and the ratio of sizes that a block spans.
+BLOCK = 256
+BLOCK_BYTES = 32 << 20
+STEP = 1.25
+#: Lines that are counted at once.
+_COLUMNS = 1 << 13
 
 
 def _files(rows: DataFrame) -> DataFrame:
@@ -33,30 +43,71 @@ def _exact(old: DataFrame, new: DataFrame) -> DataFrame:
     return place(old, "old_path").join(place(new, "new_path"), ["commit", "hash", "k"]).select("commit", "old_path", "new_path")
 
 
-def _lines(rows: DataFrame) -> DataFrame:
-    """(commit, path, line, n, bytes, size): the distinct lines of each file by hash, with all bytes of each and of the file."""
-    line = F.explode(F.split("content", "\n")).alias("text")
-    counted = rows.select("commit", "path", line).groupBy("commit", "path", F.xxhash64("text").alias("line")).agg(F.count("*").alias("n"), F.max(F.octet_length("text") + 1).cast("long").alias("bytes"))
-    return counted.withColumn("size", F.sum(F.col("n") * F.col("bytes")).over(Window.partitionBy("commit", "path")))
-
-
-def _first_lines(lines: DataFrame, rarity: DataFrame, least: float) -> DataFrame:
-    """(commit, path, line) of the lines from which on a file has the bytes that a pair must share."""
-    order = Window.partitionBy("commit", "path").orderBy("files", "line").rowsBetween(0, Window.unboundedFollowing)
-    rest = F.sum(F.col("n") * F.col("bytes")).over(order)
-    return lines.join(rarity, ["commit", "line"]).withColumn("rest", rest).where(F.col("rest") >= least * F.col("size")).select("commit", "path", "line")
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(commit, files, least, most), stored: files of a commit and of about a size, at most BLOCK of them, each with the hash and the bytes of every line, and the least and the greatest size."""
+    files = rows.withColumn("size", (F.octet_length("content") + 1).cast("long"))
+    files = files.withColumn("step", F.floor(F.log("size") / F.log(F.lit(STEP))).cast("int"))
+    counts = files.groupBy("commit", "step").agg(F.count("*").alias("n"), F.max("size").alias("top"))
+    each = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES) / F.col("top"))))
+    placed = files.join(counts, ["commit", "step"]).withColumn("b", F.pmod(F.xxhash64("path"), F.ceil(F.col("n") / each)))
+    file = F.struct("path", "size", "content")
+    grouped = placed.groupBy("commit", "step", "b").agg(F.collect_list(file).alias("f"), F.min("size").alias("least"), F.max("size").alias("most"))
+    hashed = F.transform("f", lambda f: F.struct(f["path"].alias("path"), f["size"].alias("size"), F.transform(F.split(f["content"], "\n"), lambda x: F.struct(F.xxhash64(x).alias("line"), (F.octet_length(x) + 1).alias("bytes"))).alias("lines")))
+    return stored(grouped.select("commit", hashed.alias("files"), "least", "most"), "blocks")
+
+
+def _items(lines: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(file, item, bytes): the k-th occurrence of a line in a file is one item, so what two files share of repeats are items, too."""
+    size = lines.value_lengths().to_numpy()
+    flat = lines.flatten()
+    line, amount = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+    owner = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((line, owner))
+    line, amount = line[order], amount[order]  # the owners are in order already
+    at = np.arange(len(line))
+    first = np.concatenate([[True], (line[1:] != line[:-1]) | (owner[1:] != owner[:-1])])[: len(line)]
+    k = (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64)
+    return owner, line.view(np.uint64) + k * np.uint64(0x9E3779B97F4A7C15), amount
+
+
+def shared_bytes(old: pa.ListArray, new: pa.ListArray, most: int) -> np.ndarray:
+    """[old file, new file]: bytes of the lines that both have, repeats counted; `most`: the size of the largest file."""
+    (i, x, amount), (j, y, _) = _items(old), _items(new)
+    common, where = np.unique(x, return_index=True)
+    common, where = (c[np.isin(common, y)] for c in (common, where))
+    kind = np.float32 if most < 1 << 24 else np.float64  # whole numbers that it holds exactly
+    out = np.zeros((len(old), len(new)), kind)
+    for k in range(0, len(common), _COLUMNS):
+        some = common[k : k + _COLUMNS]
+        sides = []
+        for n, owner, item in ((len(old), i, x), (len(new), j, y)):
+            at = np.minimum(np.searchsorted(some, item), len(some) - 1)
+            mine = some[at] == item
+            m = np.zeros((n, len(some)), kind)
+            m[owner[mine], at[mine]] = 1
+            sides.append(m)
+        out += (sides[0] * amount[where[k : k + _COLUMNS]].astype(kind)) @ sides[1].T
+    return out
 
 
 def scores(deleted: DataFrame, added: DataFrame, least: float = LEAST) -> DataFrame:
     """deleted and added(commit, path, content) -> (commit, old_path, new_path, score) of all pairs of at least this score (above 0)."""
-    sides = [stored(_lines(_files(x)), "lines") for x in (deleted, added)]
-    rarity = stored(sides[0].unionByName(sides[1]).groupBy("commit", "line").agg(F.count("*").alias("files")), "rarity")
-    old, new = (_first_lines(x, rarity, least).withColumnRenamed("path", name) for x, name in zip(sides, ("old_path", "new_path"), strict=True))
-    pairs = old.join(new, ["commit", "line"]).select("commit", "old_path", "new_path").distinct()
-    a, b = (x.select("commit", F.col("path").alias(f"{s}_path"), "line", F.col("n").alias(f"{s}_n"), "bytes", F.col("size").alias(f"{s}_size")) for x, s in zip(sides, ("old", "new"), strict=True))
-    both = pairs.join(a, ["commit", "old_path"]).join(b.drop("bytes"), ["commit", "new_path", "line"])
-    shared: Column = F.sum(F.least("old_n", "new_n") * F.col("bytes")) / F.max(F.greatest("old_size", "new_size"))
-    return both.groupBy("commit", "old_path", "new_path").agg(shared.alias("score")).where(F.col("score") >= least)
+    old, new = (_blocks(_files(x)).alias(name) for x, name in ((deleted, "a"), (added, "b")))
+    # a smaller file has no more to share than it is long
+    can = F.expr(f"a.commit = b.commit AND a.most >= {float(least)!r}D * b.least AND b.most >= {float(least)!r}D * a.least")
+    pairs = old.hint("shuffle_replicate_nl").join(new, can).selectExpr("a.commit AS commit", "a.files AS x", "b.files AS y")
+    schema = pa.schema([("commit", pa.string()), ("old_path", pa.string()), ("new_path", pa.string()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for commit, x, y in zip(*batch.columns, strict=True):
+                a, b = x.values, y.values
+                largest = np.maximum(a.field(1).to_numpy()[:, None], b.field(1).to_numpy()[None, :])
+                score = shared_bytes(a.field(2), b.field(2), int(largest.max())) / largest.astype(np.float64)
+                i, j = np.nonzero(score >= least)
+                yield pa.RecordBatch.from_arrays([pa.array([commit.as_py()] * len(i), pa.string()), a.field(0).take(pa.array(i)), b.field(0).take(pa.array(j)), pa.array(score[i, j])], schema=schema)
+
+    return pairs.mapInArrow(run, "commit string, old_path string, new_path string, score double")
 
 
 def renames(deleted: DataFrame, added: DataFrame, least: float = LEAST) -> DataFrame:

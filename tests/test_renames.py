@@ -61,3 +61,14 @@ def test_renames_equal_a_plain_matching(spark):
 def test_renames_of_nothing(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert renames.renames(none, none).count() == 0
+
+
+def test_scores_shuffle_files_and_no_pairs(spark):
+    """Files that have all lines in common: pairs are made where blocks meet, and nothing is shuffled after that."""
+    rows = lambda side, n: spark.createDataFrame([("c", f"{side}{i}", "\n".join(["same"] * 3 + [f"line{k}" for k in range(i % 7, 20)])) for i in range(n)], "commit string, path string, content string")
+    out = renames.scores(rows("old", 40), rows("new", 30))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    size = lambda k: sum(len(f"line{x}") + 1 for x in range(k, 20)) + 15
+    got = {(r.old_path, r.new_path): r.score for r in out.collect()}
+    assert len(got) == 40 * 30 and all(abs(got[f"old{i}", f"new{j}"] - size(max(i % 7, j % 7)) / size(min(i % 7, j % 7))) < 1e-12 for i in range(40) for j in range(30))
