@@ -71,11 +71,13 @@ def symbol_table(files: DataFrame) -> DataFrame:
     """Go files of files(repo_id, path, content) -> (repo_id, path, folder, package, functions, outside, imports)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [symbols(t or "") for t in pdf["content"]]
-            kept = [i for i, x in enumerate(found) if x is not None]
-            rows = pd.DataFrame([found[i] for i in kept], columns=["package", "functions", "outside", "imports"])
-            yield pd.concat([pdf[["repo_id", "path"]].iloc[kept].reset_index(drop=True), rows], axis=1)
+        for whole in batches:
+            for at in range(0, len(whole), goparse.ROWS):
+                pdf = whole.iloc[at : at + goparse.ROWS]
+                found = [symbols(t or "") for t in pdf["content"]]
+                kept = [i for i, x in enumerate(found) if x is not None]
+                rows = pd.DataFrame([found[i] for i in kept], columns=["package", "functions", "outside", "imports"])
+                yield pd.concat([pdf[["repo_id", "path"]].iloc[kept].reset_index(drop=True), rows], axis=1)
 
     out = files.select("repo_id", "path", "content").mapInPandas(run, f"repo_id string, path string, {SYMBOLS}")
     return out.select("repo_id", "path", F.regexp_replace("path", "[^/]*$", "").alias("folder"), "package", "functions", "outside", "imports")
