@@ -30,6 +30,10 @@ BLOCK_BYTES = 32 << 20
 STEP = 1.25
 #: Lines that are counted at once.
 _COLUMNS = 1 << 13
+#: Partitions of packed blocks.
+_PARTS = 16
+#: Pairs that pass in their order without rounds before.
+FEW = 1 << 22
 
 
 def _files(rows: DataFrame) -> DataFrame:
@@ -49,7 +53,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     files = files.withColumn("step", F.floor(F.log("size") / F.log(F.lit(STEP))).cast("int"))
     counts = files.groupBy("commit", "step").agg(F.count("*").alias("n"), F.max("size").alias("top"))
     each = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES) / F.col("top"))))
-    placed = files.join(counts, ["commit", "step"]).withColumn("b", F.pmod(F.xxhash64("path"), F.ceil(F.col("n") / each)))
+    placed = files.join(counts, ["commit", "step"]).withColumn("b", F.pmod(F.xxhash64("path"), F.ceil(F.col("n") / each))).repartition(_PARTS, "commit", "step", "b")
     file = F.struct("path", "size", "content")
     grouped = placed.groupBy("commit", "step", "b").agg(F.collect_list(file).alias("f"), F.min("size").alias("least"), F.max("size").alias("most"))
     hashed = F.transform("f", lambda f: F.struct(f["path"].alias("path"), f["size"].alias("size"), F.transform(F.split(f["content"], "\n"), lambda x: F.struct(F.xxhash64(x).alias("line"), (F.octet_length(x) + 1).alias("bytes"))).alias("lines")))
@@ -110,21 +114,47 @@ def scores(deleted: DataFrame, added: DataFrame, least: float = LEAST) -> DataFr
     return pairs.mapInArrow(run, "commit string, old_path string, new_path string, score double")
 
 
+def _in_order(pairs: DataFrame) -> DataFrame:
+    """Of pairs by commit, the best first, those whose files no pair before has. A commit's pairs stream by; of its renames the paths are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        commit, olds, news = None, set(), set()
+        for batch in batches:
+            chosen = []
+            for k, (c, x, y) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
+                if c != commit:
+                    commit, olds, news = c, set(), set()
+                if x not in olds and y not in news:
+                    olds.add(x)
+                    news.add(y)
+                    chosen.append(k)
+            yield batch.take(pa.array(chosen, pa.int64()))
+
+    rows = pairs.select("commit", "old_path", "new_path", "score").repartition("commit").sortWithinPartitions("commit", F.desc("score"), "new_path", "old_path")
+    return rows.mapInArrow(run, pairs.select("commit", "old_path", "new_path", "score").schema)
+
+
+def matched(pairs: DataFrame, few: int = FEW) -> DataFrame:
+    """pairs(commit, old_path, new_path, score) -> those that are renames: by score, the best first, each file in one at most."""
+    found = None
+    by_old = Window.partitionBy("commit", "old_path").orderBy(F.desc("score"), "new_path", "old_path")
+    by_new = Window.partitionBy("commit", "new_path").orderBy(F.desc("score"), "old_path", "new_path")
+    before, n = None, pairs.count()
+    while n > few and (before is None or 2 * n <= before):
+        # the best pair of all is the best for both its files, so each round has one at least
+        best = pairs.withColumn("i", F.row_number().over(by_old)).withColumn("j", F.row_number().over(by_new)).where("i = 1 and j = 1").drop("i", "j")
+        best = stored(best, "renames")
+        found = best if found is None else found.unionByName(best)
+        pairs = stored(pairs.join(best.select("commit", "old_path"), ["commit", "old_path"], "left_anti").join(best.select("commit", "new_path"), ["commit", "new_path"], "left_anti"), "scores")
+        before, n = n, pairs.count()
+    rest = _in_order(pairs)
+    return rest if found is None else found.unionByName(rest)
+
+
 def renames(deleted: DataFrame, added: DataFrame, least: float = LEAST) -> DataFrame:
     """(commit, old_path, new_path, score): each file in one pair at most."""
     old, new = stored(_files(deleted), "old"), stored(_files(added), "new")
     exact = stored(_exact(old, new), "exact")
     left = old.join(exact.withColumnRenamed("old_path", "path"), ["commit", "path"], "left_anti")
     right = new.join(exact.withColumnRenamed("new_path", "path"), ["commit", "path"], "left_anti")
-    open_pairs = stored(scores(left, right, least), "scores")
-    found = exact.withColumn("score", F.lit(1.0))
-    by_old = Window.partitionBy("commit", "old_path").orderBy(F.desc("score"), "new_path", "old_path")
-    by_new = Window.partitionBy("commit", "new_path").orderBy(F.desc("score"), "old_path", "new_path")
-    while not open_pairs.isEmpty():
-        # the best pair of all is the best for both its files, so each round has one at least
-        best = open_pairs.withColumn("i", F.row_number().over(by_old)).withColumn("j", F.row_number().over(by_new)).where("i = 1 and j = 1").drop("i", "j")
-        best = stored(best, "renames")
-        found = found.unionByName(best)
-        rest = open_pairs.join(best.select("commit", "old_path"), ["commit", "old_path"], "left_anti").join(best.select("commit", "new_path"), ["commit", "new_path"], "left_anti")
-        open_pairs = stored(rest, "scores")
-    return found
+    return exact.withColumn("score", F.lit(1.0)).unionByName(matched(stored(scores(left, right, least), "scores")))
