@@ -74,16 +74,16 @@ def rename_scores(spark, sf_dir):
 
 def _snapshots(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A file a document, a word a line: of eleven one goes, one comes, one stays, and eight lose some lines and get others."""
-    docs = table(spark, sf_dir, "documents").selectExpr("concat('c', cast(doc_id % 50 AS string)) AS commit", "concat('f', cast(doc_id AS string)) AS path", "doc_id", "split(replace(coalesce(text, ''), '\n', ' '), ' ') AS w")
-    edited = "flatten(transform(w, (x, i) -> concat(IF(i % 10 < doc_id % 4, array(), array(x)), IF(i % 7 = 3, array(concat('+new', cast(doc_id AS string), '_', cast(i AS string))), array()))))"
-    text = lambda words: f"array_join(transform({words}, x -> concat(x, '\n')), '') AS content"
-    old = docs.where("doc_id % 11 <> 1").selectExpr("commit", "path", text("w"))
-    return old, docs.where("doc_id % 11 <> 0").selectExpr("commit", "path", text(f"IF(doc_id % 11 = 2, w, {edited})"))
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "coalesce(text, '') AS text")
+    whole = "concat(translate(text, ' ', '\n'), '\n')"
+    edited = "array_join(transform(split(translate(text, '\n', ' '), ' '), (x, i) -> concat(IF(i % 10 < doc_id % 4, '', concat(x, '\n')), IF(i % 7 = 3, concat('+new', cast(doc_id AS string), '_', cast(i AS string), '\n'), ''))), '')"
+    side = lambda rows, content: docs.where(rows).selectExpr("concat('c', cast(doc_id % 50 AS string)) AS commit", "concat('f', cast(doc_id AS string)) AS path", f"{content} AS content")
+    return side("doc_id % 11 <> 1", whole), side("doc_id % 11 <> 0", f"IF(doc_id % 11 = 2, {whole}, {edited})")
 
 
 def snapshot_changes(spark, sf_dir):
     """Files that differ between two snapshots, with the lines of a shortest edit."""
-    out = snapshots.diff(*_snapshots(spark, sf_dir), least=None)
+    out = snapshots.diff(*_snapshots(spark, sf_dir), least=None, patches=False)
     return out.select("commit", "path", "status", F.col("additions").cast("long").alias("additions"), F.col("deletions").cast("long").alias("deletions"))
 
 
