@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions.scalar import has_invalid_name, is_generic_name
@@ -11,22 +11,46 @@ MAX_COMPLEXITY = 10
 MAX_LENGTH = 50
 
 
-def _issue(functions: DataFrame, kind: str, severity: str, message, suggestion: str | None) -> DataFrame:
-    return functions.select("repo_id", "file_path", F.lit(kind).alias("type"), F.lit(severity).alias("severity"), F.col("start_line").alias("line"), message.alias("message"), F.lit(suggestion).cast("string").alias("suggestion"))
+# What an issue has besides its file.
+_COLUMNS = ("type", "severity", "line", "message", "suggestion")
 
 
-def complexity_issues(functions: DataFrame, most: int = MAX_COMPLEXITY) -> DataFrame:
+def _columns(kind: str, severity: str, message: Column, suggestion: str | None) -> list[Column]:
+    values = (F.lit(kind), F.lit(severity), F.col("start_line"), message, F.lit(suggestion).cast("string"))
+    return [value.alias(name) for name, value in zip(_COLUMNS, values, strict=True)]
+
+
+def _issue(functions: DataFrame, kind: str, severity: str, message: Column, suggestion: str | None) -> DataFrame:
+    return functions.select("repo_id", "file_path", *_columns(kind, severity, message, suggestion))
+
+
+def complexity_issue(most: int) -> tuple[Column, Column]:
+    """Whether a function has the issue, and the issue."""
     message = F.format_string("Function '%s' has high complexity: %d", "name", "complexity")
-    return _issue(functions.where(F.col("complexity") > most), "complexity", "warning", message, "Consider breaking down this function into smaller functions")
+    return F.col("complexity") > most, F.struct(*_columns("complexity", "warning", message, "Consider breaking down this function into smaller functions"))
 
 
-def length_issues(functions: DataFrame, most: int = MAX_LENGTH) -> DataFrame:
+def length_issue(most: int) -> tuple[Column, Column]:
+    """Whether a function has the issue, and the issue."""
     message = F.format_string("Function '%s' is too long: %d lines", "name", "loc")
-    return _issue(functions.where(F.col("loc") > most), "function_length", "warning", message, "Consider refactoring into smaller functions")
+    return F.col("loc") > most, F.struct(*_columns("function_length", "warning", message, "Consider refactoring into smaller functions"))
+
+
+def complexity_issues(functions: DataFrame, most: int = MAX_COMPLEXITY) -> DataFrame:
+    test, issue = complexity_issue(most)
+    return functions.where(test).select("repo_id", "file_path", issue.alias("issue")).select("repo_id", "file_path", *[f"issue.{c}" for c in _COLUMNS])
+
+
+def length_issues(functions: DataFrame, most: int = MAX_LENGTH) -> DataFrame:
+    test, issue = length_issue(most)
+    return functions.where(test).select("repo_id", "file_path", issue.alias("issue")).select("repo_id", "file_path", *[f"issue.{c}" for c in _COLUMNS])
 
 
 def issues(functions: DataFrame, most_complexity: int = MAX_COMPLEXITY, most_length: int = MAX_LENGTH) -> DataFrame:
-    return complexity_issues(functions, most_complexity).unionByName(length_issues(functions, most_length))
+    """Complexity and length issues; what `functions` costs is paid once."""
+    kinds = [complexity_issue(most_complexity), length_issue(most_length)]
+    found = F.array_compact(F.array(*[F.when(test, issue) for test, issue in kinds]))
+    return functions.select("repo_id", "file_path", F.explode(found).alias("issue")).select("repo_id", "file_path", *[f"issue.{c}" for c in _COLUMNS])
 
 
 def naming_issues(functions: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ def analyse(files: DataFrame, config: Config | None = None, provider: embed.Prov
     """files(repo_id, path, content) -> tables by name. Sources are parsed once, here; the rest is lazy. A file whose Go source is unparseable counts in none but `errors`."""
     config = config or Config()
     sources = languages.source_files(files)
-    parsed = stored(goparse.parse_go(sources.where("language = 'Go'")).drop("content"), "parsed")
+    parsed = stored(goparse.parse_go(sources.where("language = 'Go'"), with_content=False), "parsed")
     bad = parsed.where("error is not null").select("repo_id", "path", "error")
     good = sources.join(bad, ["repo_id", "path"], "left_anti")
     functions, structs = goparse.functions_of(parsed), goparse.structs_of(parsed)
