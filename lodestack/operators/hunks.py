@@ -79,8 +79,8 @@ def changed_ranges(diff_files: DataFrame) -> DataFrame:
     return diff_files.select(*keys, "patch").mapInArrow(run, schema).select(*keys, F.explode("r").alias("r")).select(*keys, "r.first", "r.last")
 
 
-def touched_functions(functions: DataFrame, diff_files: DataFrame) -> DataFrame:
-    """functions(repo_id, file_path, start_line, end_line, ...) that a change meets, with its commit; a function once for each commit."""
+def touched_functions(functions: DataFrame, diff_files: DataFrame, once: bool = True) -> DataFrame:
+    """functions(repo_id, file_path, start_line, end_line, ...) that a change meets, with its commit; a function once for each commit, or as often as they meet."""
     changed = changed_ranges(diff_files)
     with_repo = "repo_id" in changed.columns
     bins = lambda low, high: F.explode(F.sequence(F.floor(low / BIN), F.floor(high / BIN))).alias("bin")
@@ -90,4 +90,5 @@ def touched_functions(functions: DataFrame, diff_files: DataFrame) -> DataFrame:
     meets = (F.col("f.file_path") == F.col("change_path")) & (F.col("bin") == F.col("change_bin")) & (F.col("f.start_line") <= F.col("last")) & (F.col("f.end_line") >= F.col("first"))
     if with_repo:
         meets &= F.col("f.repo_id").eqNullSafe(F.col("change_repo_id"))
-    return left.join(right, meets).select(F.col("change_commit").alias("commit"), "f.*").distinct()
+    out = left.join(right, meets).select(F.col("change_commit").alias("commit"), "f.*")
+    return out.distinct() if once else out

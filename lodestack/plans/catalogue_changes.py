@@ -40,7 +40,8 @@ def touched_functions(spark, sf_dir):
 
 def touched_issues(spark, sf_dir):
     """Issues of touched functions alone."""
-    return rules.issues(hunks.touched_functions(virtual_functions(spark, sf_dir), _patches(spark, sf_dir)).drop("commit").distinct()).select("file_path", "type", "line", "message").distinct()
+    functions = virtual_functions(spark, sf_dir).select("repo_id", "file_path", "name", "start_line", "end_line", "loc", "complexity")
+    return rules.issues(hunks.touched_functions(functions, _patches(spark, sf_dir), once=False)).select("file_path", "type", "line", "message").distinct()
 
 
 def incremental_metrics(spark, sf_dir):
