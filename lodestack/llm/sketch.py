@@ -14,12 +14,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodestack.llm.storage import drop, written
 from lodestack.llm.textblock import release, released
 
 #: Cells of a row of the sketch. The merged bits take DEPTH * 2^WIDTH_BITS / 8 bytes (32 MB) and 1/32 of that, whatever the input.
 WIDTH_BITS = 27
 DEPTH = 2
 SLICE_BITS = 21
+#: Slices (4 MB as counts, 256 KB as bits) that a task merges, about.
+SLICES_A_TASK = 8
 #: Occurrences from which a key counts as heavy.
 HEAVY = 1000
 #: Neighbouring cells that share a bit for heavy ones (2^FOLD_BITS): those are few.
@@ -82,11 +85,14 @@ def repeated_cells(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[n
             bits = [pa.array([np.packbits(x, bitorder="little").tobytes()], pa.binary()) for x in (counts >= 2, many)]
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *bits], names=["slice", "bits", "heavy"])
 
-    merged = df.mapInArrow(released(count), "slice int, cells binary").repartition("slice").mapInArrow(released(merge), "slice int, bits binary, heavy binary")
     slices = DEPTH << (width_bits - SLICE_BITS)
+    # a number of partitions that is asked for stays: few cells would all be merged in one task, and all bits come to the driver at once
+    counted = df.mapInArrow(released(count), "slice int, cells binary").repartition(-(-slices // SLICES_A_TASK), "slice")
+    merged, path = written(counted.mapInArrow(released(merge), "slice int, bits binary, heavy binary"), "sketch")
     twice, many = (np.zeros((slices, 1 << (SLICE_BITS - 3 - fold)), np.uint8) for fold in (0, FOLD_BITS))
     for r in merged.toLocalIterator():  # DEPTH * 64 rows at most
         twice[r["slice"]], many[r["slice"]] = np.frombuffer(r["bits"], np.uint8), np.frombuffer(r["heavy"], np.uint8)
+    drop(df.sparkSession, path)
     release()
     return twice.reshape(DEPTH, -1), many.reshape(DEPTH, -1)
 
