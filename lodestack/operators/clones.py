@@ -22,6 +22,7 @@ are not looked at.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
-from lodestack.operators.goparse import TOKEN
+from lodestack.operators.goparse import ROWS, TOKEN
 from lodestack.shared import stored
 
 #: Tokens of the shortest clone, and hashes of which one is kept at least.
@@ -41,6 +42,12 @@ HOT_SHARE = 1024
 SALTS = 64
 #: Tokens whose windows are looked at together.
 _CHUNK = 1 << 15
+#: Letters of tokens that are kept while a task runs, and how many are.
+_SHORT, _KNOWN = 32, 1 << 16
+_BREAK = re.compile("\n")
+#: Tasks that the pairs of one earlier file are dealt to at most, and pairs that a task takes, about.
+SHARES = 256
+PAIRS_A_TASK = 4096
 
 # Keywords of Go, and its operators of more than one character.
 KEYWORDS = (
@@ -53,27 +60,34 @@ _CODES = {t: _FIRST + i for i, t in enumerate([*KEYWORDS, *OPERATORS])}
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1 << 10)], np.uint64)
 
 
-def tokens(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token: its code, a hash of it as it stands, its first and its last line."""
-    codes, exact, first, last, seen = [], [], [], [], {}
-    line, at = 1, 0
+def _token(kind: str, t: str) -> tuple[int, int]:
+    """A token's code, and a hash of it as it stands."""
+    if kind == "word":
+        code = _CODES.get(t, _NAME)
+    else:
+        code = _NUMBER if kind == "number" else _STRING if kind == "string" else _CODES.get(t) or 4 + ord(t[0]) % 251
+    return code, int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def tokens(text: str, known: dict[str, tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token: its code, a hash of it as it stands, its first and its last line. known: short tokens that were seen, as sources share most."""
+    known = {} if known is None else known
+    found, spans = [], []
     for m in TOKEN.finditer(text):
-        kind, t = m.lastgroup, m.group()
-        line += text.count("\n", at, m.start())
-        at = m.start()
-        if kind == "comment":
-            continue
-        if kind == "word":
-            code = _CODES.get(t, _NAME)
-        else:
-            code = _NUMBER if kind == "number" else _STRING if kind == "string" else _CODES.get(t) or 4 + ord(t[0]) % 251
-        if t not in seen:
-            seen[t] = int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-        codes.append(code)
-        exact.append(seen[t])
-        first.append(line)
-        last.append(line + t.count("\n"))
-    return np.array(codes, np.int16), np.array(exact, np.int64), np.array(first, np.int32), np.array(last, np.int32)
+        t = m.group()
+        of_t = known.get(t)  # no two kinds of token are written the same
+        if of_t is None:
+            if m.lastgroup == "comment":
+                continue
+            of_t = _token(m.lastgroup, t)
+            if len(t) <= _SHORT and len(known) < _KNOWN:
+                known[t] = of_t
+        found.append(of_t)
+        spans.append(m.span())
+    codes, exact = np.array(found, np.int64).reshape(-1, 2).T
+    breaks = np.array([m.start() for m in _BREAK.finditer(text)], np.int64)
+    lines = np.searchsorted(breaks, np.array(spans, np.int64).reshape(-1, 2)).astype(np.int32) + np.int32(1)
+    return codes.astype(np.int16), np.ascontiguousarray(exact), np.ascontiguousarray(lines[:, 0]), np.ascontiguousarray(lines[:, 1])
 
 
 def fingerprints(codes: np.ndarray, least: int = LEAST, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -120,23 +134,36 @@ def streams(files: DataFrame) -> DataFrame:
     schema = StructType([files.schema["repo_id"], files.schema["path"], *STREAM.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                arrays = tokens(batch.column(2)[i].as_py() or "")
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), *(pa.array([x.tobytes()], pa.binary()) for x in arrays)], names=schema.names)
-
-    rows = files.select("repo_id", "path", "content").mapInArrow(run, schema)
+        known: dict[str, tuple[int, int]] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                arrays = zip(*(tokens(t or "", known) for t in batch.column(2).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x.tobytes() for x in column], pa.binary()) for column in arrays)], names=schema.names)
+
+    # stored first: a sort by ranges reads its rows twice
+    rows = stored(files.select("repo_id", "path", "content").mapInArrow(run, schema), "tokens")
     return stored(rows.repartitionByRange("repo_id", "path").sortWithinPartitions("repo_id", "path", "exact").withColumn("file", F.monotonically_increasing_id()), "streams")
 
 
 def seeds(found: DataFrame, least: int = LEAST, window: int = WINDOW) -> DataFrame:
     """streams -> (file_a, at_a, file_b, at_b): each place of a fingerprint with the first one."""
 
+    def places_of(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["hash", "file", "at"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h, at = fingerprints(np.frombuffer(codes, np.int16), least, window)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), file, np.int64)), pa.array(at)], names=["hash", "file", "at"])
+            held, amount = [], 0
+            for file, codes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h, at = fingerprints(np.frombuffer(codes.as_buffer(), np.int16), least, window)
+                held.append((h, np.full(len(h), file, np.int64), at))
+                amount += len(h)
+                if amount > _CHUNK:
+                    yield places_of(held)
+                    held, amount = [], 0
+            if held:
+                yield places_of(held)
 
     places = stored(found.select("file", "codes").mapInArrow(run, "hash long, file long, at long"), "fingerprints")
     firsts = stored(places.groupBy("hash").agg(F.min(F.struct("file", "at")).alias("a"), F.count("*").alias("n")).where("n > 1"), "firsts")
@@ -174,8 +201,8 @@ def _spans(a: dict[str, np.ndarray], b: dict[str, np.ndarray], starts: list[tupl
         reached = max(reached, j + n)
         x, y = a["exact"][i : i + n], b["exact"][j : j + n]
         names = a["codes"][i : i + n] == _NAME
-        pairs = np.unique(np.stack([x[names], y[names]], axis=1), axis=0)
-        one_to_one = len(pairs) == len(np.unique(pairs[:, 0])) == len(np.unique(pairs[:, 1]))
+        mine, other = x[names].tolist(), y[names].tolist()
+        one_to_one = len(set(zip(mine, other, strict=True))) == len(set(mine)) == len(set(other))
         out[i, j] = {
             "at_a": i, "at_b": j, "start_a": int(a["first"][i]), "end_a": int(a["last"][i + n - 1]), "start_b": int(b["first"][j]), "end_b": int(b["last"][j + n - 1]),
             "tokens": n, "same": int((x == y).sum()), "consistent": bool(one_to_one),
@@ -188,20 +215,38 @@ def clone_pairs(files: DataFrame, least: int = LEAST, window: int = WINDOW) -> D
 
     Lines are inclusive. similarity: share of tokens that are the same as they stand. consistent: names correspond one to one."""
     found = streams(files)
-    pairs = chains(seeds(found, least, window), least)
-    side = lambda s: found.select(F.col("file").alias(f"file_{s}"), F.col("repo_id").alias(f"repo_{s}"), F.col("path").alias(f"path_{s}"), F.struct(*STREAM.names).alias(s))
-    names = ["repo_a", "path_a", "repo_b", "path_b", "file_a", "file_b"]
-    both = pairs.join(side("a"), "file_a").join(side("b"), "file_b").select(*names, "a", "b", "starts")
+    share = F.pmod("file_b", F.lit(SHARES)).cast("int").alias("share")
+    pairs = stored(chains(seeds(found, least, window), least).select("file_a", share, "file_b", "starts"), "pairs")
+    # the stream of an earlier file goes to each share of its later ones once, before them; pairs are small, so bytes do not say how much work they are
+    firsts = stored(pairs.select("file_a", "share").distinct(), "earlier")
+    no = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
+    a = firsts.join(found, F.col("file") == F.col("file_a")).select("file_a", "share", no(pairs, "file_b").alias("file_b"), "repo_id", "path", *STREAM.names, no(pairs, "starts").alias("starts"))
+    b = pairs.join(found, F.col("file") == F.col("file_b")).select("file_a", "share", "file_b", "repo_id", "path", *STREAM.names, "starts")
+    n_tasks = -(-max(pairs.count(), 1) // PAIRS_A_TASK)
+    both = a.unionAll(b).repartition(n_tasks, "file_a", "share").sortWithinPartitions("file_a", "share", "file_b")  # nulls are first
     kinds = {"codes": np.int16, "exact": np.int64, "first": np.int32, "last": np.int32}
-    schema = StructType([*both.schema.fields[: len(names)], StructField("spans", ArrayType(SPAN))])
+    names = ["repo_a", "path_a", "repo_b", "path_b", "file_a", "file_b"]
+    place = [files.schema["repo_id"].dataType, files.schema["path"].dataType]
+    schema = StructType([StructField(c, t) for c, t in zip(names, [*place, *place, LongType(), LongType()], strict=True)] + [StructField("spans", ArrayType(SPAN))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.list_(pa.struct([(f.name, pa.bool_() if f.name == "consistent" else pa.int64()) for f in SPAN]))
+        earlier: dict = {}  # a task holds the tokens of an earlier file, and a later one's at a time
         for batch in batches:
-            for i in range(batch.num_rows):  # a row holds the tokens of two files
-                a, b = ({k: np.frombuffer(v, kinds[k]) for k, v in batch.column(len(names) + c)[i].as_py().items()} for c in (0, 1))
-                starts = sorted(((s["at_a"], s["at_b"]) for s in batch.column(len(names) + 2)[i].as_py()), key=lambda s: (s[1], s[0]))
-                rows = _spans(a, b, starts, batch.column(4)[i].as_py() == batch.column(5)[i].as_py(), least)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in range(len(names))), pa.array([rows], pa.list_(pa.struct([(f.name, pa.bool_() if f.name == "consistent" else pa.int64()) for f in SPAN])))], names=schema.names)
+            column = {c: batch.column(k) for k, c in enumerate(batch.schema.names)}
+            out: list[tuple] = []
+            files_a, files_b = column["file_a"].to_pylist(), column["file_b"].to_pylist()
+            repos, paths = column["repo_id"].to_pylist(), column["path"].to_pylist()
+            for i, (file_a, file_b) in enumerate(zip(files_a, files_b, strict=True)):
+                stream = {k: np.frombuffer(column[k][i].as_buffer(), t) for k, t in kinds.items()}
+                if file_b is None:
+                    earlier = {"repo": repos[i], "path": paths[i], "stream": {k: v.copy() for k, v in stream.items()}}
+                    continue
+                starts = sorted(((s["at_a"], s["at_b"]) for s in column["starts"][i].as_py()), key=lambda s: (s[1], s[0]))
+                spans = _spans(earlier["stream"], stream, starts, file_a == file_b, least)
+                out.append((earlier["repo"], earlier["path"], repos[i], paths[i], file_a, file_b, spans))
+            types = [column["repo_id"].type, column["path"].type] * 2 + [pa.int64(), pa.int64(), span]
+            yield pa.RecordBatch.from_arrays([pa.array([row[k] for row in out], t) for k, t in enumerate(types)], names=schema.names)
 
     spans = both.mapInArrow(run, schema).select(*names, F.explode("spans").alias("s")).withColumn("end", F.col("s.at_b") + F.col("s.tokens"))
     before = Window.partitionBy("file_b").orderBy("s.at_b", F.desc("end"), "file_a", "s.at_a").rowsBetween(Window.unboundedPreceding, -1)
@@ -211,13 +256,12 @@ def clone_pairs(files: DataFrame, least: int = LEAST, window: int = WINDOW) -> D
 
 def clone_classes(pairs: DataFrame) -> DataFrame:
     """(repo_id, path, start_line, end_line, tokens, n_places, n_files, least_similarity): stretches that others are clones of."""
-    rows = pairs.groupBy(F.col("repo_a").alias("repo_id"), F.col("path_a").alias("path"), F.col("start_a").alias("start_line"), F.col("end_a").alias("end_line"))
-    # places in the stretch's own file, itself included, and the files besides
-    by_file = pairs.select("repo_a", "path_a", "start_a", "end_a", "repo_b", "path_b").distinct().groupBy("repo_a", "path_a", "start_a", "end_a").agg(
-        (F.count_if(~(F.col("repo_b").eqNullSafe(F.col("repo_a")) & F.col("path_b").eqNullSafe(F.col("path_a")))) + 1).alias("n_files"))
-    out = rows.agg(F.max("tokens").alias("tokens"), (F.count("*") + 1).alias("n_places"), F.min("similarity").alias("least_similarity"))
-    same = F.col("repo_id").eqNullSafe(F.col("repo_a")) & F.col("path").eqNullSafe(F.col("path_a")) & (F.col("start_line") == F.col("start_a")) & (F.col("end_line") == F.col("end_a"))
-    return out.join(by_file, same).select("repo_id", "path", "start_line", "end_line", "tokens", "n_places", "n_files", "least_similarity")
+    # places in the stretch's own file, itself included, and the files besides; the pairs are made once
+    of = ["repo_a", "path_a", "start_a", "end_a"]
+    by_file = pairs.groupBy(*of, "repo_b", "path_b").agg(F.max("tokens").alias("tokens"), F.count("*").alias("n"), F.min("similarity").alias("similarity"))
+    elsewhere = ~(F.col("repo_b").eqNullSafe(F.col("repo_a")) & F.col("path_b").eqNullSafe(F.col("path_a")))
+    out = by_file.groupBy(*of).agg(F.max("tokens").alias("tokens"), (F.sum("n") + 1).alias("n_places"), (F.count_if(elsewhere) + 1).alias("n_files"), F.min("similarity").alias("least_similarity"))
+    return out.withColumnsRenamed({"repo_a": "repo_id", "path_a": "path", "start_a": "start_line", "end_a": "end_line"})
 
 
 def duplication_issues(pairs: DataFrame) -> DataFrame:
