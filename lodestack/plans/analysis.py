@@ -16,9 +16,9 @@ def analyse(files: DataFrame, config: Config | None = None, provider: embed.Prov
     sources = languages.source_files(files)
     parsed = stored(goparse.parse_go(sources.where("language = 'Go'"), with_content=False), "parsed")
     bad = parsed.where("error is not null").select("repo_id", "path", "error")
-    good = sources.join(bad, ["repo_id", "path"], "left_anti")
     functions, structs = goparse.functions_of(parsed), goparse.structs_of(parsed)
-    counted = lines.line_metrics(good).drop("content")
+    # numbers meet what is unparseable, not contents; an anti join would be moved below the counting
+    counted = lines.line_metrics(sources).drop("content").join(bad.select("repo_id", "path", F.lit(True).alias("is_bad")), ["repo_id", "path"], "left").where("is_bad is null").drop("is_bad")
     stats = metrics.file_function_stats(counted, functions).withColumnRenamed("file_path", "path")
     n_structs = structs.groupBy("repo_id", F.col("file_path").alias("path")).agg(F.count("*").alias("class_count"))
     file_metrics = counted.join(stats, ["repo_id", "path"]).join(n_structs, ["repo_id", "path"], "left").withColumn("class_count", F.coalesce("class_count", F.lit(0)))
@@ -28,3 +28,9 @@ def analyse(files: DataFrame, config: Config | None = None, provider: embed.Prov
         "file_metrics": file_metrics, "functions": functions, "structs": structs, "imports": goparse.imports_of(parsed),
         "issues": rules.issues(functions, config.analysis.complexity_threshold, config.analysis.max_function_length), "totals": metrics.repo_totals(file_metrics), "errors": bad,
     } | ({"embeddings": embed.embed(embed.describe(functions), provider)} if provider else {})
+
+
+def detected_once(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """tables of analyse() whose frameworks are stored, for a use that wants the patterns, too: both come from a scan of all contents."""
+    detected = stored(tables["frameworks"], "detected")
+    return tables | {"frameworks": detected, "patterns": frameworks.patterns(detected)}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestack import store
 from lodestack.operators import clones, embed, goparse, parsers, unused
-from lodestack.plans.analysis import analyse
+from lodestack.plans.analysis import analyse, detected_once
 from lodestack.plans.catalogue_sources import LetterProvider
 from lodestack.plans.views import table
 from lodestack.shared import folder
@@ -114,7 +114,7 @@ def index_documents(spark, sf_dir):
 def context_documents(spark, sf_dir):
     """Contexts, written as one JSON document a repository and read again."""
     path = f"{folder(spark)}/lodestack/context-{uuid.uuid4().hex}"
-    store.write_context_documents(analyse(calling_files(spark, sf_dir)), path)
+    store.write_context_documents(detected_once(analyse(calling_files(spark, sf_dir))), path)
     back = spark.read.schema("detection struct<languages:map<string,long>>, analysis struct<totals:struct<function_count:long>,total_issues:long>, repo_id string").json(path)
     return back.selectExpr("repo_id", "detection.languages['Go'] AS n_go", "analysis.totals.function_count AS n_functions", "analysis.total_issues AS n_issues")
 
