@@ -2,10 +2,10 @@
 
 The score of a deleted and an added file is the bytes of the lines that both have, repeats counted, by
 the bytes of the larger one. Files of equal content are matched first, by a join of hashes. The
-others are packed once in blocks of about a size; all pairs of blocks of a commit whose sizes can
-reach the least score meet in a Cartesian product, which reads them where they are stored, and what
-their files share is a product of matrices over the lines that both blocks have. Matching goes in rounds: a pair that is the best for both its
-files is a rename, and the rest goes on without them.
+others are packed once in blocks of about a size, which hold a line of many files once; all pairs of blocks of a commit
+whose sizes can reach the least score meet in Cartesian products of a share of the commits each, which read them where they are stored.
+A line that few files of two blocks have adds to their pairs one by one, others as products of matrices. Matching goes in rounds: a pair
+that is the best for both its files is a rename, and the rest goes on without them.
 
 Defined results: null contents count as empty; empty files match nothing; of equal scores the least paths, new before old, come
 first; rows that repeat commit and path count once, with the greatest content; all work is by commit, so nothing matches
@@ -21,17 +21,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestack import shared
 from lodestack.shared import stored
 
 LEAST = 0.5
-#: Files of a block at most, their bytes together, about, and the ratio of sizes that a block spans.
-BLOCK = 256
-BLOCK_BYTES = 32 << 20
-STEP = 1.25
-#: Lines that are counted at once.
-_COLUMNS = 1 << 13
-#: Partitions of packed blocks.
-_PARTS = 16
+#: Files of a block at most, their lines together, about, and bytes of contents from which blocks are packed at once, about.
+BLOCK = 1 << 10
+BLOCK_LINES = 1 << 18
+SLICE_BYTES = 16 << 20
+#: Contents of a share of the commits, about, and shares at most.
+SHARE_BYTES = 32 << 20
+SHARES = 32
+#: Matrix columns at once, and pairs of files that meet one by one at once, about.
+_COLUMNS = 1 << 11
+_CROSS = 1 << 18
+#: Partitions in which blocks are packed, at least and at most.
+_PARTS = 16, 4096
+#: Seconds, about: a multiplication in a matrix, a pair that meets alone, a pair of a line's own table, such a table.
+_TIMES = 7e-11, 2e-8, 3e-9, 2e-5
 #: Pairs that pass in their order without rounds before.
 FEW = 1 << 22
 
@@ -47,69 +54,167 @@ def _exact(old: DataFrame, new: DataFrame) -> DataFrame:
     return place(old, "old_path").join(place(new, "new_path"), ["commit", "hash", "k"]).select("commit", "old_path", "new_path")
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """(commit, files, least, most), stored: files of a commit and of about a size, at most BLOCK of them, each with the hash and the bytes of every line, and the least and the greatest size."""
-    files = rows.withColumn("size", (F.octet_length("content") + 1).cast("long"))
-    files = files.withColumn("step", F.floor(F.log("size") / F.log(F.lit(STEP))).cast("int"))
-    counts = files.groupBy("commit", "step").agg(F.count("*").alias("n"), F.max("size").alias("top"))
-    each = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES) / F.col("top"))))
-    placed = files.join(counts, ["commit", "step"]).withColumn("b", F.pmod(F.xxhash64("path"), F.ceil(F.col("n") / each))).repartition(_PARTS, "commit", "step", "b")
-    file = F.struct("path", "size", "content")
-    grouped = placed.groupBy("commit", "step", "b").agg(F.collect_list(file).alias("f"), F.min("size").alias("least"), F.max("size").alias("most"))
-    hashed = F.transform("f", lambda f: F.struct(f["path"].alias("path"), f["size"].alias("size"), F.transform(F.split(f["content"], "\n"), lambda x: F.struct(F.xxhash64(x).alias("line"), (F.octet_length(x) + 1).alias("bytes"))).alias("lines")))
-    return stored(grouped.select("commit", hashed.alias("files"), "least", "most"), "blocks")
-
-
-def _items(lines: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(file, item, bytes): the k-th occurrence of a line in a file is one item, so what two files share of repeats are items, too."""
-    size = lines.value_lengths().to_numpy()
-    flat = lines.flatten()
-    line, amount = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-    owner = np.repeat(np.arange(len(size)), size)
-    order = np.lexsort((line, owner))
-    line, amount = line[order], amount[order]  # the owners are in order already
-    at = np.arange(len(line))
-    first = np.concatenate([[True], (line[1:] != line[:-1]) | (owner[1:] != owner[:-1])])[: len(line)]
-    k = (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64)
-    return owner, line.view(np.uint64) + k * np.uint64(0x9E3779B97F4A7C15), amount
-
-
-def shared_bytes(old: pa.ListArray, new: pa.ListArray, most: int) -> np.ndarray:
-    """[old file, new file]: bytes of the lines that both have, repeats counted; `most`: the size of the largest file."""
-    (i, x, amount), (j, y, _) = _items(old), _items(new)
-    common, where = np.unique(x, return_index=True)
-    common, where = (c[np.isin(common, y)] for c in (common, where))
-    kind = np.float32 if most < 1 << 24 else np.float64  # whole numbers that it holds exactly
-    out = np.zeros((len(old), len(new)), kind)
-    for k in range(0, len(common), _COLUMNS):
-        some = common[k : k + _COLUMNS]
-        sides = []
-        for n, owner, item in ((len(old), i, x), (len(new), j, y)):
-            at = np.minimum(np.searchsorted(some, item), len(some) - 1)
-            mine = some[at] == item
-            m = np.zeros((n, len(some)), kind)
-            m[owner[mine], at[mine]] = 1
-            sides.append(m)
-        out += (sides[0] * amount[where[k : k + _COLUMNS]].astype(kind)) @ sides[1].T
+def _sizes(rows: DataFrame) -> DataFrame:
+    """(commit, bytes), stored: of the contents of each commit."""
+    return shared.stored(rows.groupBy("commit").agg(F.sum(F.coalesce(F.octet_length("content"), F.lit(0)).cast("long")).alias("bytes")), "sizes")
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in as few bytes as hold them all."""
+    return x.astype(np.min_scalar_type(int(x.max())))
+
+
+def _packed(commit: str, path: pa.Array, size: np.ndarray, lines: pa.ListArray, amounts: pa.ListArray) -> Iterator[tuple]:
+    """Blocks, by size: commit, paths, the files' sizes, the least and the greatest; lines in order, each with its bytes and the number of its files; these files, and how often they have the line."""
+    count, line, amount = lines.value_lengths().to_numpy(), lines.flatten().to_numpy().view(np.uint64), amounts.flatten().to_numpy()
+    start, order = np.cumsum(count) - count, np.argsort(size, kind="stable")
+    cuts, total = [0], 0
+    for k, n in enumerate(count[order].tolist()):
+        if k - cuts[-1] == BLOCK or (total + n > BLOCK_LINES and k > cuts[-1]):
+            cuts.append(k)
+            total = 0
+        total += n
+    for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        some = order[lo:hi]
+        n = count[some]
+        at = _ranges(start[some], n)
+        at = at[by := np.argsort(line[at], kind="stable")]  # files stay in order
+        owner, mine = np.repeat(np.arange(hi - lo, dtype=np.uint16), n)[by], line[at]
+        new = np.concatenate([[True], mine[1:] != mine[:-1]])
+        entry = np.flatnonzero(new | np.concatenate([[True], owner[1:] != owner[:-1]]))
+        first = np.flatnonzero(new[entry])
+        arrays = (mine[entry[first]], _small(amount[at[entry[first]]]), np.diff(first, append=len(entry)).astype(np.uint16), owner[entry], _small(np.diff(entry, append=len(at))))
+        yield commit, path.take(pa.array(some)).to_pylist(), size[some].astype(np.int64).tobytes(), int(size[some[0]]), int(size[some[-1]]), *(x.tobytes() for x in arrays)
+
+
+_BLOCK = pa.schema([("commit", pa.string()), ("paths", pa.list_(pa.string())), ("sizes", pa.binary()), ("least", pa.int64()), ("most", pa.int64()), ("lines", pa.binary()), ("bytes", pa.binary()), ("files", pa.binary()), ("owners", pa.binary()), ("times", pa.binary())])
+
+
+def _blocks(rows: DataFrame, sizes: DataFrame, total: int, shares: int) -> DataFrame:
+    """Blocks of _packed, stored by share; a commit's files are dealt out over slices of about SLICE_BYTES, so that a task holds one slice."""
+    slices = sizes.where(F.col("bytes") > SLICE_BYTES).select("commit", F.ceil(F.col("bytes") / SLICE_BYTES).alias("n"))
+    dealt = rows.join(F.broadcast(slices), "commit", "left").withColumn("slice", F.pmod(F.xxhash64("path"), F.coalesce("n", F.lit(1))))
+    dealt = dealt.repartition(min(_PARTS[1], max(_PARTS[0], total // SLICE_BYTES)), "commit", "slice")
+    files = dealt.groupBy("commit", "slice", "path").agg(F.max("content").alias("content")).where("content <> ''")
+    each = lambda f: F.transform(F.split("content", "\n"), f)
+    hashed = files.select("commit", "slice", "path", (F.octet_length("content") + 1).cast("long").alias("size"), each(lambda x: F.xxhash64(x)).alias("lines"), each(lambda x: F.octet_length(x) + 1).alias("bytes"))
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        path, size, lines, amounts = (pa.concat_arrays(table[x].chunks) for x in ("path", "size", "lines", "bytes"))
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*_packed(key[0].as_py(), path, size.to_numpy(), lines, amounts), strict=True), _BLOCK.types, strict=True)], schema=_BLOCK)
+
+    out = hashed.groupBy("commit", "slice").applyInArrow(pack, "commit string, paths array<string>, sizes binary, least long, most long, lines binary, bytes binary, files binary, owners binary, times binary")
+    return shared.stored(out.withColumn("share", F.pmod(F.xxhash64("commit"), F.lit(shares)).cast("int")), "blocks", "share")
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... n of each."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+class _Block:
+    """A block's arrays, where they are; bytes and times in whole numbers of the width that their lengths tell."""
+
+    def __init__(self, sizes, lines, amounts, files, owners, times):
+        view = lambda x, kind: np.frombuffer(x.as_buffer(), kind)
+        least = lambda x, n: view(x, f"u{x.as_buffer().size // n}")
+        self.sizes, self.lines, self.files, self.owners = view(sizes, np.int64), view(lines, np.uint64), view(files, np.uint16).astype(np.int64), view(owners, np.uint16)
+        self.amounts, self.times = least(amounts, len(self.lines)), least(times, len(self.owners))
+        self.start = np.cumsum(self.files) - self.files
+
+    def matrix(self, line: np.ndarray, column: np.ndarray, levels: np.ndarray, width: int, kind: type) -> np.ndarray:
+        """[file, column + k]: 1 if the file has the line more than k times, for k below the line's levels."""
+        n = self.files[line]
+        at = _ranges(self.start[line], n)
+        owner, column, times = self.owners[at], np.repeat(column, n), np.minimum(self.times[at].astype(np.int64), np.repeat(levels, n))
+        out = np.zeros((len(self.sizes), width), kind)
+        out[np.repeat(owner, times), _ranges(column, times)] = 1
+        return out
+
+
+def shared_bytes(x: _Block, y: _Block) -> np.ndarray:
+    """[file of x, file of y]: bytes of the lines that both have, repeats counted."""
+    shape = nx, ny = len(x.sizes), len(y.sizes)
+    j = np.minimum(np.searchsorted(y.lines, x.lines), len(y.lines) - 1)
+    i = np.flatnonzero(y.lines[j] == x.lines)
+    j = j[i]
+    cross = x.files[i] * y.files[j]
+    out = np.zeros(nx * ny)
+    # the times of lines that many files have, at most, and what the three ways take
+    levels = np.ones(len(i), np.int64)
+    multiply, alone, table, tables = _TIMES
+    many = np.flatnonzero(cross * alone > multiply * nx * ny)
+    if len(many):
+        most = [np.maximum.reduceat(b.times[_ranges(b.start[k[many]], b.files[k[many]])], np.cumsum(b.files[k[many]]) - b.files[k[many]]) for b, k in ((x, i), (y, j))]
+        levels[many] = np.minimum(*most)
+    costs = np.stack([cross * alone, levels * (multiply * nx * ny), cross * table + tables])
+    way = np.argmin(costs, axis=0)
+
+    few = np.flatnonzero(way == 0)
+    ends = np.cumsum(cross[few])
+    lo = 0
+    while lo < len(few):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _CROSS, "right")))
+        a, b = i[few[lo:hi]], j[few[lo:hi]]
+        lo = hi
+        # each entry of x meets all of y's for its line
+        n, m = x.files[a], y.files[b]
+        p = np.repeat(_ranges(x.start[a], n), each := np.repeat(m, n))
+        q = _ranges(np.repeat(y.start[b], n), each)
+        weight = np.minimum(x.times[p], y.times[q]).astype(np.float64) * np.repeat(x.amounts[a], n * m)
+        out += np.bincount(x.owners[p].astype(np.int64) * ny + y.owners[q], weight, nx * ny)
+    out = out.reshape(shape)
+
+    kind = np.float32 if max(x.sizes.max(), y.sizes.max()) < 1 << 24 else np.float64  # whole numbers that it holds exactly
+    dense = np.flatnonzero(way == 1)
+    ends = np.cumsum(levels[dense])
+    lo = 0
+    while lo < len(dense):
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + _COLUMNS, "right")))
+        some = dense[lo:hi]
+        width, column = int(ends[hi - 1] - before), ends[lo:hi] - levels[some] - before
+        left, right = x.matrix(i[some], column, levels[some], width, kind), y.matrix(j[some], column, levels[some], width, kind)
+        left *= np.repeat(x.amounts[i[some]], levels[some]).astype(kind)
+        out += left @ right.T
+        lo = hi
+
+    for k in np.flatnonzero(way == 2):
+        p, q = (slice(b.start[n], b.start[n] + b.files[n]) for b, n in ((x, i[k]), (y, j[k])))
+        out[np.ix_(x.owners[p], y.owners[q])] += np.minimum.outer(x.times[p], y.times[q]) * float(x.amounts[i[k]])
     return out
 
 
 def scores(deleted: DataFrame, added: DataFrame, least: float = LEAST) -> DataFrame:
     """deleted and added(commit, path, content) -> (commit, old_path, new_path, score) of all pairs of at least this score (above 0)."""
-    old, new = (_blocks(_files(x)).alias(name) for x, name in ((deleted, "a"), (added, "b")))
+    sizes = [_sizes(x) for x in (deleted, added)]
+    totals = [x.agg(F.sum("bytes")).first()[0] or 0 for x in sizes]
+    shares = min(SHARES, 1 + sum(totals) // SHARE_BYTES)
+    old, new = (_blocks(*x, shares) for x in zip((deleted, added), sizes, totals, strict=True))
     # a smaller file has no more to share than it is long
     can = F.expr(f"a.commit = b.commit AND a.most >= {float(least)!r}D * b.least AND b.most >= {float(least)!r}D * a.least")
-    pairs = old.hint("shuffle_replicate_nl").join(new, can).selectExpr("a.commit AS commit", "a.files AS x", "b.files AS y")
+    block = ("paths", "sizes", "lines", "bytes", "files", "owners", "times")
+    columns = ["a.commit AS commit", *(f"{s}.{x} AS {s}_{x}" for s in "ab" for x in block)]
+    pairs = None
+    for k in range(shares):
+        a, b = (x.where(F.col("share") == k).alias(name) for x, name in ((old, "a"), (new, "b")))
+        some = a.hint("shuffle_replicate_nl").join(b, can).selectExpr(*columns)
+        pairs = some if pairs is None else pairs.unionAll(some)
     schema = pa.schema([("commit", pa.string()), ("old_path", pa.string()), ("new_path", pa.string()), ("score", pa.float64())])
 
+    def pairs_of(commit: pa.Scalar, *row: pa.Scalar) -> pa.RecordBatch:
+        (p, *x), (q, *y) = row[: len(block)], row[len(block) :]
+        x, y = _Block(*x), _Block(*y)
+        score = shared_bytes(x, y) / np.maximum(x.sizes[:, None], y.sizes[None, :])
+        i, j = np.nonzero(score >= least)
+        return pa.RecordBatch.from_arrays([pa.array([commit.as_py()] * len(i), pa.string()), p.values.take(pa.array(i)), q.values.take(pa.array(j)), pa.array(score[i, j])], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for commit, x, y in zip(*batch.columns, strict=True):
-                a, b = x.values, y.values
-                largest = np.maximum(a.field(1).to_numpy()[:, None], b.field(1).to_numpy()[None, :])
-                score = shared_bytes(a.field(2), b.field(2), int(largest.max())) / largest.astype(np.float64)
-                i, j = np.nonzero(score >= least)
-                yield pa.RecordBatch.from_arrays([pa.array([commit.as_py()] * len(i), pa.string()), a.field(0).take(pa.array(i)), b.field(0).take(pa.array(j)), pa.array(score[i, j])], schema=schema)
+            for k in range(len(batch)):
+                yield pairs_of(*(x[k] for x in batch.columns))
+            del batch  # or two are held while the next one comes
+            pa.default_memory_pool().release_unused()
 
     return pairs.mapInArrow(run, "commit string, old_path string, new_path string, score double")
 

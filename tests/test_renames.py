@@ -3,6 +3,9 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 from lodestack.operators import renames
 
 SCHEMA = "commit string, path string, content string, score int"
@@ -72,3 +75,51 @@ def test_scores_shuffle_files_and_no_pairs(spark):
     size = lambda k: sum(len(f"line{x}") + 1 for x in range(k, 20)) + 15
     got = {(r.old_path, r.new_path): r.score for r in out.collect()}
     assert len(got) == 40 * 30 and all(abs(got[f"old{i}", f"new{j}"] - size(max(i % 7, j % 7)) / size(min(i % 7, j % 7))) < 1e-12 for i in range(40) for j in range(30))
+
+
+def _packed(files, least=100):
+    """Blocks of files that are lists of numbers of lines, each of `least` bytes or more."""
+    size = np.array([sum(least + x % 300 for x in f) for f in files])
+    lines, amounts = pa.array(files, pa.list_(pa.int64())), pa.array([[least + x % 300 for x in f] for f in files], pa.list_(pa.int32()))
+    return list(renames._packed("c", pa.array([str(k) for k in range(len(files))]), size, lines, amounts))
+
+
+def test_shared_bytes_in_each_way(monkeypatch):
+    """Pairs that meet alone, products of matrices and a line's own table count alike, in parts of any size."""
+    rng = random.Random(3)
+    make = lambda n: [[rng.randrange(60) for _ in range(rng.randrange(1, 90))] + [7] * rng.randrange(400) + [1000 + k % 3] * rng.randrange(300) for k in range(n)]
+    old, new = make(30), make(40)
+    want = {(p, q): sum(n * (100 + x % 300) for x, n in (Counter(a) & Counter(b)).items()) for p, a in enumerate(old) for q, b in enumerate(new)}
+    monkeypatch.setattr(renames, "BLOCK", 17)
+    for times in (renames._TIMES, (0, 1, 1, 1), (1, 0, 1, 1), (1, 1, 0, 0)):
+        for columns, cross in ((1 << 11, 1 << 18), (5, 7)):
+            for name, value in (("_TIMES", times), ("_COLUMNS", columns), ("_CROSS", cross)):
+                monkeypatch.setattr(renames, name, value)
+            got = {}
+            for a in _packed(old):
+                for b in _packed(new):
+                    x, y = (renames._Block(*(pa.scalar(v, pa.binary()) for v in (t[2], *t[5:]))) for t in (a, b))
+                    got |= {(int(a[1][i]), int(b[1][j])): n for (i, j), n in np.ndenumerate(renames.shared_bytes(x, y))}
+            assert got == want
+
+
+def test_blocks_hold_lines_once():
+    """What meets in memory is 4 bytes a line at most where files share lines, and a block has no more lines than its bound."""
+    files = [list(range(k % 5, 500)) for k in range(1200)]
+    blocks = _packed(files)
+    assert sum(len(b[1]) for b in blocks) == 1200 and all(sum(len(files[int(p)]) for p in b[1]) <= renames.BLOCK_LINES for b in blocks)
+    assert sum(len(x) for b in blocks for x in (b[2], *b[5:])) < 4 * sum(map(len, files))
+
+
+def test_commits_meet_in_shares(spark, monkeypatch):
+    """Files of many commits and one large one: pairs are sought in several products, none of which holds all blocks, and are all there."""
+    rng = random.Random(8)
+    text = lambda n: "\n".join(f"w{rng.randrange(9)}" for _ in range(n))
+    rows = lambda side: [(f"c{c}", f"{side}{k}", text(rng.randrange(1, 25))) for c in range(7) for k in range(30 if c == 3 else 4)]
+    old, new = rows("old"), rows("new")
+    monkeypatch.setattr(renames, "SLICE_BYTES", 300, raising=False)
+    monkeypatch.setattr(renames, "SHARE_BYTES", 1000, raising=False)
+    out = renames.scores(*(spark.createDataFrame(x, "commit string, path string, content string") for x in (old, new)))
+    assert out._jdf.queryExecution().executedPlan().toString().count("CartesianProduct") > 3
+    got = {(r.commit, r.old_path, r.new_path): round(r.score, 9) for r in out.collect()}
+    assert got == {(c, p, q): round(s, 9) for c, p, t in old for d, q, u in new if c == d and (s := _score(t, u)) >= 0.5} and len(got) > 50
